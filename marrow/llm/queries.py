@@ -5,8 +5,39 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marrow.llm import decontam, line_dedup
+from marrow.llm import decontam, language, line_dedup, piece_table, quality, toxicity
 from marrow.llm.common import table
+from marrow.llm.training import remainder, scored
+
+
+def _classified(spark: SparkSession, sf_dir: str, operator, by: int, held_out: int) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = operator.train(docs, labels, remainder("doc_id", by) != held_out)
+    out = scored(docs, model)
+    held = F.coalesce(remainder("doc_id", by) == held_out, F.lit(False))
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op1_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir, quality, 3, 1)
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _classified(spark, sf_dir, toxicity, 5, 0)
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs, remainder("doc_id", 3) != 1)
+    held = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
+    return language.identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    coded = piece_table.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,7 +50,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op4_winnowing": op4_winnowing, "op10_line_dedup": op10_line_dedup}
+QUERIES = {f.__name__: f for f in (op1_attention_quality, op2_toxicity, op4_winnowing, op7_language, op9_sentencepiece, op10_line_dedup)}
 
 OP10_SQL = r"""
 WITH lines AS (
