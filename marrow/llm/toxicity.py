@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from marrow.llm import training
 
 SIZES, BITS, BLOCK = (5, 6, 7), 22, 1 << 20
-MAX_FEATURES, MIN_CHI, MIN_DOCS, SMOOTHING, L2, ROUNDS = 4096, 30.0, 5, 1.0, 1e-3, 1000
+MAX_FEATURES, MIN_CHI, MIN_DOCS, MIN_SHARE, SMOOTHING, L2, ROUNDS = 4096, 30.0, 4, 0.004, 1.0, 0.01, 500
 
 
 def _runs(data: np.ndarray):
@@ -62,6 +62,8 @@ class NaiveBayesScaledModel:
 
 
 def fit(texts: list[str], labels: list[int]) -> NaiveBayesScaledModel:
+    once = dict(zip(texts, labels, strict=True))  # copies would make their rarest runs look telling
+    texts, labels = list(once), list(once.values())
     y = np.array(labels, float)
     if len(set(labels)) < 2:
         share = float(y.mean()) if len(y) else 0.5
@@ -69,7 +71,7 @@ def fit(texts: list[str], labels: list[int]) -> NaiveBayesScaledModel:
     counts = np.zeros((2, 1 << BITS), np.int32)
     for t, label in zip(texts, labels, strict=True):
         counts[int(label > 0)][features(t)] += 1
-    seen = np.flatnonzero(counts.sum(0) >= MIN_DOCS)
+    seen = np.flatnonzero(counts.sum(0) >= max(MIN_DOCS, MIN_SHARE * len(y)))
     neg, pos = counts[:, seen].astype(float)
     n_neg, n_pos = float((y == 0).sum()), float((y > 0).sum())
     expected = (pos + neg) * n_pos / len(y)
