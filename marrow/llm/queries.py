@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marrow.llm import decontam, language, line_dedup, piece_table, quality, toxicity
-from marrow.llm.common import table
+from marrow.llm import decontam, language, line_dedup, piece_table, quality, token_files, toxicity
+from marrow.llm.common import shared_dir, table
 from marrow.llm.training import remainder, scored
 
 
@@ -26,6 +28,14 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir, toxicity, 5, 0)
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = f"{shared_dir(spark)}/marrow-tokens-{uuid.uuid4().hex}"
+    token_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.train(docs, remainder("doc_id", 3) != 1)
@@ -50,7 +60,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_attention_quality, op2_toxicity, op4_winnowing, op7_language, op9_sentencepiece, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_attention_quality, op2_toxicity, op3_token_files, op4_winnowing, op7_language, op9_sentencepiece, op10_line_dedup)}
 
 OP10_SQL = r"""
 WITH lines AS (
