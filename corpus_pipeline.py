@@ -1,22 +1,75 @@
-"""The corpus pipeline: toxicity, line dedup, MinHash near-dedup, benchmark decontamination, SentencePiece."""
+"""The corpus pipeline: toxicity, line dedup, MinHash near-dedup, benchmark decontamination, SentencePiece.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
+next stage's docs.  All but the last return the columns of documents.  A stage starts by deleting the tables that
+the stages before it had saved for themselves: their results have been written by then."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marrow.llm import decontam, line_dedup, near_dedup, piece_table, toxicity
+from marrow.llm.common import discard, saved, table
+from marrow.llm.groups import without_ids
+from marrow.llm.training import remainder, score_of
+
+
+def _tidy(spark: SparkSession) -> None:
+    if not getattr(spark.sparkContext, "_marrow_running", False):  # run() does this itself
+        discard(spark)
 
-from marrow.llm import line_dedup
-from marrow.llm.common import saved, table
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier finds toxic (score of 0.5 or more) go.  It learns from the rows of the original table that op2 learns from."""
+    _tidy(spark)
+    model = toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
+    return docs.filter(score_of(model, spark, docs["text"]) < 0.5)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.rewrite(docs)
+    """Lines of ten characters or more that an earlier document holds go; n_chars counts what is left."""
+    _tidy(spark)
+    out = line_dedup.rewrite(docs)
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id stays."""
+    _tidy(spark)
+    groups = near_dedup.classes(docs)
+    return without_ids(docs, groups.filter(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct(), "doc_id")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share a window of eight words, or a whole shorter item, with the benchmark go."""
+    _tidy(spark)
+    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
+    return without_ids(docs, found.filter("n_items > 0").select("doc_id").distinct(), "doc_id")
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each remaining document's ids with an end id, and digests of them and of what they decode to."""
+    import public_tokenizers
+
+    _tidy(spark)
+    coded = piece_table.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
 
+STAGES = [("toxicity", drop_toxic), ("line dedup", drop_repeated_lines), ("near-dedup", drop_near_copies), ("decontamination", drop_contaminated), ("sentencepiece", encode)]
 
-STAGES = [("line dedup", drop_repeated_lines)]
+#: SQL expresses neither a trained classifier nor the encoder; tests/llm holds the stages against brute force.
+ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    spark.sparkContext._marrow_running = True
+    try:
+        for name, stage in STAGES:
+            docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            discard(spark, keep=1)
+    finally:
+        spark.sparkContext._marrow_running = False
     return docs

@@ -29,10 +29,21 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     executors, and keeps later jobs from running the same work again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/marrow-{name}-{uuid.uuid4().hex}"
+    spark.sparkContext.__dict__.setdefault("_marrow_tables", []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, keep: int = 0) -> None:
+    """Deletes the tables that ``saved`` wrote in this session, but for the last ``keep`` of them.  For callers
+    who have written every result that was derived from them."""
+    tables = spark.sparkContext.__dict__.setdefault("_marrow_tables", [])
+    gone, tables[:] = tables[: len(tables) - keep], tables[len(tables) - keep :]
+    for path in gone:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

@@ -119,9 +119,10 @@ def fit(texts: list[str], langs: list[str]) -> BackoffModel:
 
 def train(docs: DataFrame, allowed: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = 3000, max_chars: int = training.MAX_CHARS) -> BackoffModel:
     d = docs.select(F.col(id_col), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).filter(F.col("l").isNotNull() & F.col("t").isNotNull() & (F.char_length("t") <= max_chars))
-    d = (d if allowed is None else d.filter(allowed)).withColumnRenamed(id_col, "id").withColumn("k", F.xxhash64("id"))
-    rows = d.orderBy("k", "id", "t").limit(max_rows).select("t", "l").collect()  # at most max_rows rows of max_chars
-    return fit([r[0] for r in rows], [r[1] for r in rows])
+    d = (d if allowed is None else d.filter(allowed)).withColumnRenamed(id_col, "id")
+    picked = training.bounded(d.select("id").filter(F.col("id").isNotNull()), max_rows).distinct()
+    rows = sorted(d.join(F.broadcast(picked), "id").dropDuplicates(["id"]).select("id", "t", "l").collect())  # at most max_rows rows of max_chars
+    return fit([r[1] for r in rows], [r[2] for r in rows])
 
 
 def identify(docs: DataFrame, model: BackoffModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marrow.llm import decontam, language, line_dedup, piece_table, quality, token_files, toxicity
+from marrow.llm import decontam, language, line_dedup, near_dedup, piece_table, quality, token_files, toxicity
 from marrow.llm.common import shared_dir, table
 from marrow.llm.training import remainder, scored
 
@@ -43,6 +43,11 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op8_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "copy_of", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -60,7 +65,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_attention_quality, op2_toxicity, op3_token_files, op4_winnowing, op7_language, op9_sentencepiece, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_attention_quality, op2_toxicity, op3_token_files, op4_winnowing, op7_language, op8_bagminhash, op9_sentencepiece, op10_line_dedup)}
 
 OP10_SQL = r"""
 WITH lines AS (

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -18,18 +19,38 @@ def remainder(id_col: str | Column, by: int) -> Column:
     return F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(by))
 
 
+def bounded(ids: DataFrame, max_rows: int) -> DataFrame:
+    """The rows of ids (a column id) with the smallest hashes, max_rows at most; hardly more than these leave the tasks."""
+    n = ids.count()
+    if n > max_rows:
+        ids = ids.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 1.2 * max_rows / n + 50 / n)))
+    return ids.orderBy(F.pmod(F.xxhash64("id"), F.lit(1 << 30)), "id").limit(max_rows)
+
+
 def labelled(docs: DataFrame, labels: DataFrame, allowed: Column, label_col: str, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> tuple[list[str], list[int]]:
     """Texts and labels of the allowed rows with the smallest id hashes: a fixed pseudo-random choice.
 
     Where labels repeat an id, its largest label counts; rows with a null id, label or text teach nothing."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).filter(F.col("y").isNotNull() & F.col("id").isNotNull())
     known = known.withColumnRenamed("id", id_col).filter(allowed).withColumnRenamed(id_col, "id").groupBy("id").agg(F.max("y").cast("int").alias("y"))
-    picked = known.orderBy(F.xxhash64("id"), "id").limit(max_rows)  # at most max_rows small rows
+    picked = bounded(known, max_rows)  # at most max_rows small rows
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull() & (F.char_length("text") <= max_chars))
-    rows = texts.join(F.broadcast(picked), "id").dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").limit(max_rows).select("text", "y").collect()
+    rows = texts.join(F.broadcast(picked), "id").dropDuplicates(["id"]).select("id", "text", "y").collect()
+    rows = [r[1:] for r in sorted(rows, key=lambda r: r[0])]
     return [r[0] for r in rows], [r[1] for r in rows]
 
 
+def score_of(model, spark: SparkSession, text: Column) -> Column:
+    """The model's score of a text column, for plans that carry whole rows along."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.score([t or "" for t in texts]))
+
+    return score(text)
+
+
 def scored(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", batch_chars: int = 1_000_000) -> DataFrame:
     """id and score of every row; model.score(texts) gives numbers from 0 to 1.  The model is of a bounded size."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
