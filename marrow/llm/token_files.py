@@ -34,10 +34,12 @@ from pyspark.sql.pandas.types import to_arrow_type
 from marrow.llm.common import saved
 from marrow.llm.piece_table import blocks
 
-TABLE_ROWS = 300_000
+TABLE_ROWS = 500_000
 #: Characters of text in a block of the files, and distinct words that are tokenized in one string.
-BLOCK_CHARS, JOINED = 1_000_000, 400
+BLOCK_CHARS, JOINED = 1_000_000, 200
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
+_PLAIN = re.compile(r"[^\s<]+").fullmatch
+_ODD = re.compile(r"[^\S ] | [^\S ]")
 _LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
 
@@ -60,8 +62,8 @@ class WordTable:
 
     def _learn(self, words: list[str]) -> None:
         """Words follow a space.  Those without white space are tokenized many in one string: an id that starts with a space starts a word."""
-        plain = [w for w in words if not w.isspace() and len(w.split(None, 1)) == 1 and w.strip() == w and "<|" not in w]
-        odd = set(words).difference(plain)
+        plain = list(filter(_PLAIN, words))
+        odd = set() if len(plain) == len(words) else set(words).difference(plain)
         groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
         for group, enc in zip(groups, self.tok.encode_batch_fast(["".join(" " + w for w in group) for group in groups], add_special_tokens=False), strict=True):
             ids = np.array(enc.ids, "<u4")
@@ -69,9 +71,8 @@ class WordTable:
             if len(at) != len(group):  # a word that itself holds such an id
                 odd.update(group)
                 continue
-            data, ends = ids.tobytes(), np.r_[at[1:], len(ids)] * 4
-            for w, a, b in zip(group, (at * 4).tolist(), ends.tolist(), strict=True):
-                self.ids[w] = data[a:b]
+            data, cuts = ids.tobytes(), [*(at * 4).tolist(), len(ids) * 4]
+            self.ids.update(zip(group, map(data.__getitem__, map(slice, cuts, cuts[1:]))))
         odd = list(odd)
         for w, enc in zip(odd, self.tok.encode_batch_fast([" " + w for w in odd], add_special_tokens=False), strict=True):
             self.ids[w] = np.array(enc.ids, "<u4").tobytes()
@@ -81,16 +82,19 @@ class WordTable:
         split = []
         for t in texts:
             words = t.split(" ")
-            simple = "" not in words and all(w[0] > " " and w[-1] > " " and not w[0].isspace() and not w[-1].isspace() for w in words)
-            split.append(words if simple else _BETWEEN.split(t))
+            split.append(_BETWEEN.split(t) if "" in words or _ODD.search(t) else words)
         if len(self.ids) > TABLE_ROWS:
             self.ids = {}
-        new = {w for s in split for w in s[1:] if w not in self.ids}
+        new = set().union(*split).difference(self.ids)
         if new:
-            self._learn(sorted(new))
+            self._learn(list(new))
         firsts = self.tok.encode_batch_fast([s[0] for s in split], add_special_tokens=False)
-        get = self.ids.__getitem__
-        return [np.array(e.ids, "<u4").tobytes() + b"".join(map(get, s[1:])) for s, e in zip(split, firsts, strict=True)]
+        get, out = self.ids.__getitem__, []
+        for s, first in zip(split, firsts, strict=True):
+            parts = list(map(get, s))
+            parts[0] = np.array(first.ids, "<u4").tobytes()  # no space before it
+            out.append(b"".join(parts))
+        return out
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -134,7 +138,14 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, id_c
     dealt = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     dealt = dealt.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie", "text").select("id", "text")
     staged = saved(dealt.mapInArrow(tokenize, f"part int, seq long, offset long, doc_ids array<{kind}>, lens array<long>, ids binary"), "ids")
-    counts = staged.filter("seq = -1").select(F.posexplode("lens").alias("id", "n")).groupBy("id").agg(F.sum("n").alias("n")).filter("n > 0")
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = sum((row.values.to_numpy() for batch in batches for row in batch.column(0)), 0)
+        if not np.isscalar(total):
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.int64()))], names=["n"])
+
+    counts = staged.filter("seq = -1").select("lens").mapInArrow(add_up, "n array<long>")  # one row for each task
+    counts = counts.select(F.posexplode("n").alias("id", "n")).groupBy("id").agg(F.sum("n").alias("n")).filter("n > 0")
     ranked = sorted(((-r["n"], r["id"]) for r in counts.collect()))  # as many rows as the vocabulary has ids
     spark = docs.sparkSession
     spark.createDataFrame([(k, i, -n) for k, (n, i) in enumerate(ranked)], "rank int, id int, count long").coalesce(1).write.parquet(f"{path}/vocabulary")
