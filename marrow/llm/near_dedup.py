@@ -16,13 +16,14 @@ member, and the members of a leader are dealt over tasks by LEADER_SHARE.
 
 With 25 bands of 5 registers a pair at a similarity of 0.8 shares a bucket with a probability of 0.99995.
 
-Defined results: a text without words (null, empty, marks only) is like nothing else.  Null ids are in no group
+Defined results: texts without words (null and empty alike, or marks only) are copies if they are equal and like nothing else.  Null ids are in no group
 and are kept.  Rows that repeat an id are one document.  Other columns are ignored by ``classes``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -94,7 +95,7 @@ def signatures(doc: np.ndarray, shingle: np.ndarray, count: np.ndarray, n_docs:
 
 
 def _signed(docs: DataFrame) -> DataFrame:
-    """(id, c1, c2, bands): c1 and c2 name the multiset; bands are null for a text without words."""
+    """(id, c1, c2, bands): c1 and c2 name the multiset; bands are empty for a text without words."""
     like, kind = to_arrow_type(docs.schema["id"].dataType), docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,6 +113,8 @@ def _signed(docs: DataFrame) -> DataFrame:
                 if len(x):
                     at = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
                     c[doc[at]] = np.add.reduceat(x, at)
+                for i in np.flatnonzero(~has):  # without words: named by the text itself
+                    c[i] = int.from_bytes(blake2b(texts[i].encode("utf-8", "surrogatepass"), digest_size=8, salt=bytes([salt])).digest(), "little")
                 names.append(pa.array(c.view(np.int64)))
             offsets = pa.array(np.r_[0, np.cumsum(has * BANDS)].astype(np.int32))
             bands = pa.ListArray.from_arrays(offsets, pa.array(h[has].ravel().view(np.int64)))
@@ -154,8 +157,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     """One row for each row of docs: id, class_id (the smallest id of its group) and copy_of (the smallest id with an equal multiset of shingles)."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     signed = saved(_signed(texts), "signatures")
-    wordy = signed.filter(F.col("bands").isNotNull() & (F.size("bands") > 0) & F.col("id").isNotNull())
-    same = saved(wordy.groupBy("c1", "c2").agg(F.min("id").alias("copy_of"), F.count("*").alias("n")), "copies")
+    named = signed.filter(F.col("id").isNotNull())
+    wordy = named.filter(F.size("bands") > 0)
+    same = saved(named.groupBy("c1", "c2").agg(F.min("id").alias("copy_of"), F.count("*").alias("n")), "copies")
     # one row for each class: its members have equal bands, so any row's will do
     heads = wordy.groupBy("c1", "c2").agg(F.min_by("bands", "id").alias("bands"), F.min("id").alias("id"))
     in_buckets = heads.select("id", F.explode("bands").alias("bucket"))
@@ -175,5 +179,5 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         names = saved(components(links.select("a", "b").union(more.select("a", "b"))), "components")
 
     full = same.join(names.withColumnRenamed("id", "copy_of"), "copy_of", "left").withColumn("class", F.struct(F.coalesce("component", "copy_of").alias("class_id"), "copy_of"))
-    out = look_up(signed.select("id", F.when(F.size("bands") > 0, F.col("c1")).alias("c1"), "c2"), full, ["c1", "c2"], "class", "n")
+    out = look_up(signed.select("id", "c1", "c2"), full, ["c1", "c2"], "class", "n")
     return out.select(F.col("id").alias(id_col), *[F.when(F.col("id").isNotNull(), F.coalesce(f"class.{c}", "id")).alias(c) for c in ("class_id", "copy_of")])

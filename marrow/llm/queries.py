@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marrow.llm import decontam, language, line_dedup, near_dedup, piece_table, quality, token_files, toxicity, vector_graph
+from marrow.llm import decontam, language, line_dedup, near_dedup, piece_table, quality, style_tree, token_files, toxicity, vector_graph
 from marrow.llm.common import shared_dir, table
 from marrow.llm.training import remainder, scored
 
@@ -36,6 +36,11 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op5_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = style_tree.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op6_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = vector_graph.links(table(spark, sf_dir, "embeddings"))
     return found.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"), "audited_recall")
@@ -70,7 +75,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_attention_quality, op2_toxicity, op3_token_files, op4_winnowing, op6_vector_graph, op7_language, op8_bagminhash, op9_sentencepiece, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_attention_quality, op2_toxicity, op3_token_files, op4_winnowing, op5_style_tree, op6_vector_graph, op7_language, op8_bagminhash, op9_sentencepiece, op10_line_dedup)}
 
 OP10_SQL = r"""
 WITH lines AS (
