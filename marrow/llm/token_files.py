@@ -11,35 +11,33 @@ of ids before the block in its part and ``lens`` the number of ids of each docum
 container: it gives atomic commits, and any store that Spark reaches can hold it.
 
 Texts are tokenized once.  They are dealt to parts by range of id, and each task tokenizes the distinct words of
-a block and joins their ids by position: a byte-level BPE of this kind splits every text before a space that has
-a non-space on either side.  Words are remembered up to TABLE_ROWS, which changes no result.  Counts of all
-documents make the ranks; they and the sizes of parts (one row for each) are all that the driver receives.
+a block and joins their ids by position: a byte-level BPE of this kind splits every text before a space, and on
+both sides of a newline, that has no white space on either side.  Counts of all documents make the ranks; they and
+the sizes of parts (one row for each) are all that the driver receives.
 
 Defined results: a null or empty text has the end id only.  An empty table makes empty files.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from marrow.llm.common import saved
-from marrow.llm.piece_table import blocks
-
-TABLE_ROWS = 500_000
-#: Characters of text in a block of the files, and distinct words that are tokenized in one string.
-BLOCK_CHARS, JOINED = 1_000_000, 200
-_BETWEEN = re.compile(r"(?<=\S) (?=\S)")
-_PLAIN = re.compile(r"[^\s<]+").fullmatch
-_ODD = re.compile(r"[^\S ] | [^\S ]")
+
+#: Bytes of text in a block of the files, and distinct words that are tokenized in one string.
+BLOCK_BYTES, JOINED = 8_000_000, 200
+#: Texts with white space beside a space or a newline, or a space or a newline at an end.
+_WHITE = r"\t\x{0b}\f\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_ODD = rf"\A[ \n]|[ \n]\z|[ \n][ \n{_WHITE}]|[{_WHITE}][ \n]"
 _LENGTHS = np.array([[(c >> (2 * k) & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
 
@@ -54,47 +52,91 @@ def _tokenizer(path: str):
 
 
 class WordTable:
+    """Tokenizes a block of texts through the table of its distinct words."""
+
     def __init__(self, path: str):
-        self.tok, self.ids = _tokenizer(path), {}
-        spaced = [i for t, i in self.tok.get_vocab(with_added_tokens=False).items() if t[0] == "Ġ"]
-        self.starts = np.zeros(max(self.tok.get_vocab_size(), 1), bool)
-        self.starts[spaced] = True
-
-    def _learn(self, words: list[str]) -> None:
-        """Words follow a space.  Those without white space are tokenized many in one string: an id that starts with a space starts a word."""
-        plain = list(filter(_PLAIN, words))
-        odd = set() if len(plain) == len(words) else set(words).difference(plain)
-        groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
-        for group, enc in zip(groups, self.tok.encode_batch_fast(["".join(" " + w for w in group) for group in groups], add_special_tokens=False), strict=True):
+        self.tok = _tokenizer(path)
+        vocab = self.tok.get_vocab(with_added_tokens=False)
+        self.size = max(self.tok.get_vocab_size(), max(vocab.values(), default=0) + 1)
+        self.spaced = np.zeros(self.size, bool)
+        self.spaced[[i for t, i in vocab.items() if t[0] == "Ġ"]] = True
+        self.newline = np.array(self._one("\n"), "<u4")
+
+    def _one(self, text: str) -> list[int]:
+        return self.tok.encode(text, add_special_tokens=False).ids
+
+    def _distinct(self, words: list[str], after_space: bool) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Runs of ids, and the number of each word's: many words go in one string, in which an id that starts with a space starts a word, or the id of a newline ends one."""
+        runs, sizes = [], []
+        groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        joined = [" " + " ".join(g) if after_space else "\n".join(g) for g in groups]
+        for group, enc in zip(groups, self.tok.encode_batch_fast(joined, add_special_tokens=False), strict=True):
             ids = np.array(enc.ids, "<u4")
-            at = np.flatnonzero(self.starts[ids])
-            if len(at) != len(group):  # a word that itself holds such an id
-                odd.update(group)
-                continue
-            data, cuts = ids.tobytes(), [*(at * 4).tolist(), len(ids) * 4]
-            self.ids.update(zip(group, map(data.__getitem__, map(slice, cuts, cuts[1:]))))
-        odd = list(odd)
-        for w, enc in zip(odd, self.tok.encode_batch_fast([" " + w for w in odd], add_special_tokens=False), strict=True):
-            self.ids[w] = np.array(enc.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        split = []
-        for t in texts:
-            words = t.split(" ")
-            split.append(_BETWEEN.split(t) if "" in words or _ODD.search(t) else words)
-        if len(self.ids) > TABLE_ROWS:
-            self.ids = {}
-        new = set().union(*split).difference(self.ids)
-        if new:
-            self._learn(list(new))
-        firsts = self.tok.encode_batch_fast([s[0] for s in split], add_special_tokens=False)
-        get, out = self.ids.__getitem__, []
-        for s, first in zip(split, firsts, strict=True):
-            parts = list(map(get, s))
-            parts[0] = np.array(first.ids, "<u4").tobytes()  # no space before it
-            out.append(b"".join(parts))
-        return out
+            marks = self.spaced[ids] if after_space else ids == self.newline[0]
+            at = np.flatnonzero(marks)
+            size = np.diff(np.append(at, len(ids))) if after_space else np.diff(np.concatenate([[-1], at, [len(ids)]])) - 1
+            run = ids if after_space else ids[~marks]
+            if len(size) != len(group):  # a word that itself holds such an id
+                each = [np.array(self._one(" " * after_space + w), "<u4") for w in group]
+                run, size = np.concatenate(each), np.array([len(x) for x in each])
+            runs.append(run)
+            sizes.append(size)
+        return runs, sizes
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in order, and the number of ids of each text."""
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False) | (pc.binary_length(texts).to_numpy() == 0)
+        if odd.any():  # these are tokenized whole
+            whole = self.tok.encode_batch_fast(texts.filter(pa.array(odd)).to_pylist(), add_special_tokens=False)
+            whole = [np.array(e.ids, "<u4") for e in whole]
+            if odd.all():
+                return np.concatenate(whole), np.array([len(x) for x in whole])
+            flat, counts = self.encode(texts.filter(pa.array(~odd)))
+            plain, lens = np.split(flat, np.cumsum(counts)[:-1]), np.zeros(len(texts), np.int64)
+            order, w, q = [], 0, 0
+            for k, o in enumerate(odd.tolist()):
+                part, w, q = (whole[w], w + 1, q) if o else (plain[q], w, q + 1)
+                order.append(part)
+                lens[k] = len(part)
+            return np.concatenate(order), lens
+        words = pc.split_pattern(pc.replace_substring(texts, "\n", " \n "), " ")
+        bounds = words.offsets.to_numpy()
+        coded = words.flatten().dictionary_encode()
+        code, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        n = len(names)
+        nl = pc.index(names, pa.scalar("\n", names.type)).as_py()
+        bare = np.zeros(len(code), bool)  # words with no space before them: at a text's and at a line's start
+        bare[bounds[:-1] - bounds[0]] = True
+        bare[1:] |= code[:-1] == nl
+        code[bare] += n
+        if nl >= 0:
+            code[(code == nl) | (code == nl + n)] = nl
+        used = np.flatnonzero(np.bincount(code, minlength=2 * n))
+        used = used[used != nl]
+        first = np.searchsorted(used, n)
+        spaced, bare_ones = self._distinct(names.take(pa.array(used[:first])).to_pylist(), True), self._distinct(names.take(pa.array(used[first:] - n)).to_pylist(), False)
+        runs, sizes = spaced[0] + bare_ones[0], spaced[1] + bare_ones[1]
+        if nl >= 0:
+            used, runs, sizes = np.append(used, nl), [*runs, self.newline], [*sizes, [len(self.newline)]]
+        length, start = np.zeros(2 * n + 1, np.int64), np.zeros(2 * n + 1, np.int64)
+        length[used] = np.concatenate(sizes)
+        start[used] = np.cumsum(length[used]) - length[used]
+        size = length[code]
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1]) + np.repeat(start[code] - (ends - size), size)
+        counts = np.add.reduceat(size, bounds[:-1] - bounds[0])
+        return np.concatenate(runs)[at], counts
+
+
+def _slices(batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about that many bytes of text (column 1)."""
+    sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy().astype(np.int64) + 16)
+    at = 0
+    while at < len(batch):
+        before = sizes[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(sizes, before + limit, "right")))
+        yield batch.slice(at, to - at)
+        at = to
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -123,14 +165,14 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, id_c
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, part, offset, seq = WordTable(tokenizer_path), TaskContext.get().partitionId(), 0, 0
-        end, width = np.array([end_id], "<u4").tobytes(), max(table.tok.get_vocab_size(), end_id + 1)
+        width = max(table.size, end_id + 1)
         counts, narrow = np.zeros(width, np.int64), np.dtype("<u2" if width <= 65536 else "<u4")
         row = lambda *v: pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(v, [pa.int32(), pa.int64(), pa.int64(), pa.list_(like), pa.list_(pa.int64()), pa.binary()], strict=True)], names=names)
-        for keys, texts in blocks(batches, limit=BLOCK_CHARS):
-            coded = [c + end for c in table.encode(texts)]
-            ids = np.frombuffer(b"".join(coded), "<u4")
+        for block in (x for batch in batches for x in _slices(batch, BLOCK_BYTES)):
+            ids, lens = table.encode(block.column(1))
+            ids = np.insert(ids.astype(narrow), np.cumsum(lens), narrow.type(end_id))
             counts += np.bincount(ids, minlength=width)
-            yield row(part, seq, offset, keys, [len(c) // 4 for c in coded], ids.astype(narrow).tobytes())
+            yield row(part, seq, offset, block.column(0).to_pylist(), (lens + 1).tolist(), ids.tobytes())
             offset, seq = offset + len(ids), seq + 1
         if seq:  # the part's counts, and its size as offset
             yield row(part, -1, offset, None, counts.tolist(), None)
