@@ -24,13 +24,13 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: this cuts lineage, survives the loss of
     executors, and keeps later jobs from running the same work again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/marrow-{name}-{uuid.uuid4().hex}"
     spark.sparkContext.__dict__.setdefault("_marrow_tables", []).append(path)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

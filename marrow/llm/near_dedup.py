@@ -9,10 +9,10 @@ text takes about as many points as a short one: processes stop at a time by whic
 on where one is not).
 
 Texts with equal multisets form a class, whose smallest id stands for it.  Each bucket's members are compared with
-its smallest id; then, where a bucket's members are not yet all connected, the members outside of the leader's
-component are compared with all members in other components, so no candidate pair of different components is left
-out, and pairs that would only repeat a connection are never made.  Groups of copies cost one comparison for each
-member, and the members of a leader are dealt over tasks by LEADER_SHARE.
+its shortest text; then, where a bucket's members are not yet all connected, an exact prefix join of their multisets
+finds what links different components, so no link is left out, and pairs that would only repeat a connection are
+never made.  Groups of copies cost one comparison for each member, and the members of a leader are dealt over tasks
+by LEADER_SHARE.
 
 With 25 bands of 5 registers a pair at a similarity of 0.8 shares a bucket with a probability of 0.99995.
 
@@ -40,6 +40,8 @@ BANDS, ROWS, THRESHOLD = 25, 5, 0.8
 REGISTERS = BANDS * ROWS
 #: So many members of a leader are verified in one group of rows.
 LEADER_SHARE = 256
+#: Elements in so many texts, or in more than 1/MAX_COMMON of all, come last in prefixes; there are at most MAX_COMMON.
+COMMON, MAX_COMMON = 10, 500_000
 _UNIT = 2.0**-53
 
 
@@ -118,9 +120,65 @@ def _signed(docs: DataFrame) -> DataFrame:
                 names.append(pa.array(c.view(np.int64)))
             offsets = pa.array(np.r_[0, np.cumsum(has * BANDS)].astype(np.int32))
             bands = pa.ListArray.from_arrays(offsets, pa.array(h[has].ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, like), *names, bands], names=["id", "c1", "c2", "bands"])
+            size = pa.array(np.bincount(doc, count, n).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, like), *names, size, bands], names=["id", "c1", "c2", "n", "bands"])
 
-    return docs.mapInArrow(run, f"id {kind}, c1 long, c2 long, bands array<long>")
+    return docs.mapInArrow(run, f"id {kind}, c1 long, c2 long, n long, bands array<long>")
+
+
+def _across(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
+    """All pairs (a, b) of nodes (id, own) in different components that can be as alike as the threshold, and few others.
+
+    Texts so alike share one of the first n - ceil(threshold n) + 1 elements of their multisets in any common order
+    (an element is a shingle and which of its copies it is).  Elements in many texts come last, so a long passage
+    that many texts share brings no pair together unless little else is in them.  An element's rows in its commonest
+    component are paired with other components' rows alone."""
+    like, kind = to_arrow_type(docs.schema["id"].dataType), docs.schema["id"].dataType.simpleString()
+
+    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, texts in blocks(batches, limit=1_000_000):
+            doc, shingle, count = bags(texts)
+            at = np.repeat(np.arange(len(doc)), count)
+            nth = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+            e = mix(shingle[at] + (nth.astype(np.uint64) << np.uint64(1)))
+            offsets = np.r_[0, np.cumsum(np.bincount(doc[at], minlength=len(texts)))].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, like), pa.ListArray.from_arrays(pa.array(offsets), pa.array(e.view(np.int64)))], names=["id", "elements"])
+
+    own = only_ids(docs, nodes.select("id"), "id").dropDuplicates(["id"])
+    bag = saved(own.mapInArrow(elements, f"id {kind}, elements array<long>"), "elements")
+    total = bag.agg(F.sum(F.size("elements"))).first()[0] or 0
+    common = bag.select(F.explode("elements").alias("e")).groupBy("e").agg(F.count("*").alias("df")).filter(F.col("df") >= max(COMMON, total / MAX_COMMON))
+    common = common.toPandas().sort_values("e")  # at most MAX_COMMON rows
+    shared = docs.sparkSession.sparkContext.broadcast((common["e"].to_numpy(np.int64), common["df"].to_numpy(np.int64)))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, df = shared.value
+        for batch in batches:
+            out, sizes = [], []
+            for row in batch.column(1):
+                e = row.values.to_numpy()
+                f = np.zeros(len(e), np.int64)
+                if len(often):
+                    at = np.minimum(np.searchsorted(often, e), len(often) - 1)
+                    f = np.where(often[at] == e, df[at], 0)
+                length = len(e) - int(np.ceil(threshold * len(e) - 1e-9)) + 1
+                out.append(e[np.lexsort((e, f))[:length]])
+                sizes.append(len(e))
+            offsets = np.r_[0, np.cumsum([len(x) for x in out])].astype(np.int32)
+            flat = np.concatenate(out) if out else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "n", "prefix"])
+
+    rows = bag.mapInArrow(prefixes, f"id {kind}, n long, prefix array<long>").join(nodes, "id").select("id", "own", "n", F.explode("prefix").alias("e"))
+    rows = saved(rows, "prefixes")
+    mixed = rows.groupBy("e").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).filter("lo < hi").select("e")
+    rows = saved(rows.join(mixed, "e"), "prefixes")
+    usual = rows.groupBy("e", "own").agg(F.count("*").alias("k")).groupBy("e").agg(F.max_by("own", F.struct("k", "own")).alias("usual"), F.sum("k").alias("k"))
+    rows = saved(look_up(rows, usual, ["e"], "usual", "k"), "prefixes")
+    left = rows.filter("own <> usual").select("e", F.col("id").alias("a"), F.col("own").alias("ca"), F.col("n").alias("na"))
+    right = rows.select("e", F.col("id").alias("b"), F.col("own").alias("cb"), F.col("n").alias("nb"), "usual")
+    alike = (F.col("na") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("na"))
+    pairs = left.join(right, "e").filter((F.col("ca") != F.col("cb")) & alike & ((F.col("cb") == F.col("usual")) | (F.col("a") < F.col("b"))))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def verified(docs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -161,20 +219,21 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     wordy = named.filter(F.size("bands") > 0)
     same = saved(named.groupBy("c1", "c2").agg(F.min("id").alias("copy_of"), F.count("*").alias("n")), "copies")
     # one row for each class: its members have equal bands, so any row's will do
-    heads = wordy.groupBy("c1", "c2").agg(F.min_by("bands", "id").alias("bands"), F.min("id").alias("id"))
-    in_buckets = heads.select("id", F.explode("bands").alias("bucket"))
-    leaders = in_buckets.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("last"), F.count("*").alias("n")).filter("leader < last").drop("last")
-    members = saved(look_up(in_buckets, saved(leaders, "leaders"), ["bucket"], "leader", "n").filter(F.col("leader").isNotNull()), "members")
+    heads = wordy.groupBy("c1", "c2").agg(F.min_by("bands", "id").alias("bands"), F.min("id").alias("id"), F.first("n").alias("n"))
+    in_buckets = heads.select("id", "n", F.explode("bands").alias("bucket"))
+    first = F.min(F.struct("n", "id"))["id"]
+    leaders = in_buckets.groupBy("bucket").agg(first.alias("leader"), F.count("*").alias("k")).filter("k > 1")
+    members = look_up(in_buckets, saved(leaders, "leaders"), ["bucket"], "leader", "k").filter(F.col("leader").isNotNull())
+    members = saved(members.select("id", "leader", "n"), "members")
     links = verified(texts, members.select(F.col("leader").alias("a"), F.col("id").alias("b")), threshold)
     names = saved(components(links.select("a", "b")), "components")
 
-    # members that their leader did not draw into its component, against all members of other components
+    # where a bucket's members are not all in one component, an exact prefix join looks for links between components
     known = lambda df, key, out: df.join(names.select(F.col("id").alias(key), F.col("component").alias("_c")), key, "left").withColumn(out, F.coalesce("_c", key)).drop("_c")
-    placed = saved(known(known(members, "id", "own"), "leader", "lead"), "placed")
-    stray = placed.filter((F.col("own") != F.col("lead"))).select("bucket", F.col("id").alias("a"), F.col("own").alias("ca"))
-    other = placed.filter(F.col("id") != F.col("leader")).select("bucket", F.col("id").alias("b"), F.col("own").alias("cb"), F.col("lead").alias("lb"))
-    more = stray.join(other, "bucket").filter((F.col("ca") != F.col("cb")) & ((F.col("a") < F.col("b")) | (F.col("cb") == F.col("lb")))).select("a", "b").distinct()
-    more = verified(texts, more, threshold)
+    apart = known(known(members.distinct(), "id", "own"), "leader", "lead").filter("own <> lead")
+    open_leads = apart.select("leader").distinct()
+    still_open = saved(known(only_ids(members.select("leader", "id"), open_leads, "leader").select("id").distinct(), "id", "own"), "open")
+    more = verified(texts, _across(texts, still_open, threshold), threshold)
     if more.limit(1).count():
         names = saved(components(links.select("a", "b").union(more.select("a", "b"))), "components")
 

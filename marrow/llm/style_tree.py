@@ -8,8 +8,9 @@ footer, aside, form and the like, class names of adverts, menus, notices and com
 links lower the importance, an article or main element raises it.  A node's importance is joined with its
 branch's (text-weighted), and text in a branch of low importance is removed from each page.
 
-Pages are parsed once, to (node, text) segments that are saved; counts are partial sums by (host, node, content),
-so a host with a third of all pages makes no large group, and only small rows are looked up by host.
+Pages are parsed once, to (node, text) segments that are saved; counts are partial sums by (node, content), so a
+host with a third of all pages makes no large group.  Nodes of low importance are broadcast if they are few
+(counted) and else looked up by a shuffle of (page, node) rows.
 
 Defined results: a null or empty page, or one without text in its body, has an empty text.  Pages without a url
 share one tree.  Repeated rows get equal texts, and count as several pages.  Truncated markup is read as far as
@@ -21,6 +22,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +32,9 @@ from marrow.llm.common import saved
 from marrow.llm.groups import look_up
 
 LEAST, DECAY = 0.3, 0.9
+#: So many nodes of low importance are broadcast (8 bytes each); more are looked up by a shuffle.
+BROADCAST_NODES = 200_000
+_HOST = re.compile(r"(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)")
 #: Elements whose text is never page text, and those that don't break a line of text.
 HIDDEN = frozenset("head title script style noscript template iframe svg math object select option button textarea audio video canvas datalist".split())
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg")
@@ -121,70 +126,95 @@ def parse(page: str) -> tuple[list[tuple[str, str, int]], dict[str, list[str]]]:
     return segments, children
 
 
-def _segments(pages: DataFrame) -> DataFrame:
+def _hash(*parts: str) -> int:
+    return int.from_bytes(blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def host_of(url: str | None) -> str:
+    m = _HOST.match(url or "")
+    return m[1].lower() if m else ""
+
+
+def _parsed(pages: DataFrame) -> DataFrame:
+    """(id, url, segments, nodes): segments (node, text) in page order, and for each node of the page that holds
+    text its host and path, its presentation and its blocks' hashes and lengths."""
+    seg_type = pa.list_(pa.struct([("node", pa.int64()), ("text", pa.string())]))
+    block_type = pa.list_(pa.struct([("f", pa.int64()), ("chars", pa.int64())]))
+    node_type = pa.list_(pa.struct([("node", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("style", pa.int64()), ("blocks", block_type), ("links", pa.int64())]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 200):
-                out: dict[str, list] = {"segments": [], "nodes": []}
-                for page in batch.column(3).slice(at, 200):
+                all_segments, all_nodes = [], []
+                for url, page in zip(batch.column(1).slice(at, 200), batch.column(2).slice(at, 200), strict=True):
+                    host = host_of(url.as_py())
                     segments, children = parse(page.as_py() or "")
-                    nodes: dict[str, list] = {}
+                    nodes: dict[str, dict] = {}
                     for path, text, links in segments:
-                        nodes.setdefault(path, []).append((text, links))
-                    out["segments"].append([{"path": p, "text": t} for p, t, _ in segments])
-                    out["nodes"].append([{"path": p, "style": "\n".join(children.get(p, ())), "texts": [t for t, _ in x], "chars": sum(len(t) for t, _ in x), "links": sum(k for _, k in x)} for p, x in nodes.items()])
-                arrays = [pa.array(out["segments"], seg_type), pa.array(out["nodes"], node_type)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, 200) for k in range(3)), *arrays], names=["id", "url", "key", "segments", "nodes"])
-
-    seg_type = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string())]))
-    node_type = pa.list_(pa.struct([("path", pa.string()), ("style", pa.string()), ("texts", pa.list_(pa.string())), ("chars", pa.int64()), ("links", pa.int64())]))
+                        if (n := nodes.get(path)) is None:
+                            n = nodes[path] = {"node": _hash(host, path), "host": host, "path": path, "style": _hash(*children.get(path, ())), "blocks": [], "links": 0}
+                        n["blocks"].append({"f": _hash(text), "chars": len(text)})
+                        n["links"] += links
+                    all_segments.append([{"node": nodes[p]["node"], "text": t} for p, t, _ in segments])
+                    all_nodes.append(list(nodes.values()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 200), batch.column(1).slice(at, 200), pa.array(all_segments, seg_type), pa.array(all_nodes, node_type)], names=["id", "url", "segments", "nodes"])
+
     kind = pages.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, url string, key string, segments array<struct<path:string,text:string>>, nodes array<struct<path:string,style:string,texts:array<string>,chars:long,links:long>>"
+    schema = f"id {kind}, url string, segments array<struct<node:long,text:string>>, nodes array<struct<node:long,host:string,path:string,style:long,blocks:array<struct<f:long,chars:long>>,links:long>>"
     return pages.mapInArrow(run, schema)
 
 
 def importance(parsed: DataFrame) -> DataFrame:
-    """(host, path, importance, pages) of every node that holds text.  parsed: host, nodes."""
-    seen = parsed.select("host", F.explode("nodes").alias("n")).select("host", "n.*")
-    h = lambda *c: F.xxhash64(*c)
-    style = seen.select("host", "path", F.lit(True).alias("is_style"), h("style").alias("f"), "chars", "links")
-    blocks = seen.select("host", "path", F.explode("texts").alias("t")).select("host", "path", F.lit(False).alias("is_style"), h("t").alias("f"), F.char_length("t").cast("long").alias("chars"), F.lit(0).cast("long").alias("links"))
-    counted = style.union(blocks).groupBy("host", "path", "is_style", "f").agg(F.count("*").alias("c"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
+    """(node, host, path, importance, pages) of every node that holds text."""
+    seen = parsed.select(F.explode("nodes").alias("n")).select("n.*")
+    named = seen.groupBy("node").agg(F.min("host").alias("host"), F.min("path").alias("path"), F.sum("links").alias("links"))
+    style = F.array(F.struct(F.col("style").alias("f"), F.lit(-1).cast("long").alias("chars")))  # a length of -1 marks the presentation
+    rows = seen.select("node", F.explode(F.concat(style, "blocks")).alias("x")).select("node", "x.f", "x.chars")
+    counted = rows.groupBy("node", "f", (F.col("chars") < 0).alias("is_style")).agg(F.count("*").alias("c"), F.sum("chars").alias("chars"))
     total = lambda cond, x: F.sum(F.when(cond, x).otherwise(0.0))
     is_style = F.col("is_style")
-    node = counted.groupBy("host", "path").agg(
-        total(is_style, F.col("c")).alias("m"), total(is_style, F.col("c") * F.log("c")).alias("clogc"), total(is_style, F.col("links")).alias("links"),
+    node = counted.groupBy("node").agg(
+        total(is_style, F.col("c")).alias("m"), total(is_style, F.col("c") * F.log("c")).alias("clogc"),
         total(~is_style, F.col("chars")).alias("chars"), total(~is_style, F.col("chars") * F.log("c")).alias("logc"),
     )
     log_m = F.log(F.greatest("m", F.lit(2.0)))
     alone = F.col("m") < 2  # one page tells nothing of what comes back
     content = F.when(alone, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.col("logc") / F.greatest("chars", F.lit(1.0)) / log_m))
     shape = F.when(alone, 1.0).otherwise((log_m - F.col("clogc") / F.col("m")) / log_m)
-    entropy = DECAY * content + (1 - DECAY) * shape
+    node = node.join(named, "node")
     says = F.udf(prior, "double")  # on distinct nodes only
     dense = F.when(F.col("links") > 0.6 * F.col("chars"), 0.5).otherwise(1.0)
-    node = node.select("host", "path", "m", "chars", entropy.alias("entropy"), dense.alias("dense")).withColumn("prior", says("path"))
+    node = node.select("node", "host", "path", "m", "chars", (DECAY * content + (1 - DECAY) * shape).alias("entropy"), dense.alias("dense"), says("path").alias("prior"))
     node = node.withColumn("own", F.when(F.col("prior") >= 1, F.greatest(F.lit(0.6), F.col("entropy"))).otherwise(F.col("entropy") * F.col("prior") * F.col("dense")))
     names = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(names)), lambda k: F.array_join(F.slice(names, 1, k), "/"))
     branch = node.select("host", F.explode(above).alias("branch"), "own", "chars").groupBy("host", "branch").agg((F.sum(F.col("own") * F.col("chars")) / F.sum("chars")).alias("branch_own"))
-    below = node.select("host", "path", "own", "m", F.explode(above).alias("branch")).filter(F.size(F.split("branch", "/")) > 2)  # below the body
-    low = below.join(branch, ["host", "branch"]).groupBy("host", "path").agg(F.min("branch_own").alias("branch_own"))
-    node = node.join(low, ["host", "path"], "left")
-    return node.select("host", "path", F.least("own", F.coalesce("branch_own", "own")).alias("importance"), F.col("m").cast("long").alias("pages"))
+    below = node.select("host", "node", F.explode(above).alias("branch")).filter(F.size(F.split("branch", "/")) > 2)  # below the body
+    low = below.join(branch, ["host", "branch"]).groupBy("node").agg(F.min("branch_own").alias("branch_own"))
+    node = node.join(low, "node", "left")
+    return node.select("node", "host", "path", F.least("own", F.coalesce("branch_own", "own")).alias("importance"), F.col("m").cast("long").alias("pages"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: float = LEAST) -> DataFrame:
     """One row for each row of pages: id, url and text."""
-    h = F.coalesce(F.col(html_col), F.lit(""))
-    key = F.sha2(F.concat_ws("\n", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.coalesce(F.col(url_col), F.lit("-")), h), 256)
-    parsed = _segments(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), key.alias("key"), h.alias("html")))
-    host = F.coalesce(F.lower(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
-    parsed = saved(parsed.withColumn("host", host), "pages")
-    found = saved(importance(parsed), "nodes").filter(F.col("importance") < least)
-    low = found.select("host", "path", F.lit(True).alias("low"), "pages")
-    nodes = parsed.select("key", "host", F.explode("nodes.path").alias("path"))
-    gone = look_up(nodes, low, ["host", "path"], "low", "pages").filter("low").groupBy("key").agg(F.collect_set("path").alias("gone"))
-    out = parsed.select("id", "url", "key", "segments").join(gone, "key", "left")
-    kept = F.filter("segments", lambda s: ~F.coalesce(F.array_contains(F.col("gone"), s["path"]), F.lit(False)))
+    parsed = saved(_parsed(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))), "pages", "zstd")
+    low = saved(importance(parsed), "nodes").filter(F.col("importance") < least).select("node", "pages")
+    rows = low.select("node").limit(BROADCAST_NODES + 1).collect()
+    if len(rows) <= BROADCAST_NODES:
+        low_nodes_of = pages.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in rows))
+        kind = pages.schema[id_col].dataType.simpleString()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            low_nodes = low_nodes_of.value
+            for batch in batches:
+                texts = [" ".join(s["text"] for s in page if s["node"] not in low_nodes) for page in batch.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["id", "url", "text"])
+
+        out = parsed.select("id", "url", "segments").mapInArrow(run, f"id {kind}, url string, text string")
+        return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text")
+    keyed = parsed.select("id", "url", "segments", F.sha2(F.to_json(F.struct("id", "url", "segments")), 256).alias("key"))
+    nodes = keyed.select("key", F.explode(F.array_distinct("segments.node")).alias("node"))
+    gone = look_up(nodes, low.withColumn("low", F.lit(True)), ["node"], "low", "pages").filter("low").groupBy("key").agg(F.collect_set("node").alias("gone"))
+    out = keyed.join(gone, "key", "left")
+    kept = F.filter("segments", lambda s: ~F.coalesce(F.array_contains(F.col("gone"), s["node"]), F.lit(False)))
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), F.array_join(F.transform(kept, lambda s: s["text"]), " ").alias("text"))
