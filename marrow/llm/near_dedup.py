@@ -9,9 +9,9 @@ text takes about as many points as a short one: processes stop at a time by whic
 on where one is not).
 
 Texts with equal multisets form a class, whose smallest id stands for it.  Each bucket's members are compared with
-its shortest text; then, where a bucket's members are not yet all connected, an exact prefix join of their multisets
-finds what links different components, so no link is left out, and pairs that would only repeat a connection are
-never made.  Groups of copies cost one comparison for each member, and the members of a leader are dealt over tasks
+its shortest text, then, where a bucket's members are not all connected, with ROUNDS others.  At last all pairs
+of a bucket's members in different components are held against each other by sketches of SKETCH bits, and those that
+come near are verified: no bucket or group is capped, and pairs that would only repeat a connection are hardly made.  Groups of copies cost one comparison for each member, and the members of a leader are dealt over tasks
 by LEADER_SHARE.
 
 With 25 bands of 5 registers a pair at a similarity of 0.8 shares a bucket with a probability of 0.99995.
@@ -40,8 +40,10 @@ BANDS, ROWS, THRESHOLD = 25, 5, 0.8
 REGISTERS = BANDS * ROWS
 #: So many members of a leader are verified in one group of rows.
 LEADER_SHARE = 256
-#: Elements in so many texts, or in more than 1/MAX_COMMON of all, come last in prefixes; there are at most MAX_COMMON.
-COMMON, MAX_COMMON = 10, 500_000
+#: So many more leaders are drawn for buckets that are not all in one component, while they find links.
+ROUNDS = 1
+#: Bits of the sketches by which the remaining pairs of buckets are told apart, and members of a bucket in one task.
+SKETCH, BUCKET_SHARE = 2048, 2000
 _UNIT = 2.0**-53
 
 
@@ -53,11 +55,11 @@ def _uniform(bits: np.ndarray) -> np.ndarray:
     return ((bits >> np.uint64(11)).astype(float) + 0.5) * _UNIT
 
 
-def signatures(doc: np.ndarray, shingle: np.ndarray, count: np.ndarray, n_docs: int) -> np.ndarray:
-    """A row of REGISTERS 64-bit values for each text; zeros for a text without shingles."""
-    out = np.zeros(n_docs * REGISTERS, np.uint64)
+def signatures(doc: np.ndarray, shingle: np.ndarray, count: np.ndarray, n_docs: int, registers: int = REGISTERS) -> np.ndarray:
+    """A row of 64-bit values, one for each register, for each text; zeros for a text without shingles."""
+    out = np.zeros(n_docs * registers, np.uint64)
     if not len(doc):
-        return out.reshape(n_docs, REGISTERS)
+        return out.reshape(n_docs, registers)
     ranges = [(doc, shingle, np.zeros(len(doc), np.int64), count)]
     low, j = 1, 1
     while (covered := count > low).any():  # range j is [low, 2 low)
@@ -68,7 +70,7 @@ def signatures(doc: np.ndarray, shingle: np.ndarray, count: np.ndarray, n_docs:
     weight = np.bincount(doc, count, n_docs)
     horizon = np.zeros(n_docs)
     todo = weight > 0
-    horizon[todo] = REGISTERS / weight[todo] * (np.log(REGISTERS) + 6)
+    horizon[todo] = registers / weight[todo] * (np.log(registers) + 6)
     while todo.any():
         run = todo[d]
         active = {"d": d[run], "seed": seed[run], "low": low_of[run], "upto": upto[run], "rate": rate[run], "t": np.zeros(run.sum())}
@@ -80,20 +82,20 @@ def signatures(doc: np.ndarray, shingle: np.ndarray, count: np.ndarray, n_docs:
             active = {k: v[alive] for k, v in (active | {"t": t}).items()}
             where = _draw(active["seed"], 3 * r + 1)
             good = active["low"] + (_uniform(_draw(active["seed"], 3 * r + 2)) * active["low"]).astype(np.int64) < active["upto"]
-            slots.append((active["d"] * REGISTERS + (where % np.uint64(REGISTERS)).astype(np.int64))[good])
+            slots.append((active["d"] * registers + (where % np.uint64(registers)).astype(np.int64))[good])
             times.append(active["t"][good])
             names.append(where[good])
             r += 1
         slot, time, name = np.concatenate(slots), np.concatenate(times), np.concatenate(names)
-        first = np.full(n_docs * REGISTERS, np.inf)
+        first = np.full(n_docs * registers, np.inf)
         np.minimum.at(first, slot, time)
         wins = time == first[slot]
         out[slot[wins]] = name[wins] | np.uint64(1)
-        full = (first.reshape(n_docs, REGISTERS) < np.inf).all(1)
+        full = (first.reshape(n_docs, registers) < np.inf).all(1)
         todo &= ~full
         horizon[todo] *= 4
-        out.reshape(n_docs, REGISTERS)[todo] = 0
-    return out.reshape(n_docs, REGISTERS)
+        out.reshape(n_docs, registers)[todo] = 0
+    return out.reshape(n_docs, registers)
 
 
 def _signed(docs: DataFrame) -> DataFrame:
@@ -126,65 +128,45 @@ def _signed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, c1 long, c2 long, n long, bands array<long>")
 
 
-def _across(docs: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
-    """All pairs (a, b) of nodes (id, own) in different components that can be as alike as the threshold, and few others.
-
-    Texts so alike share one of the first n - ceil(threshold n) + 1 elements of their multisets in any common order
-    (an element is a shingle and which of its copies it is).  Elements in many texts come last, so a long passage
-    that many texts share brings no pair together unless little else is in them.  An element's rows in its commonest
-    component are paired with other components' rows alone."""
+def _sketched(docs: DataFrame) -> DataFrame:
+    """(id, s0 ... ): one bit of each of SKETCH registers; bits differ with a probability of (1 - similarity) / 2."""
     like, kind = to_arrow_type(docs.schema["id"].dataType), docs.schema["id"].dataType.simpleString()
+    names = [f"s{k}" for k in range(SKETCH // 64)]
 
-    def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, texts in blocks(batches, limit=1_000_000):
-            doc, shingle, count = bags(texts)
-            at = np.repeat(np.arange(len(doc)), count)
-            nth = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
-            e = mix(shingle[at] + (nth.astype(np.uint64) << np.uint64(1)))
-            offsets = np.r_[0, np.cumsum(np.bincount(doc[at], minlength=len(texts)))].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, like), pa.ListArray.from_arrays(pa.array(offsets), pa.array(e.view(np.int64)))], names=["id", "elements"])
-
-    own = only_ids(docs, nodes.select("id"), "id").dropDuplicates(["id"])
-    bag = saved(own.mapInArrow(elements, f"id {kind}, elements array<long>"), "elements")
-    total = bag.agg(F.sum(F.size("elements"))).first()[0] or 0
-    common = bag.select(F.explode("elements").alias("e")).groupBy("e").agg(F.count("*").alias("df")).filter(F.col("df") >= max(COMMON, total / MAX_COMMON))
-    common = common.toPandas().sort_values("e")  # at most MAX_COMMON rows
-    shared = docs.sparkSession.sparkContext.broadcast((common["e"].to_numpy(np.int64), common["df"].to_numpy(np.int64)))
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, df = shared.value
-        for batch in batches:
-            out, sizes = [], []
-            for row in batch.column(1):
-                e = row.values.to_numpy()
-                f = np.zeros(len(e), np.int64)
-                if len(often):
-                    at = np.minimum(np.searchsorted(often, e), len(often) - 1)
-                    f = np.where(often[at] == e, df[at], 0)
-                length = len(e) - int(np.ceil(threshold * len(e) - 1e-9)) + 1
-                out.append(e[np.lexsort((e, f))[:length]])
-                sizes.append(len(e))
-            offsets = np.r_[0, np.cumsum([len(x) for x in out])].astype(np.int32)
-            flat = np.concatenate(out) if out else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["id", "n", "prefix"])
-
-    rows = bag.mapInArrow(prefixes, f"id {kind}, n long, prefix array<long>").join(nodes, "id").select("id", "own", "n", F.explode("prefix").alias("e"))
-    rows = saved(rows, "prefixes")
-    mixed = rows.groupBy("e").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).filter("lo < hi").select("e")
-    rows = saved(rows.join(mixed, "e"), "prefixes")
-    usual = rows.groupBy("e", "own").agg(F.count("*").alias("k")).groupBy("e").agg(F.max_by("own", F.struct("k", "own")).alias("usual"), F.sum("k").alias("k"))
-    rows = saved(look_up(rows, usual, ["e"], "usual", "k"), "prefixes")
-    left = rows.filter("own <> usual").select("e", F.col("id").alias("a"), F.col("own").alias("ca"), F.col("n").alias("na"))
-    right = rows.select("e", F.col("id").alias("b"), F.col("own").alias("cb"), F.col("n").alias("nb"), "usual")
-    alike = (F.col("na") >= threshold * F.col("nb")) & (F.col("nb") >= threshold * F.col("na"))
-    pairs = left.join(right, "e").filter((F.col("ca") != F.col("cb")) & alike & ((F.col("cb") == F.col("usual")) | (F.col("a") < F.col("b"))))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, texts in blocks(batches, limit=200_000):
+            bits = (mix(signatures(*bags(texts), len(texts), SKETCH)) & np.uint64(1)).astype(np.uint8)
+            words = np.packbits(bits, axis=1).view("<i8")
+            yield pa.RecordBatch.from_arrays([pa.array(keys, like), *(pa.array(words[:, k].copy()) for k in range(len(names)))], names=["id", *names])
+
+    return docs.mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} long" for n in names))
+
+
+def _with_sketches(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """members (bucket, id) with sketches and the number of shares that their bucket is dealt to."""
+    texts = only_ids(docs, members.select("id").distinct(), "id").dropDuplicates(["id"])
+    sketches = saved(_sketched(texts), "sketches")
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("k")).withColumn("shares", F.ceil(F.col("k") / BUCKET_SHARE))
+    return saved(look_up(members.join(sketches, "id"), sizes, ["bucket"], "shares", "k"), "sketched")
+
+
+def _across(rows: DataFrame, threshold: float, deviations: float) -> DataFrame:
+    """The pairs (a, b) of a bucket's rows (bucket, id, own, shares, sketch) in different components whose sketches
+    are near: pairs at the threshold differ in a share of (1 - threshold) / 2 of the bits, and those up to so many
+    standard deviations beyond are made.  The members of a large bucket are dealt over tasks."""
+    bits = [f"s{k}" for k in range(SKETCH // 64)]
+    left = rows.select("bucket", F.pmod(F.xxhash64("id"), F.col("shares")).alias("share"), F.col("id").alias("a"), F.col("own").alias("ca"), *[F.col(x).alias(f"a{x}") for x in bits])
+    right = rows.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), F.col("id").alias("b"), F.col("own").alias("cb"), *[F.col(x).alias(f"b{x}") for x in bits])
+    q = (1 - threshold) / 2
+    differ = sum((F.bit_count(F.col(f"a{x}").bitwiseXOR(F.col(f"b{x}"))) for x in bits), F.lit(0))
+    near = differ <= int(SKETCH * q + deviations * (SKETCH * q * (1 - q)) ** 0.5)
+    return left.join(right, ["bucket", "share"]).filter((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & near).select("a", "b").distinct()
 
 
 def verified(docs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The pairs (a, b) whose texts are alike enough, with their similarity.  docs: id, text."""
     pairs = saved(pairs.select("a", "b").filter("a <> b").distinct(), "pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     texts = only_ids(docs, ids, "id").dropDuplicates(["id"])
     members = pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("shares", F.ceil(F.col("n") / LEADER_SHARE))
     dealt = look_up(pairs, members, ["a"], "shares", "n").withColumn("share", F.pmod(F.xxhash64("b"), F.col("shares")))
@@ -224,18 +206,42 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     first = F.min(F.struct("n", "id"))["id"]
     leaders = in_buckets.groupBy("bucket").agg(first.alias("leader"), F.count("*").alias("k")).filter("k > 1")
     members = look_up(in_buckets, saved(leaders, "leaders"), ["bucket"], "leader", "k").filter(F.col("leader").isNotNull())
-    members = saved(members.select("id", "leader", "n"), "members")
-    links = verified(texts, members.select(F.col("leader").alias("a"), F.col("id").alias("b")), threshold)
-    names = saved(components(links.select("a", "b")), "components")
-
-    # where a bucket's members are not all in one component, an exact prefix join looks for links between components
-    known = lambda df, key, out: df.join(names.select(F.col("id").alias(key), F.col("component").alias("_c")), key, "left").withColumn(out, F.coalesce("_c", key)).drop("_c")
-    apart = known(known(members.distinct(), "id", "own"), "leader", "lead").filter("own <> lead")
-    open_leads = apart.select("leader").distinct()
-    still_open = saved(known(only_ids(members.select("leader", "id"), open_leads, "leader").select("id").distinct(), "id", "own"), "open")
-    more = verified(texts, _across(texts, still_open, threshold), threshold)
-    if more.limit(1).count():
-        names = saved(components(links.select("a", "b").union(more.select("a", "b"))), "components")
+    members = saved(members.select("bucket", "id", "leader"), "members")
+    links = verified(texts, members.select(F.col("leader").alias("a"), F.col("id").alias("b")), threshold).select("a", "b")
+    names = saved(components(links), "components")
+    own = lambda df: df.join(names, "id", "left").withColumn("own", F.coalesce("component", "id")).drop("component")
+
+    # buckets that are not all in one component: other leaders connect more, each at one comparison for each member
+    for r in range(1, ROUNDS + 1):
+        placed = saved(own(members.select("bucket", "id")), "placed")
+        mixed = placed.groupBy("bucket").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).filter("lo < hi").select("bucket")
+        members = saved(placed.join(mixed, "bucket"), "mixed")
+        # the leader is drawn from outside of the bucket's commonest component
+        counted = members.groupBy("bucket", "own").agg(F.count("*").alias("k"))
+        top = counted.groupBy("bucket").agg(F.max_by("own", F.struct("k", "own")).alias("top"), F.sum("k").alias("k"))
+        strays = saved(look_up(members.select("bucket", "id", "own"), top, ["bucket"], "top", "k"), "strays").filter("own <> top")
+        drawn = strays.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("h"), "id", "own")).alias("drawn"))
+        drawn = drawn.join(counted.groupBy("bucket").agg(F.sum("k").alias("k")), "bucket")
+        pairs = look_up(members.select("bucket", "id", "own"), drawn, ["bucket"], "drawn", "k").filter("own <> drawn.own")
+        fresh = verified(texts, pairs.select(F.col("drawn.id").alias("a"), F.col("id").alias("b")), threshold).select("a", "b")
+        if not fresh.limit(1).count():
+            break
+        links = links.union(fresh)
+        names = saved(components(links), "components")
+
+    # what is left: all pairs of a bucket in different components, of which near sketches alone are made; the
+    # nearest come first, since what they connect need not be made again.  At five deviations three links in ten
+    # million are lost.
+    def mixed_of(placed: DataFrame) -> DataFrame:
+        mixed = placed.groupBy("bucket").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).filter("lo < hi").select("bucket")
+        return placed.join(mixed, "bucket", "left_semi")
+
+    sketched = _with_sketches(texts, saved(mixed_of(saved(own(members.select("bucket", "id")), "placed")).drop("own"), "open"))
+    for deviations in (0, 5):
+        fresh = verified(texts, _across(own(sketched), threshold, deviations), threshold).select("a", "b")
+        if fresh.limit(1).count():
+            links = links.union(fresh)
+            names = saved(components(links), "components")
 
     full = same.join(names.withColumnRenamed("id", "copy_of"), "copy_of", "left").withColumn("class", F.struct(F.coalesce("component", "copy_of").alias("class_id"), "copy_of"))
     out = look_up(signed.select("id", "c1", "c2"), full, ["c1", "c2"], "class", "n")
