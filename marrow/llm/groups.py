@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +16,8 @@ from marrow.llm.common import saved
 HOT_ROWS = 20_000
 #: Id lists up to this length are broadcast to filter a wide table; longer ones are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Edges that one task may join (16 bytes each).
+EDGES_IN_TASK = 1_000_000
 
 
 def look_up(rows: DataFrame, entries: DataFrame, keys: list[str], value: str, count: str) -> DataFrame:
@@ -43,11 +49,14 @@ def _bounded(ids: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every id in edges (a, b): the component is named by its smallest id.
 
-    Alternating large and small stars (Kiveris et al. 2014), each round saved; a round's smallest neighbours are
-    aggregated with partial sums and looked up without gathering a node's neighbours in one task."""
+    Up to EDGES_IN_TASK edges (counted; 16 bytes each) are joined by union-find in one task.  More take alternating
+    large and small stars (Kiveris et al. 2014), each round saved; a round's smallest neighbours are aggregated with
+    partial sums and looked up without gathering a node's neighbours in one task.  Both give the same components."""
     now = saved(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first())
     before = mark(now)
+    if 0 < before[0] <= EDGES_IN_TASK:
+        return now.coalesce(1).mapInArrow(_union_find, now.select(F.col("u").alias("id"), F.col("v").alias("component")).schema)
     while before[0]:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
@@ -61,3 +70,21 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = after
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
+
+
+def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = pa.Table.from_batches(batches)
+    nodes, place = np.unique(np.concatenate([rows.column(0).to_numpy(), rows.column(1).to_numpy()]), return_inverse=True)
+    a, b = place[: rows.num_rows], place[rows.num_rows :]
+    root = np.arange(len(nodes))
+    while True:  # every root is hung below the smallest root that it meets, and paths are halved
+        while not np.array_equal(up := root[root], root):
+            root = up
+        ra, rb = root[a], root[b]
+        apart = ra != rb
+        if not apart.any():
+            break
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+    kind = rows.schema.field(0).type
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array(nodes[root], kind)], names=["id", "component"])

@@ -9,10 +9,10 @@ text takes about as many points as a short one: processes stop at a time by whic
 on where one is not).
 
 Texts with equal multisets form a class, whose smallest id stands for it.  Each bucket's members are compared with
-its shortest text, then, where a bucket's members are not all connected, with ROUNDS others.  At last all pairs
-of a bucket's members in different components are held against each other by sketches of SKETCH bits, and those that
+its shortest text, and, where very many are then not all connected, with a few others.  At last all pairs of a bucket's
+members in different components are held against each other by sketches of SKETCH bits, and those that
 come near are verified: no bucket or group is capped, and pairs that would only repeat a connection are hardly made.  Groups of copies cost one comparison for each member, and the members of a leader are dealt over tasks
-by LEADER_SHARE.
+over shares.
 
 With 25 bands of 5 registers a pair at a similarity of 0.8 shares a bucket with a probability of 0.99995.
 
@@ -38,10 +38,10 @@ from marrow.llm.shingles import bags, jaccard, mix
 
 BANDS, ROWS, THRESHOLD = 25, 5, 0.8
 REGISTERS = BANDS * ROWS
-#: So many members of a leader are verified in one group of rows.
-LEADER_SHARE = 256
-#: So many more leaders are drawn for buckets that are not all in one component, while they find links.
-ROUNDS = 1
+#: Pairs are dealt to shares so that no leader has many more members than this in one group of rows.
+PAIRS_IN_GROUP = 50_000
+#: While buckets that are not all in one component have more rows than this, up to ROUNDS more leaders are drawn.
+MANY_MEMBERS, ROUNDS = 2_000_000, 4
 #: Bits of the sketches by which the remaining pairs of buckets are told apart, and members of a bucket in one task.
 SKETCH, BUCKET_SHARE = 2048, 2000
 _UNIT = 2.0**-53
@@ -166,23 +166,24 @@ def _across(rows: DataFrame, threshold: float, deviations: float) -> DataFrame:
 def verified(docs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The pairs (a, b) whose texts are alike enough, with their similarity.  docs: id, text."""
     pairs = saved(pairs.select("a", "b").filter("a <> b").distinct(), "pairs")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = only_ids(docs, ids, "id").dropDuplicates(["id"])
-    members = pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("shares", F.ceil(F.col("n") / LEADER_SHARE))
-    dealt = look_up(pairs, members, ["a"], "shares", "n").withColumn("share", F.pmod(F.xxhash64("b"), F.col("shares")))
-    firsts = members.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"))
+    shares = -(-pairs.count() // PAIRS_IN_GROUP) or 1
+    dealt = pairs.withColumn("share", F.pmod(F.xxhash64("b"), F.lit(shares)))
+    texts = only_ids(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "id").dropDuplicates(["id"])
     kind = docs.schema["id"].dataType.simpleString()
     rows = dealt.join(texts, F.col("b") == F.col("id")).select("a", "share", "b", "text")
-    rows = rows.union(firsts.join(texts, F.col("a") == F.col("id")).select("a", "share", F.lit(None).cast(kind), "text"))
+    rows = rows.union(dealt.select("a", "share").distinct().join(texts, F.col("a") == F.col("id")).select("a", "share", F.lit(None).cast(kind), "text"))
     rows = rows.repartition("a", "share").sortWithinPartitions("a", "share", F.col("b").asc_nulls_first())
     like = to_arrow_type(docs.schema["id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, bag = None, None
-        for batch in batches:
+        for batch in (x.slice(at, 500) for x in batches for at in range(0, len(x), 500)):
             found = ([], [], [])
-            for a, share, b, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = bags([text or ""])[1:]
+            firsts, shares, seconds, texts = (c.to_pylist() for c in batch.columns)
+            doc, shingle, count = bags([t or "" for t in texts])
+            bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
+            for k, (a, share, b) in enumerate(zip(firsts, shares, seconds, strict=True)):
+                own = shingle[bounds[k] : bounds[k + 1]], count[bounds[k] : bounds[k + 1]]
                 if b is None:
                     head, bag = (a, share), own
                 elif head == (a, share) and (x := jaccard(bag, own)) >= threshold:
@@ -193,6 +194,13 @@ def verified(docs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) ->
     return saved(rows.mapInArrow(run, f"a {kind}, b {kind}, similarity double"), "links")
 
 
+def _mixed(placed: DataFrame) -> DataFrame:
+    """The members (bucket, id, own) of buckets that have more than one component."""
+    placed = saved(placed, "placed")
+    mixed = placed.groupBy("bucket").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).filter("lo < hi").select("bucket")
+    return saved(placed.join(mixed, "bucket", "left_semi"), "mixed")
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row for each row of docs: id, class_id (the smallest id of its group) and copy_of (the smallest id with an equal multiset of shingles)."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -211,32 +219,27 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     names = saved(components(links), "components")
     own = lambda df: df.join(names, "id", "left").withColumn("own", F.coalesce("component", "id")).drop("component")
 
-    # buckets that are not all in one component: other leaders connect more, each at one comparison for each member
-    for r in range(1, ROUNDS + 1):
-        placed = saved(own(members.select("bucket", "id")), "placed")
-        mixed = placed.groupBy("bucket").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).filter("lo < hi").select("bucket")
-        members = saved(placed.join(mixed, "bucket"), "mixed")
-        # the leader is drawn from outside of the bucket's commonest component
+    members = _mixed(own(members.select("bucket", "id")))
+    for r in range(ROUNDS):  # each leader takes one comparison for each member, and connects what is dense
+        if members.count() <= MANY_MEMBERS:
+            break
         counted = members.groupBy("bucket", "own").agg(F.count("*").alias("k"))
         top = counted.groupBy("bucket").agg(F.max_by("own", F.struct("k", "own")).alias("top"), F.sum("k").alias("k"))
-        strays = saved(look_up(members.select("bucket", "id", "own"), top, ["bucket"], "top", "k"), "strays").filter("own <> top")
+        strays = look_up(members, top, ["bucket"], "top", "k").filter("own <> top")  # the leader is drawn from outside of the bucket's commonest component
         drawn = strays.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("h"), "id", "own")).alias("drawn"))
-        drawn = drawn.join(counted.groupBy("bucket").agg(F.sum("k").alias("k")), "bucket")
-        pairs = look_up(members.select("bucket", "id", "own"), drawn, ["bucket"], "drawn", "k").filter("own <> drawn.own")
+        drawn = saved(drawn.join(top.select("bucket", "k"), "bucket"), "drawn")
+        pairs = look_up(members, drawn, ["bucket"], "drawn", "k").filter("own <> drawn.own")
         fresh = verified(texts, pairs.select(F.col("drawn.id").alias("a"), F.col("id").alias("b")), threshold).select("a", "b")
         if not fresh.limit(1).count():
             break
         links = links.union(fresh)
         names = saved(components(links), "components")
+        members = _mixed(own(members.drop("own")))
 
     # what is left: all pairs of a bucket in different components, of which near sketches alone are made; the
     # nearest come first, since what they connect need not be made again.  At five deviations three links in ten
     # million are lost.
-    def mixed_of(placed: DataFrame) -> DataFrame:
-        mixed = placed.groupBy("bucket").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).filter("lo < hi").select("bucket")
-        return placed.join(mixed, "bucket", "left_semi")
-
-    sketched = _with_sketches(texts, saved(mixed_of(saved(own(members.select("bucket", "id")), "placed")).drop("own"), "open"))
+    sketched = _with_sketches(texts, members.drop("own"))
     for deviations in (0, 5):
         fresh = verified(texts, _across(own(sketched), threshold, deviations), threshold).select("a", "b")
         if fresh.limit(1).count():
