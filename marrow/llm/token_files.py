@@ -34,7 +34,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from marrow.llm.common import saved
 
 #: Bytes of text in a block of the files, and distinct words that are tokenized in one string.
-BLOCK_BYTES, JOINED = 8_000_000, 200
+BLOCK_BYTES, JOINED = 6_000_000, 200
 #: Texts with white space beside a space or a newline, or a space or a newline at an end.
 _WHITE = r"\t\x{0b}\f\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _ODD = rf"\A[ \n]|[ \n]\z|[ \n][ \n{_WHITE}]|[{_WHITE}][ \n]"
@@ -65,12 +65,17 @@ class WordTable:
     def _one(self, text: str) -> list[int]:
         return self.tok.encode(text, add_special_tokens=False).ids
 
+    def _encoded(self, groups: list[list[str]], after_space: bool) -> Iterator[tuple[list[str], object]]:
+        for at in range(0, len(groups), 32):  # the library's results are much larger than the ids in them
+            some = groups[at : at + 32]
+            joined = [" " + " ".join(g) if after_space else "\n".join(g) for g in some]
+            yield from zip(some, self.tok.encode_batch_fast(joined, add_special_tokens=False), strict=True)
+
     def _distinct(self, words: list[str], after_space: bool) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Runs of ids, and the number of each word's: many words go in one string, in which an id that starts with a space starts a word, or the id of a newline ends one."""
         runs, sizes = [], []
         groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
-        joined = [" " + " ".join(g) if after_space else "\n".join(g) for g in groups]
-        for group, enc in zip(groups, self.tok.encode_batch_fast(joined, add_special_tokens=False), strict=True):
+        for group, enc in self._encoded(groups, after_space):
             ids = np.array(enc.ids, "<u4")
             marks = self.spaced[ids] if after_space else ids == self.newline[0]
             at = np.flatnonzero(marks)
