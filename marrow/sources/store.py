@@ -131,7 +131,7 @@ class Store:
                 log = change_rows(model, before[name], written)
                 if self.can_write is not None and not self.can_write(model, log.filter("kind = 'saved'").select("after")):
                     raise WriteDenied(name)
-                logs.append(log)
+                logs.append(log.select("model", "key", "kind", F.to_json("before").alias("before"), F.to_json("after").alias("after")))
         except Exception:
             for name in tables:
                 self.files.delete(f"{self.path}/{name}/{version}")
@@ -139,9 +139,8 @@ class Store:
         log = logs[0]
         for more in logs[1:]:
             log = log.unionByName(more)
-        log = log.withColumn("n", F.row_number().over(_by_model())).select((F.col("n") + F.lit(state["seq"])).cast("long").alias("seq"), "model", "key", "kind", F.to_json("before").alias("before"), F.to_json("after").alias("after"))
-        log.write.mode("append").parquet(f"{self.path}/_changes")
-        n = self.spark.read.parquet(f"{self.path}/_changes").agg(F.max("seq")).first()[0] or state["seq"]
+        self._append_changes(log, state["seq"], f"{self.path}/_staged/{version}")
+        n = (self.spark.read.parquet(f"{self.path}/_changes").agg(F.max("seq")).first()[0] or state["seq"]) if self.files.read(f"{self.path}/_changes/_SUCCESS") is not None else state["seq"]
         tables_now = state["tables"] | {name: version for name in tables}
         self.files.replace(f"{self.path}/manifest.json", json.dumps({"version": state["version"] + 1, "seq": n, "tables": tables_now}))
         for name in tables:
@@ -152,6 +151,21 @@ class Store:
         if self.observe is not None:
             self.observe({"op": "commit", "models": list(tables), "seconds": (datetime.now(UTC) - began).total_seconds(), "changes": n - state["seq"]})
 
+    def _append_changes(self, log: DataFrame, seq: int, staging: str) -> None:
+        """Numbers the changes by model and key and appends them: each task numbers its own range, from where the ranges before it end."""
+        at = F.monotonically_increasing_id()
+        ranged = log.repartitionByRange("model", "key").sortWithinPartitions("model", "key")
+        ranged.withColumns({"part": F.shiftright(at, 33), "n": at.bitwiseAND(F.lit((1 << 33) - 1))}).write.parquet(staging)
+        staged = self.spark.read.parquet(staging)
+        before, total = [], seq
+        for r in staged.groupBy("part").count().orderBy("part").collect():  # one row for each task
+            before.append((r["part"], total))
+            total += r["count"]
+        if before:
+            start = F.create_map(*[F.lit(x) for pair in before for x in pair])[F.col("part")]
+            staged.select((start + F.col("n") + 1).cast("long").alias("seq"), "model", "key", "kind", "before", "after").write.mode("append").parquet(f"{self.path}/_changes")
+        self.files.delete(staging)
+
     def _committed(self, name: str) -> DataFrame:
         staged, self._staged = self._staged, None
         try:
@@ -226,12 +240,6 @@ class Store:
                     self._changed(m.name, base.filter(fresh))
 
 
-def _by_model():
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy(F.lit(0)).orderBy("model", "key")
-
-
 def change_rows(model: Model, before: DataFrame, after: DataFrame) -> DataFrame:
     """(model, key, kind, before, after) of the rows that differ between two versions of a table."""
     columns = model.struct().names
