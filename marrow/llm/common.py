@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,5 +56,16 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), WORD_GAP, -1), lambda w: w != "")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once, unless they find it by PYTHONPATH."""
+    root = Path(__file__).resolve().parents[2]
+    if str(root) in map(os.path.realpath, os.environ.get("PYTHONPATH", "").split(os.pathsep)) or getattr(spark.sparkContext, "_marrow_shipped", False):
+        return
+    with tempfile.TemporaryDirectory() as d:  # addPyFile copies it to where executors fetch it
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{d}/marrow", "zip", root, "marrow"))
+    spark.sparkContext._marrow_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

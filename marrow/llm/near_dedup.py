@@ -142,10 +142,10 @@ def _sketched(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} long" for n in names))
 
 
-def _with_sketches(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """members (bucket, id) with sketches and the number of shares that their bucket is dealt to."""
+def _with_sketches(docs: DataFrame, members: DataFrame, heads: DataFrame) -> DataFrame:
+    """members (band, bucket, id) with sketches, all their buckets, and the number of shares that their bucket is dealt to."""
     texts = only_ids(docs, members.select("id").distinct(), "id").dropDuplicates(["id"])
-    sketches = saved(_sketched(texts), "sketches")
+    sketches = saved(_sketched(texts), "sketches").join(heads.select("id", "bands"), "id")
     sizes = members.groupBy("bucket").agg(F.count("*").alias("k")).withColumn("shares", F.ceil(F.col("k") / BUCKET_SHARE))
     return saved(look_up(members.join(sketches, "id"), sizes, ["bucket"], "shares", "k"), "sketched")
 
@@ -153,14 +153,15 @@ def _with_sketches(docs: DataFrame, members: DataFrame) -> DataFrame:
 def _across(rows: DataFrame, threshold: float, deviations: float) -> DataFrame:
     """The pairs (a, b) of a bucket's rows (bucket, id, own, shares, sketch) in different components whose sketches
     are near: pairs at the threshold differ in a share of (1 - threshold) / 2 of the bits, and those up to so many
-    standard deviations beyond are made.  The members of a large bucket are dealt over tasks."""
+    standard deviations beyond are made, each in the first bucket that has both.  The members of a large bucket are dealt over tasks."""
     bits = [f"s{k}" for k in range(SKETCH // 64)]
-    left = rows.select("bucket", F.pmod(F.xxhash64("id"), F.col("shares")).alias("share"), F.col("id").alias("a"), F.col("own").alias("ca"), *[F.col(x).alias(f"a{x}") for x in bits])
-    right = rows.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), F.col("id").alias("b"), F.col("own").alias("cb"), *[F.col(x).alias(f"b{x}") for x in bits])
+    left = rows.select("bucket", F.pmod(F.xxhash64("id"), F.col("shares")).alias("share"), "band", F.col("id").alias("a"), F.col("own").alias("ca"), F.col("bands").alias("abands"), *[F.col(x).alias(f"a{x}") for x in bits])
+    right = rows.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), F.col("id").alias("b"), F.col("own").alias("cb"), F.col("bands").alias("bbands"), *[F.col(x).alias(f"b{x}") for x in bits])
     q = (1 - threshold) / 2
     differ = sum((F.bit_count(F.col(f"a{x}").bitwiseXOR(F.col(f"b{x}"))) for x in bits), F.lit(0))
     near = differ <= int(SKETCH * q + deviations * (SKETCH * q * (1 - q)) ** 0.5)
-    return left.join(right, ["bucket", "share"]).filter((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    again = F.arrays_overlap(F.slice("abands", 1, F.col("band")), F.slice("bbands", 1, F.col("band")))  # an earlier band makes this pair
+    return left.join(right, ["bucket", "share"]).filter((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & near & ~again).select("a", "b").distinct()
 
 
 def verified(docs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -210,16 +211,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     same = saved(named.groupBy("c1", "c2").agg(F.min("id").alias("copy_of"), F.count("*").alias("n")), "copies")
     # one row for each class: its members have equal bands, so any row's will do
     heads = wordy.groupBy("c1", "c2").agg(F.min_by("bands", "id").alias("bands"), F.min("id").alias("id"), F.first("n").alias("n"))
-    in_buckets = heads.select("id", "n", F.explode("bands").alias("bucket"))
+    in_buckets = heads.select("id", "n", F.posexplode("bands").alias("band", "bucket"))
     first = F.min(F.struct("n", "id"))["id"]
     leaders = in_buckets.groupBy("bucket").agg(first.alias("leader"), F.count("*").alias("k")).filter("k > 1")
     members = look_up(in_buckets, saved(leaders, "leaders"), ["bucket"], "leader", "k").filter(F.col("leader").isNotNull())
-    members = saved(members.select("bucket", "id", "leader"), "members")
+    members = saved(members.select("band", "bucket", "id", "leader"), "members")
     links = verified(texts, members.select(F.col("leader").alias("a"), F.col("id").alias("b")), threshold).select("a", "b")
     names = saved(components(links), "components")
     own = lambda df: df.join(names, "id", "left").withColumn("own", F.coalesce("component", "id")).drop("component")
 
-    members = _mixed(own(members.select("bucket", "id")))
+    members = _mixed(own(members.select("band", "bucket", "id")))
     for r in range(ROUNDS):  # each leader takes one comparison for each member, and connects what is dense
         if members.count() <= MANY_MEMBERS:
             break
@@ -239,7 +240,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     # what is left: all pairs of a bucket in different components, of which near sketches alone are made; the
     # nearest come first, since what they connect need not be made again.  At five deviations three links in ten
     # million are lost.
-    sketched = _with_sketches(texts, members.drop("own"))
+    sketched = _with_sketches(texts, members.drop("own"), heads)
     for deviations in (0, 5):
         fresh = verified(texts, _across(own(sketched), threshold, deviations), threshold).select("a", "b")
         if fresh.limit(1).count():
