@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from marrow.functions import nodes as N
 from marrow.operators import patch
+from marrow.operators.inverse import inverse_updates
 from marrow.operators.query import Catalog, Query
 from marrow.plans import compiler
 from marrow.plans.compiler import Scope
@@ -76,6 +77,7 @@ class Store:
         for m in self.models.values():
             self.catalog.add(m, lambda m=m: self.table(m.name))
         self._listeners: list[Callable[[str, DataFrame], None]] = []
+        self._cache: dict[str, DataFrame] = {}
 
     # reading
     def manifest(self) -> dict[str, Any]:
@@ -96,6 +98,18 @@ class Store:
     def query(self, name: str) -> Query:
         return self.catalog.query(name, self.policy)
 
+    def cached(self, query: Query) -> DataFrame:
+        """The query's rows, kept until the next commit of any model; equal queries share them."""
+        key = query.digest()
+        if key not in self._cache:
+            self._cache[key] = query.frame().persist()
+        return self._cache[key]
+
+    def _forget(self) -> None:
+        for df in self._cache.values():
+            df.unpersist()
+        self._cache.clear()
+
     def sql(self, text: str, **args: Any) -> DataFrame:
         """Raw SQL over the models as views."""
         for name in self.models:
@@ -143,6 +157,7 @@ class Store:
         n = (self.spark.read.parquet(f"{self.path}/_changes").agg(F.max("seq")).first()[0] or state["seq"]) if self.files.read(f"{self.path}/_changes/_SUCCESS") is not None else state["seq"]
         tables_now = state["tables"] | {name: version for name in tables}
         self.files.replace(f"{self.path}/manifest.json", json.dumps({"version": state["version"] + 1, "seq": n, "tables": tables_now}))
+        self._forget()
         for name in tables:
             for listener in self._listeners:
                 listener(name, self.changes(state["seq"]).filter(F.col("model") == name))
@@ -179,7 +194,13 @@ class Store:
         if not isinstance(rows, DataFrame):
             by_key = {r[model.key]: r for r in map(model.instance, rows)}
             rows = self.spark.createDataFrame([tuple(r[f.name] for f in model.struct()) for r in by_key.values()], model.struct())
-        self._changed(name, patch.merged(self.table(name), rows, model.key))
+        changed = {name: patch.merged(self.table(name), rows, model.key)}
+        tables = {n: changed.get(n, self.table(n)) for n in {p.target for p in model.properties.values() if p.inverse and not p.embed}}
+        changed |= inverse_updates(self.models, tables, model, self.table(name), rows)
+        if self._staged is not None:
+            self._staged |= changed
+        else:
+            self._commit(changed)
 
     def remove(self, name: str, where: N.Predicate, hard: bool = False) -> None:
         model, base = self.models[name], self.table(name)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marrow.functions import nodes as N
-from marrow.operators.query import Query
+from marrow.operators.query import Query, _paths, _relation
 from marrow.sources.store import Store, matching
 
 CHANGES = "seq long, model string, key string, kind string, before string, after string"
@@ -84,7 +84,12 @@ class LiveQuery:
         if not self.store.manifest()["seq"]:
             return
         seen = self.store.manifest()["seq"]
-        stream = change_stream(self.store, self.query.model.name, self.query.where_).filter(F.col("seq") > seen)
+        targets = self._targets()
+        if targets:  # a related row may change the result: any change of either model counts
+            stream = change_stream(self.store).filter(F.col("model").isin([self.query.model.name, *targets]))
+        else:
+            stream = change_stream(self.store, self.query.model.name, self.query.where_)
+        stream = stream.filter(F.col("seq") > seen)
 
         def on_batch(batch: DataFrame, _: int) -> None:
             if batch.limit(1).count():
@@ -93,6 +98,11 @@ class LiveQuery:
         writer = stream.writeStream.foreachBatch(on_batch).trigger(processingTime="1 second")
         self._stream = (writer.option("checkpointLocation", self.checkpoint) if self.checkpoint else writer).start()
 
+    def _targets(self) -> list[str]:
+        """Models that the filter reaches by a relation, one hop away."""
+        found = (_relation(self.query.model, path) for path in _paths(self.query.where_))
+        return sorted({p.target for _, p, _ in filter(None, found)})
+
     def drain(self) -> None:
         """Waits for what is in the log; for tests."""
         if self._stream is not None:

@@ -7,7 +7,7 @@ from marrow.functions import nodes as N
 from marrow.operators import patch
 from marrow.operators.documents import Collection
 from marrow.operators.wrappers import observed, retried
-from marrow.schema import Index, Model, array, integer, text
+from marrow.schema import Index, Model, array, integer, text, to_many, to_one
 from marrow.sources import io, migrate
 from marrow.sources.store import Store, UniqueViolation, WriteDenied
 from marrow.streaming import live, sync
@@ -224,3 +224,37 @@ def test_streamed_fold_equals_the_batch(spark, tmp_path):
     for r in spark.table("folded").orderBy("version").collect():
         got[r.key] = (r.version, r.seq)
     assert got == want
+
+
+def test_inverse_relations_stay_in_step(spark, tmp_path):
+    user = Model("user", {"events": to_many("event", inverse="users"), "team": to_one("team", inverse="lead")})
+    event, team = Model("event", {"users": to_many("user")}), Model("team", {"lead": to_one("user")})
+    s = Store(spark, f"file://{tmp_path}/i", [user, event, team])
+    s.save("event", [{"uuid": "e1", "users": ["x"]}, {"uuid": "e2"}])
+    s.save("team", [{"uuid": "t"}])
+    s.save("user", [{"uuid": "u1", "events": ["e1", "e2"], "team": "t"}, {"uuid": "u2", "events": ["e2"]}])
+    assert {k: r["users"] for k, r in rows(s, "event").items()} == {"e1": ["x", "u1"], "e2": ["u1", "u2"]} and rows(s, "team")["t"].lead == "u1"
+    s.save("user", [{"uuid": "u1", "events": ["e1"]}])
+    assert {k: r["users"] for k, r in rows(s, "event").items()} == {"e1": ["x", "u1"], "e2": ["u2"]} and rows(s, "team")["t"].lead is None
+
+
+def test_results_are_kept_until_a_commit(store):
+    store.save("song", [{"uuid": "a", "title": "A", "plays": 9}])
+    q = lambda: store.query("song").filter(N.gt("plays", 5))
+    first = store.cached(q())
+    assert store.cached(q()) is first and first.count() == 1
+    store.save("song", [{"uuid": "b", "title": "B", "plays": 7}])
+    assert store.cached(q()) is not first and store.cached(q()).count() == 2
+
+
+def test_live_queries_follow_related_models(spark, tmp_path):
+    band, album = Model("band", {"name": text()}), Model("album", {"band": to_one("band")})
+    s = Store(spark, f"file://{tmp_path}/r", [band, album])
+    s.save("band", [{"uuid": "b", "name": "old"}])
+    s.save("album", [{"uuid": "a", "band": "b"}])
+    query, got = live.LiveQuery(s, s.query("album").filter(N.eq("band.name", "new")), lambda q: [r.uuid for r in q.list()]), []
+    stop = query.subscribe(got.append)
+    s.save("band", [{"uuid": "b", "name": "new"}])
+    query.drain()
+    stop()
+    assert got == [[], ["a"]]
