@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marrow.llm import decontam, line_dedup, near_dedup, piece_table, toxicity
-from marrow.llm.common import discard, saved, table
+from marrow.llm.common import discard, saved, ship, table
 from marrow.llm.groups import without_ids
 from marrow.llm.training import remainder, score_of
 
 
 def _tidy(spark: SparkSession) -> None:
+    ship(spark)
     if not getattr(spark.sparkContext, "_marrow_running", False):  # run() does this itself
         discard(spark)
 

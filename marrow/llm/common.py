@@ -56,8 +56,14 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), WORD_GAP, -1), lambda w: w != "")
 
 
+#: Rows that Spark sends to Python at a time, where the session has its default of 10,000: rows here hold whole texts.
+ARROW_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once, unless they find it by PYTHONPATH."""
+    """Sends this package to the executors, once, unless they find it by PYTHONPATH; makes Arrow batches fit for texts."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     root = Path(__file__).resolve().parents[2]
     if str(root) in map(os.path.realpath, os.environ.get("PYTHONPATH", "").split(os.pathsep)) or getattr(spark.sparkContext, "_marrow_shipped", False):
         return

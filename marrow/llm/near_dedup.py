@@ -103,7 +103,7 @@ def _signed(docs: DataFrame) -> DataFrame:
     like, kind = to_arrow_type(docs.schema["id"].dataType), docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, texts in blocks(batches, limit=1_000_000):
+        for keys, texts in blocks(batches, limit=500_000):
             doc, shingle, count = bags(texts)
             n = len(texts)
             sig = signatures(doc, shingle, count, n).reshape(n, BANDS, ROWS)
@@ -134,7 +134,7 @@ def _sketched(docs: DataFrame) -> DataFrame:
     names = [f"s{k}" for k in range(SKETCH // 64)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, texts in blocks(batches, limit=200_000):
+        for keys, texts in blocks(batches, limit=100_000):
             bits = (mix(signatures(*bags(texts), len(texts), SKETCH)) & np.uint64(1)).astype(np.uint8)
             words = np.packbits(bits, axis=1).view("<i8")
             yield pa.RecordBatch.from_arrays([pa.array(keys, like), *(pa.array(words[:, k].copy()) for k in range(len(names)))], names=["id", *names])

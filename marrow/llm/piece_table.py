@@ -24,9 +24,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-TABLE_ROWS = 300_000
+TABLE_ROWS = 150_000
 #: Characters of text that are turned into one output batch.
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 1_000_000
 _CHUNK = re.compile(" +[^ ]*")
 
 
@@ -92,6 +92,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text_at: int = 1, limit: int = BLO
                 ids, texts, size = [], [], 0
     if ids:
         yield ids, texts
+    pa.default_memory_pool().release_unused()  # workers are used again by other stages
 
 
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: bool = True, decode: bool = True) -> DataFrame:
