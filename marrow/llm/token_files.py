@@ -34,7 +34,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from marrow.llm.common import saved
 
 #: Bytes of text in a block of the files, and distinct words that are tokenized in one string.
-BLOCK_BYTES, JOINED = 6_000_000, 200
+BLOCK_BYTES, JOINED = 16_000_000, 200
 #: Texts with white space beside a space or a newline, or a space or a newline at an end.
 _WHITE = r"\t\x{0b}\f\r\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _ODD = rf"\A[ \n]|[ \n]\z|[ \n][ \n{_WHITE}]|[{_WHITE}][ \n]"
@@ -107,7 +107,7 @@ class WordTable:
         words = pc.split_pattern(pc.replace_substring(texts, "\n", " \n "), " ")
         bounds = words.offsets.to_numpy()
         coded = words.flatten().dictionary_encode()
-        code, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        code, names = coded.indices.to_numpy().astype(np.int32), coded.dictionary
         n = len(names)
         nl = pc.index(names, pa.scalar("\n", names.type)).as_py()
         bare = np.zeros(len(code), bool)  # words with no space before them: at a text's and at a line's start
@@ -123,25 +123,35 @@ class WordTable:
         runs, sizes = spaced[0] + bare_ones[0], spaced[1] + bare_ones[1]
         if nl >= 0:
             used, runs, sizes = np.append(used, nl), [*runs, self.newline], [*sizes, [len(self.newline)]]
-        length, start = np.zeros(2 * n + 1, np.int64), np.zeros(2 * n + 1, np.int64)
+        length, start = np.zeros(2 * n + 1, np.int32), np.zeros(2 * n + 1, np.int32)
         length[used] = np.concatenate(sizes)
         start[used] = np.cumsum(length[used]) - length[used]
         size = length[code]
-        ends = np.cumsum(size)
-        at = np.arange(ends[-1]) + np.repeat(start[code] - (ends - size), size)
+        ends = np.cumsum(size, dtype=np.int32)
+        at = np.repeat(start[code] - (ends - size), size)
+        at += np.arange(ends[-1], dtype=np.int32)
         counts = np.add.reduceat(size, bounds[:-1] - bounds[0])
         return np.concatenate(runs)[at], counts
 
 
-def _slices(batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows of about that many bytes of text (column 1)."""
-    sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy().astype(np.int64) + 16)
-    at = 0
-    while at < len(batch):
-        before = sizes[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(sizes, before + limit, "right")))
-        yield batch.slice(at, to - at)
-        at = to
+def _slices(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """The batches cut and joined to runs of rows of about that many bytes of text (column 1)."""
+    held, size = [], 0
+    for batch in batches:
+        sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy().astype(np.int64) + 16)
+        at = 0
+        while at < len(batch):
+            before = sizes[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(sizes, before + limit - size, "right")))
+            held.append(batch.slice(at, to - at))
+            size += int(sizes[to - 1] - before)
+            at = to
+            if size >= limit or at < len(batch):
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    pa.default_memory_pool().release_unused()  # workers are used again by other stages
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -173,7 +183,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, id_c
         width = max(table.size, end_id + 1)
         counts, narrow = np.zeros(width, np.int64), np.dtype("<u2" if width <= 65536 else "<u4")
         row = lambda *v: pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(v, [pa.int32(), pa.int64(), pa.int64(), pa.list_(like), pa.list_(pa.int64()), pa.binary()], strict=True)], names=names)
-        for block in (x for batch in batches for x in _slices(batch, BLOCK_BYTES)):
+        for block in _slices(batches, BLOCK_BYTES):
             ids, lens = table.encode(block.column(1))
             ids = np.insert(ids.astype(narrow), np.cumsum(lens), narrow.type(end_id))
             counts += np.bincount(ids, minlength=width)
