@@ -10,7 +10,7 @@ less than RECALL of them it is run again with a wider beam and by the bound that
 
 A vector is counted in the shard of its nearest cluster alone, so links are counted without a list of pairs; the
 shards send the edges of a spanning forest, from which components are made.  A cluster with more than SHARD
-vectors is split at random into shards of that size, and the searchers of a shard are dealt over tasks in blocks of
+vectors, its overlap included, is split at random into shards of that size, and the searchers of a shard are dealt over tasks in blocks of
 QUERIES, so no task holds more than these however many near copies there are.  Equal vectors stand for one another.
 
 Defined results: a vector that is null, zero, of another length than most, or holds a null or a number that is not
@@ -254,7 +254,7 @@ def _searched(heads: DataFrame, cosine: float, margin: float, beam: int, seed: i
 
     plain = heads.select("id", "v", "copies")
     shards = plain.mapInArrow(assign, "cluster int, role int, id long, v array<double>, copies long")
-    sizes = {r["cluster"]: r["count"] for r in shards.filter("role = 0").groupBy("cluster").count().collect()}  # one row for each cluster
+    sizes = {r["cluster"]: r["count"] for r in shards.groupBy("cluster").count().collect()}  # one row for each cluster; the overlap counts too
     parts = F.create_map(*[F.lit(x) for k, m in sizes.items() for x in (k, math.ceil(m / SHARD))]) if sizes else F.create_map(F.lit(0), F.lit(1))
     shards = saved(shards.withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce(parts[F.col("cluster")], F.lit(1))).cast("int")), "shards")
 
