@@ -4,7 +4,7 @@ Vectors are dealt to clusters (k-means on a bounded sample).  Each is in its nea
 overlap, in the next one's; a robust-pruned proximity graph is built in every shard, and a vector's adjacency lists
 of all its shards are united into one flat graph.  Every vector then searches the shards whose centroid is not
 much farther than its nearest: greedily from the shard's medoids, and, once inside the range, on through the
-neighbours of all that it has found there.  Cosines are verified in double precision.  The result is audited: the
+neighbours of all that it has found there; where it is itself in a shard it starts from there too.  Cosines are verified in double precision.  The result is audited: the
 links of a bounded sample of vectors are counted by brute force against all vectors, and where the search found
 less than RECALL of them it is run again with a wider beam and by the bound that loses no shard.
 
@@ -31,7 +31,7 @@ from marrow.llm.common import saved
 from marrow.llm.groups import components, look_up
 
 SHARD, QUERIES, SAMPLE, MAX_CLUSTERS = 3000, 3000, 20_000, 1024
-DEGREE, POOL, FAR, ALPHA, BEAM, MEDOIDS = 32, 48, 16, 1.2, 24, 8
+DEGREE, POOL, FAR, ALPHA, BEAM, MEDOIDS = 32, 48, 16, 1.2, 32, 8
 #: A shard is searched if its centroid's angle is at most so much (radians) above the nearest one's.
 MARGIN = math.radians(10)
 RECALL, AUDITED = 0.95, 200
@@ -113,18 +113,23 @@ def _reached(graph: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return seen
 
 
-def search(q: np.ndarray, x: np.ndarray, graph: np.ndarray, starts: np.ndarray, cosine: float, beam: int):
-    """Yields (query, vector) index arrays of verified pairs in the range; each pair once."""
+def search(q: np.ndarray, x: np.ndarray, graph: np.ndarray, starts: np.ndarray, own: np.ndarray, cosine: float, beam: int):
+    """Yields (query, vector) index arrays of verified pairs in the range; each pair once.
+
+    own: the query's own vector in the graph (-1: not there), from which it starts as well as from ``starts``."""
     n, extra = len(x), graph.shape[1]
     step = max(1, min(len(q), 4_000_000 // max(n, 64 * extra)))
     for at in range(0, len(q), step):
         qs = q[at : at + step]
         lines = np.arange(len(qs))[:, None]
         seen = np.zeros((len(qs), n), bool)
-        best = np.broadcast_to(starts, (len(qs), len(starts))).copy()
-        cos = qs @ x[starts].T
         seen[:, starts] = True
-        done = np.zeros(best.shape, bool)
+        me = own[at : at + step]
+        there = (me >= 0) & ~np.isin(me, starts)
+        seen[np.flatnonzero(there), me[there]] = True
+        best = np.concatenate([np.broadcast_to(starts, (len(qs), len(starts))), np.maximum(me, 0)[:, None]], 1)
+        cos = np.concatenate([qs @ x[starts].T, np.where(there, np.einsum("id,id->i", qs, x[np.maximum(me, 0)]), -np.inf)[:, None]], 1)
+        done = cos == -np.inf
         hits_q, hits_v = [], []
 
         def found(qi, vi, c):
@@ -133,7 +138,7 @@ def search(q: np.ndarray, x: np.ndarray, graph: np.ndarray, starts: np.ndarray,
             hits_v.append(vi[keep])
             return qi[keep], vi[keep]
 
-        found(np.repeat(lines[:, 0], len(starts)), best.ravel(), cos.ravel())
+        found(np.repeat(lines[:, 0], best.shape[1]), best.ravel(), cos.ravel())
         while True:  # greedy: expand the best that are not expanded yet
             open_cos = np.where(done, -np.inf, cos)
             pick = open_cos.argmax(1)
@@ -306,7 +311,8 @@ def _searched(heads: DataFrame, cosine: float, margin: float, beam: int, seed: i
             q = _rows(askers.column("v").combine_chunks())
             nodes, place = np.unique(np.r_[ids, qid], return_inverse=True)
             forest, total = _Forest(len(nodes)), np.zeros(len(qid), np.int64)
-            for qi, vi in search(q, x, g, starts, cosine, beam):
+            me = np.minimum(np.searchsorted(ids, qid), len(ids) - 1)
+            for qi, vi in search(q, x, g, starts, np.where(ids[me] == qid, me, -1), cosine, beam):
                 counted = own[vi] & (ids[vi] != qid[qi])
                 qi, vi = qi[counted], vi[counted]
                 total += np.bincount(qi, copies[vi], len(qid)).astype(np.int64)
