@@ -8,8 +8,8 @@ neighbours of all that it has found there; where it is itself in a shard it star
 links of a bounded sample of vectors are counted by brute force against all vectors, and where the search found
 less than RECALL of them it is run again with a wider beam and by the bound that loses no shard.
 
-A vector is counted in the shard of its nearest cluster alone, so links are counted without a list of pairs; the
-shards send the edges of a spanning forest, from which components are made.  A cluster with more than SHARD
+A link is counted in one shard alone, so links are counted without a list of pairs: in the searcher's own if the other
+vector is there too, by overlap or not, and else in that of the other's nearest cluster.  The shards send the edges of a spanning forest, from which components are made.  A cluster with more than SHARD
 vectors, its overlap included, is split at random into shards of that size, and the searchers of a shard are dealt over tasks in blocks of
 QUERIES, so no task holds more than these however many near copies there are.  Equal vectors stand for one another.
 
@@ -248,17 +248,19 @@ def _searched(heads: DataFrame, cosine: float, margin: float, beam: int, seed: i
             near = x @ c.T
             order = np.argsort(-near, axis=1, kind="stable")[:, :2]
             for role in range(order.shape[1]):
-                yield pa.RecordBatch.from_arrays([pa.array(order[:, role], pa.int32()), pa.array(np.full(len(x), role), pa.int32()), ids, batch.column(1), copies], names=["cluster", "role", "id", "v", "copies"])
+                other = order[:, 1 - role] if order.shape[1] > 1 else order[:, 0]
+                yield pa.RecordBatch.from_arrays([pa.array(order[:, role], pa.int32()), pa.array(np.full(len(x), role), pa.int32()), pa.array(other, pa.int32()), ids, batch.column(1), copies], names=["cluster", "role", "other", "id", "v", "copies"])
 
     def probe(batches):
         for batch in batches:
             x = _rows(batch.column(1))
             angle = np.arccos(np.clip(x @ c.T, -1, 1))
             row, cluster = np.nonzero(angle <= angle.min(1, keepdims=True) + margin)
-            yield pa.RecordBatch.from_arrays([pa.array(cluster, pa.int32()), *(batch.column(k).take(pa.array(row)) for k in (0, 1))], names=["cluster", "id", "v"])
+            home = (x @ c.T).argmax(1)[row]
+            yield pa.RecordBatch.from_arrays([pa.array(cluster, pa.int32()), pa.array(home, pa.int32()), *(batch.column(k).take(pa.array(row)) for k in (0, 1))], names=["cluster", "home", "id", "v"])
 
     plain = heads.select("id", "v", "copies")
-    shards = plain.mapInArrow(assign, "cluster int, role int, id long, v array<double>, copies long")
+    shards = plain.mapInArrow(assign, "cluster int, role int, other int, id long, v array<double>, copies long")
     sizes = {r["cluster"]: r["count"] for r in shards.groupBy("cluster").count().collect()}  # one row for each cluster; the overlap counts too
     parts = F.create_map(*[F.lit(x) for k, m in sizes.items() for x in (k, math.ceil(m / SHARD))]) if sizes else F.create_map(F.lit(0), F.lit(1))
     shards = saved(shards.withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce(parts[F.col("cluster")], F.lit(1))).cast("int")), "shards")
@@ -277,7 +279,7 @@ def _searched(heads: DataFrame, cosine: float, margin: float, beam: int, seed: i
     flat = local.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("next"))  # two lists at most
     index = saved(shards.join(flat, "id"), "graph")
 
-    probes = plain.mapInArrow(probe, "cluster int, id long, v array<double>")
+    probes = plain.mapInArrow(probe, "cluster int, home int, id long, v array<double>")
     asked = {r["cluster"]: r["count"] for r in probes.groupBy("cluster").count().collect()}
     share = F.create_map(*[F.lit(x) for k, m in asked.items() for x in (k, math.ceil(m / QUERIES))]) if asked else F.create_map(F.lit(0), F.lit(1))
     each = lambda m: F.sequence(F.lit(0), F.coalesce(m[F.col("cluster")], F.lit(1)) - 1)
@@ -289,10 +291,12 @@ def _searched(heads: DataFrame, cosine: float, margin: float, beam: int, seed: i
         if members.num_rows and askers.num_rows:
             ids = members.column("id").to_numpy()
             x = _rows(members.column("v").combine_chunks())
-            own = members.column("role").to_numpy() == 0
+            first, other = members.column("role").to_numpy() == 0, members.column("other").to_numpy()
+            at_home = askers.column("home").to_numpy() == key[0].as_py()
+            home = askers.column("home").to_numpy()
             copies = members.column("copies").to_numpy()
             order = np.argsort(ids, kind="stable")
-            ids, x, own, copies = ids[order], x[order], own[order], copies[order]
+            ids, x, first, other, copies = ids[order], x[order], first[order], other[order], copies[order]
             nexts = members.column("next").combine_chunks().take(pa.array(order))
             length = np.diff(nexts.offsets.to_numpy())
             flat_ids = nexts.flatten().to_numpy()
@@ -313,7 +317,7 @@ def _searched(heads: DataFrame, cosine: float, margin: float, beam: int, seed: i
             forest, total = _Forest(len(nodes)), np.zeros(len(qid), np.int64)
             me = np.minimum(np.searchsorted(ids, qid), len(ids) - 1)
             for qi, vi in search(q, x, g, starts, np.where(ids[me] == qid, me, -1), cosine, beam):
-                counted = own[vi] & (ids[vi] != qid[qi])
+                counted = (at_home[qi] | (first[vi] & (other[vi] != home[qi]))) & (ids[vi] != qid[qi])
                 qi, vi = qi[counted], vi[counted]
                 total += np.bincount(qi, copies[vi], len(qid)).astype(np.int64)
                 forest.join(place[len(ids) + qi], place[vi])
