@@ -5,8 +5,10 @@ overlap, in the next one's; a robust-pruned proximity graph is built in every sh
 of all its shards are united into one flat graph.  Every vector then searches the shards whose centroid is not
 much farther than its nearest: greedily from the shard's medoids, and, once inside the range, on through the
 neighbours of all that it has found there; where it is itself in a shard it starts from there too.  Cosines are verified in double precision.  The result is audited: the
-links of a bounded sample of vectors are counted by brute force against all vectors, and where the search found
-less than RECALL of them it is run again with a wider beam and by the bound that loses no shard.
+links of a bounded random sample of vectors are counted by brute force against all vectors.  A vector's recall is
+the share of its linked vectors that the search found, however many copies they have, and each vector with a link
+counts once in the mean of those with about as many links.  Where the least of these means is under RECALL, the
+shards are searched again without the graph: by the bound that loses no shard, and each of them whole, in blocks.
 
 A link is counted in one shard alone, so links are counted without a list of pairs: in the searcher's own if the other
 vector is there too, by overlap or not, and else in that of the other's nearest cluster.  The shards send the edges of a spanning forest, from which components are made.  A cluster with more than SHARD
@@ -34,7 +36,8 @@ SHARD, QUERIES, SAMPLE, MAX_CLUSTERS = 3000, 3000, 20_000, 1024
 DEGREE, POOL, FAR, ALPHA, BEAM, MEDOIDS = 32, 48, 16, 1.2, 32, 8
 #: A shard is searched if its centroid's angle is at most so much (radians) above the nearest one's.
 MARGIN = math.radians(10)
-RECALL, AUDITED = 0.95, 200
+#: A random sample of so many vectors is audited.
+RECALL, AUDITED = 0.95, 2000
 
 
 def _rows(column: pa.Array) -> np.ndarray:
@@ -187,6 +190,13 @@ def search(q: np.ndarray, x: np.ndarray, graph: np.ndarray, starts: np.ndarray,
         yield np.concatenate(hits_q) + at, np.concatenate(hits_v)
 
 
+def pairs(q: np.ndarray, x: np.ndarray, cosine: float):
+    """As ``search``, but each query is compared with all vectors."""
+    for at in range(0, len(q), 500):
+        qi, vi = np.nonzero(q[at : at + 500] @ x.T >= cosine)
+        yield qi + at, vi
+
+
 class _Forest:
     """Components of a shard's nodes as pairs come in."""
 
@@ -236,8 +246,9 @@ def _unit_vectors(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame
     return v.filter(F.size("v") == (lengths[0]["d"] if lengths else 0))
 
 
-def _searched(heads: DataFrame, cosine: float, margin: float, beam: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(id, n) with the copies that each head links with, and (a, b) edges that connect what is linked.  heads: id, v, copies."""
+def _searched(heads: DataFrame, cosine: float, margin: float, exact: bool, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(id, n, m) with the copies and the heads that each head links with, and (a, b) edges that connect what is
+    linked.  heads: id, v, copies.  exact: the shards in the margin are searched whole instead of by the graph."""
     n = heads.count()
     rng = np.random.default_rng(seed)
     c = _centroids(heads, n, rng)
@@ -275,9 +286,12 @@ def _searched(heads: DataFrame, cosine: float, margin: float, beam: int, seed: i
         offsets = np.r_[0, np.cumsum((g >= 0).sum(1))].astype(np.int32)
         return pa.table({"id": ids, "next": pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids[g[a, slot]], pa.int64()))})
 
-    local = shards.groupBy("cluster", "part").applyInArrow(graph_of, "id long, next array<long>")
-    flat = local.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("next"))  # two lists at most
-    index = saved(shards.join(flat, "id"), "graph")
+    if exact:
+        index = shards
+    else:
+        local = shards.groupBy("cluster", "part").applyInArrow(graph_of, "id long, next array<long>")
+        flat = local.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("next"))).alias("next"))  # two lists at most
+        index = saved(shards.join(flat, "id"), "graph")
 
     probes = plain.mapInArrow(probe, "cluster int, home int, id long, v array<double>")
     asked = {r["cluster"]: r["count"] for r in probes.groupBy("cluster").count().collect()}
@@ -286,8 +300,26 @@ def _searched(heads: DataFrame, cosine: float, margin: float, beam: int, seed: i
     queries = probes.withColumn("block", F.pmod(F.xxhash64("id"), F.coalesce(share[F.col("cluster")], F.lit(1))).cast("int")).withColumn("part", F.explode(each(parts)))
     copies_of_index = index.withColumn("block", F.explode(each(share)))
 
+    def graph_search(members, ids, x, order, qid, q):
+        nexts = members.column("next").combine_chunks().take(pa.array(order))
+        length = np.diff(nexts.offsets.to_numpy())
+        flat_ids = nexts.flatten().to_numpy()
+        at = np.minimum(np.searchsorted(ids, flat_ids), len(ids) - 1)
+        at = np.where(ids[at] == flat_ids, at, -1)  # neighbours in other shards are found there
+        g = np.full((len(ids), max(1, int(length.max()))), -1)
+        g[np.repeat(np.arange(len(ids)), length), np.arange(len(flat_ids)) - np.repeat(np.cumsum(length) - length, length)] = at
+        middle = x.mean(0)
+        medoids = [int((x @ middle).argmax())]
+        while len(medoids) < min(MEDOIDS, len(x)):  # the farthest from those there are
+            medoids.append(int((x @ x[medoids].T).max(1).argmin()))
+        starts = np.unique(medoids)
+        while not (seen := _reached(g, starts)).all():  # a part that no edge leads to gets a start of its own
+            starts = np.unique(np.r_[starts, np.flatnonzero(~seen)[:1]])
+        me = np.minimum(np.searchsorted(ids, qid), len(ids) - 1)
+        return search(q, x, g, starts, np.where(ids[me] == qid, me, -1), cosine, BEAM)
+
     def find(key, members, askers):
-        out = {"id": [], "n": [], "root": []}
+        out = {"id": [], "n": [], "m": [], "root": []}
         if members.num_rows and askers.num_rows:
             ids = members.column("id").to_numpy()
             x = _rows(members.column("v").combine_chunks())
@@ -297,48 +329,34 @@ def _searched(heads: DataFrame, cosine: float, margin: float, beam: int, seed: i
             copies = members.column("copies").to_numpy()
             order = np.argsort(ids, kind="stable")
             ids, x, first, other, copies = ids[order], x[order], first[order], other[order], copies[order]
-            nexts = members.column("next").combine_chunks().take(pa.array(order))
-            length = np.diff(nexts.offsets.to_numpy())
-            flat_ids = nexts.flatten().to_numpy()
-            at = np.minimum(np.searchsorted(ids, flat_ids), len(ids) - 1)
-            at = np.where(ids[at] == flat_ids, at, -1)  # neighbours in other shards are found there
-            g = np.full((len(ids), max(1, int(length.max()))), -1)
-            g[np.repeat(np.arange(len(ids)), length), np.arange(len(flat_ids)) - np.repeat(np.cumsum(length) - length, length)] = at
-            middle = x.mean(0)
-            medoids = [int((x @ middle).argmax())]
-            while len(medoids) < min(MEDOIDS, len(x)):  # the farthest from those there are
-                medoids.append(int((x @ x[medoids].T).max(1).argmin()))
-            starts = np.unique(medoids)
-            while not (seen := _reached(g, starts)).all():  # a part that no edge leads to gets a start of its own
-                starts = np.unique(np.r_[starts, np.flatnonzero(~seen)[:1]])
             qid = askers.column("id").to_numpy()
             q = _rows(askers.column("v").combine_chunks())
             nodes, place = np.unique(np.r_[ids, qid], return_inverse=True)
-            forest, total = _Forest(len(nodes)), np.zeros(len(qid), np.int64)
-            me = np.minimum(np.searchsorted(ids, qid), len(ids) - 1)
-            for qi, vi in search(q, x, g, starts, np.where(ids[me] == qid, me, -1), cosine, beam):
+            forest, total, heads_of = _Forest(len(nodes)), np.zeros(len(qid), np.int64), np.zeros(len(qid), np.int64)
+            for qi, vi in pairs(q, x, cosine) if exact else graph_search(members, ids, x, order, qid, q):
                 counted = (at_home[qi] | (first[vi] & (other[vi] != home[qi]))) & (ids[vi] != qid[qi])
                 qi, vi = qi[counted], vi[counted]
                 total += np.bincount(qi, copies[vi], len(qid)).astype(np.int64)
+                heads_of += np.bincount(qi, minlength=len(qid))
                 forest.join(place[len(ids) + qi], place[vi])
             root = nodes[forest.roots()]
             linked = np.flatnonzero(root != nodes)
-            out["id"], out["n"], out["root"] = np.r_[qid, nodes[linked]], np.r_[total, np.zeros(len(linked), np.int64)], np.r_[qid, root[linked]]
+            none = np.zeros(len(linked), np.int64)
+            out = {"id": np.r_[qid, nodes[linked]], "n": np.r_[total, none], "m": np.r_[heads_of, none], "root": np.r_[qid, root[linked]]}
         return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
     keys = ("cluster", "part", "block")
-    results = copies_of_index.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(find, "id long, n long, root long")
+    results = copies_of_index.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(find, "id long, n long, m long, root long")
     results = saved(results, "found")
-    return results.groupBy("id").agg(F.sum("n").alias("n")), results.filter("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
+    return results.groupBy("id").agg(F.sum("n").alias("n"), F.sum("m").alias("m")), results.filter("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
 
 
 def _audit(heads: DataFrame, counts: DataFrame, cosine: float) -> float:
-    """The share of the links of AUDITED vectors that the search found; the links are counted by brute force."""
+    """The mean recall of those of AUDITED random vectors that have a link, by brute force; the least of the means
+    by number of links (1, 2 to 3, 4 to 7 and so on), so vectors of large groups don't outweigh others."""
     n = heads.count()
     take = F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(1 << 30)) < math.ceil((1 << 30) * min(1.0, AUDITED / max(n, 1)))
-    linked = counts.filter("n > 0")
-    some = linked.filter(F.pmod(F.xxhash64(F.lit(6), "id"), F.lit(1 << 30)) < math.ceil((1 << 30) * min(1.0, AUDITED / max(linked.count(), 1)))).select("id")
-    asked = heads.filter(take).select("id").union(some).distinct().join(heads.select("id", "v"), "id").limit(4 * AUDITED).toPandas()
+    asked = heads.filter(take).select("id", "v").limit(2 * AUDITED).toPandas()
     if not len(asked):
         return 1.0
     ids, q = asked["id"].to_numpy(), np.stack(asked["v"].to_numpy())
@@ -346,14 +364,17 @@ def _audit(heads: DataFrame, counts: DataFrame, cosine: float) -> float:
     def against(batches):
         total = np.zeros(len(ids), np.int64)
         for batch in batches:
-            hit = q @ _rows(batch.column(1)).T >= cosine
-            hit &= ids[:, None] != batch.column(0).to_numpy()[None, :]
-            total += hit @ batch.column(2).to_numpy()
+            for at in range(0, len(batch), 1000):
+                part = batch.slice(at, 1000)
+                hit = q @ _rows(part.column(1)).T >= cosine
+                hit &= ids[:, None] != part.column(0).to_numpy()[None, :]
+                total += hit.sum(1)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["id", "truth"])
 
-    truth = heads.select("id", "v", "copies").mapInArrow(against, "id long, truth long").groupBy("id").agg(F.sum("truth").alias("truth"))
-    row = truth.join(counts, "id", "left").agg(F.sum("truth"), F.sum(F.least("truth", F.coalesce("n", F.lit(0))))).first()
-    return 1.0 if not row[0] else row[1] / row[0]
+    truth = heads.select("id", "v").mapInArrow(against, "id long, truth long").groupBy("id").agg(F.sum("truth").alias("truth")).filter("truth > 0")
+    share = F.least("truth", F.coalesce("m", F.lit(0))) / F.col("truth")
+    means = truth.join(counts, "id", "left").groupBy(F.floor(F.log2("truth")).alias("size")).agg(F.avg(share).alias("recall"))
+    return means.agg(F.coalesce(F.min("recall"), F.lit(1.0))).first()[0]
 
 
 def links(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 11) -> DataFrame:
@@ -361,8 +382,8 @@ def links(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vecto
     unit = saved(_unit_vectors(vectors, id_col, vector_col).withColumn("h", F.sha2(F.array_join(F.transform("v", lambda x: x.cast("string")), " "), 256)), "unit")
     same = unit.groupBy("h").agg(F.min("id").alias("head"), F.count("*").alias("copies"))
     heads = saved(unit.groupBy("h").agg(F.min("id").alias("id"), F.min_by("v", "id").alias("v"), F.count("*").alias("copies")).drop("h"), "heads")
-    for margin, beam in ((MARGIN, BEAM), (2 * math.acos(cosine), 4 * BEAM)):  # no shard within twice the range's angle is skipped the second time
-        counts, edges = _searched(heads, cosine, margin, beam, seed)
+    for margin, exact in ((MARGIN, False), (2 * math.acos(cosine), True)):  # no shard within twice the range's angle is skipped the second time
+        counts, edges = _searched(heads, cosine, margin, exact, seed)
         recall = _audit(heads, counts, cosine)
         if recall >= RECALL:
             break

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("public_tokenizers")
 
@@ -180,6 +181,33 @@ def test_vector_links_match_brute_force(spark, monkeypatch):
     assert got[9005].component_id == got[9006].component_id == 9005 and got[0].audited_recall >= 0.9
 
 
+def crowd_and_pairs(seed):
+    """A third of the rows are near copies of one vector; most others are pairs."""
+    rng = np.random.default_rng(seed)
+    one = rng.normal(size=16)
+    rows = [one + rng.normal(size=16) * 0.05 for _ in range(600)]
+    for _ in range(600):
+        v = rng.normal(size=16)
+        rows += [v, v + rng.normal(size=16) * 0.1]
+    return [(i, [float(x) for x in v]) for i, v in enumerate(rows)]
+
+
+def test_small_groups_count_in_the_audit(spark):
+    rows = crowd_and_pairs(5)
+    heads = vector_graph._unit_vectors(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v").withColumn("copies", F.lit(1).cast("long"))
+    found = spark.createDataFrame([(i, 599, 599) for i in range(600)], "id long, n long, m long")  # all of the crowd, no pair
+    assert vector_graph._audit(heads, found, 0.9) < 0.1
+
+
+def test_the_pass_after_a_failed_audit_is_exact(spark, monkeypatch):
+    monkeypatch.setattr(vector_graph, "SHARD", 300)
+    monkeypatch.setattr(vector_graph, "MARGIN", -1.0)  # the first pass searches no shard
+    rows = crowd_and_pairs(6)
+    got = {r.vec_id: r for r in vector_graph.links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert {i: (got[i].n_links, got[i].component_id) for i in got} == linked(rows)
+    assert got[0].audited_recall == 1.0
+
+
 def test_vectors_empty_alone_and_repeated(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.0])], "vec_id long, embedding array<double>")
     assert vector_graph.links(df.limit(0)).count() == 0
