@@ -44,6 +44,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 NOISE_TAGS = frozenset("nav footer aside form menu dialog".split())
 NOISE_NAMES = re.compile(r"(?:^|[-_. ])(?:ads?|advert\w*|adsense|banner|bottom|breadcrumbs?|comments?|consent|cookies?|disqus|footer|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|pager|pagination|popup|promo\w*|recommend\w*|related|replies|reply|respond|share|sharing|sidebar|signup|skip|social|sponsor\w*|subscribe|toolbar|topbar|widget)(?:$|[-_. ])", re.I)
+#: Elements that hold the page or its content, whose names tell of the layout, and names that say what is there or not.
+OUTER_TAGS = frozenset("html body main article".split())
+MODIFIERS = re.compile(r"(?:has|have|with|without|no|not|show|hide)[-_].*|.*[-_](?:open|opened|closed|enabled|disabled)", re.I)
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|(?P<text>[^<]+|<)",
@@ -59,8 +62,10 @@ def _label(tag: str, attrs: str) -> str:
 
 
 def _noisy(label: str, inside_article: bool) -> bool:
-    tag, _, names = label.partition(".")
-    return tag in NOISE_TAGS or (tag == "header" and not inside_article) or bool(names and NOISE_NAMES.search(names))
+    tag, *names = label.split(".")
+    if tag in NOISE_TAGS or (tag == "header" and not inside_article):
+        return True
+    return tag not in OUTER_TAGS and any(NOISE_NAMES.search(n) and not MODIFIERS.fullmatch(n) for n in names)
 
 
 def prior(path: str) -> float:

@@ -249,6 +249,15 @@ def test_pages(spark):
     assert style_tree.extract(d).count() == len(rows) and style_tree.extract(d.limit(0)).count() == 0
 
 
+SHELL = '<html class="no-sidebar"><body class="home has-sidebar"><div class="main with-sidebar"><article class="post comments-open related"><p>Story %d</p></article></div><div class="sidebar"><p>Side %d</p></div></body></html>'
+
+
+def test_names_of_the_layout_do_not_decide(spark):
+    d = spark.createDataFrame([(i, "http://h/", SHELL % (i, i)) for i in range(12)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in style_tree.extract(d).collect()} == {i: f"Story {i}" for i in range(12)}
+    assert style_tree.prior("body/div.no-sidebar/p") == 0.6 and style_tree.prior("body/div.left.sidebar/p") == 0.15
+
+
 def test_pages_by_shuffle(spark, monkeypatch):
     monkeypatch.setattr(style_tree, "BROADCAST_NODES", 0)
     d = spark.createDataFrame([(i, "http://h/", PAGE % (i, "same", i, i)) for i in range(8)] * 2, "page_id long, url string, html string")
