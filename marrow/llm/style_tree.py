@@ -5,7 +5,9 @@ presentation is the sequence of its children, its content the blocks of text tha
 that comes back on many pages of the host has a high entropy and so a low importance, content of one page a high
 one; a node whose presentation varies from page to page gains some.  What a path says of itself is a prior: nav,
 footer, aside, form and the like, class names of adverts, menus, notices and comments, and nodes that are mostly
-links lower the importance, an article or main element raises it.  A node's importance is joined with its
+links lower the importance, an article or main element raises it: its text is as important as its entropy says,
+and never removed if it was seen on few pages or if no article text of the host varies (copies of one page).  Noise
+is removed whatever its entropy: adverts and comments differ from page to page.  A node's importance is joined with its
 branch's (text-weighted), and text in a branch of low importance is removed from each page.
 
 Pages are parsed once, to (node, text) segments that are saved; counts are partial sums by (node, content), so a
@@ -32,6 +34,8 @@ from marrow.llm.common import saved
 from marrow.llm.groups import look_up
 
 LEAST, DECAY = 0.3, 0.9
+#: On fewer pages, what comes back inside an article is kept.
+MANY_PAGES, ARTICLE = 10, 0.6
 #: So many nodes of low importance are broadcast (8 bytes each); more are looked up by a shuffle.
 BROADCAST_NODES = 200_000
 _HOST = re.compile(r"(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)")
@@ -190,7 +194,10 @@ def importance(parsed: DataFrame) -> DataFrame:
     says = F.udf(prior, "double")  # on distinct nodes only
     dense = F.when(F.col("links") > 0.6 * F.col("chars"), 0.5).otherwise(1.0)
     node = node.select("node", "host", "path", "m", "chars", (DECAY * content + (1 - DECAY) * shape).alias("entropy"), dense.alias("dense"), says("path").alias("prior"))
-    node = node.withColumn("own", F.when(F.col("prior") >= 1, F.greatest(F.lit(0.6), F.col("entropy"))).otherwise(F.col("entropy") * F.col("prior") * F.col("dense")))
+    varied = node.filter("prior >= 1").groupBy("host").agg((F.max("entropy") >= ARTICLE).alias("varied"))
+    node = node.join(varied, "host", "left")
+    floor = F.when((F.col("m") >= MANY_PAGES) & F.col("varied"), 0.0).otherwise(ARTICLE)
+    node = node.withColumn("own", F.when(F.col("prior") >= 1, F.greatest(floor, F.col("entropy"))).otherwise(F.col("entropy") * F.col("prior") * F.col("dense")))
     names = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(names)), lambda k: F.array_join(F.slice(names, 1, k), "/"))
     branch = node.select("host", F.explode(above).alias("branch"), "own", "chars").groupBy("host", "branch").agg((F.sum(F.col("own") * F.col("chars")) / F.sum("chars")).alias("branch_own"))

@@ -258,6 +258,16 @@ def test_names_of_the_layout_do_not_decide(spark):
     assert style_tree.prior("body/div.no-sidebar/p") == 0.6 and style_tree.prior("body/div.left.sidebar/p") == 0.15
 
 
+def test_what_comes_back_inside_articles_is_removed(spark):
+    page = "<html><body><article><p>%s</p><div class='x'>Read our terms before you go on</div></article></body></html>"
+    rows = [(i, "http://many/", page % f"Story {i}") for i in range(40)] + [(100 + i, "http://few/", page % f"Story {i}") for i in range(4)]
+    rows += [(200 + i, "http://copies/", page % "Story") for i in range(40)]
+    got = {r.page_id: r.text for r in style_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Story {i}" for i in range(40))
+    assert all(got[100 + i] == f"Story {i} Read our terms before you go on" for i in range(4))
+    assert all(got[200 + i] == "Story Read our terms before you go on" for i in range(40))
+
+
 def test_pages_by_shuffle(spark, monkeypatch):
     monkeypatch.setattr(style_tree, "BROADCAST_NODES", 0)
     d = spark.createDataFrame([(i, "http://h/", PAGE % (i, "same", i, i)) for i in range(8)] * 2, "page_id long, url string, html string")
