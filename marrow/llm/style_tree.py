@@ -8,7 +8,8 @@ footer, aside, form and the like, class names of adverts, menus, notices and com
 links lower the importance, an article or main element raises it: its text is as important as its entropy says,
 and never removed if it was seen on few pages or if no article text of the host varies (copies of one page).  Noise
 is removed whatever its entropy: adverts and comments differ from page to page.  A node's importance is joined with its
-branch's (text-weighted), and text in a branch of low importance is removed from each page.
+branch's (text-weighted) unless the branch holds an important node, such as an article among long menus; text of
+low importance, its own or its branch's, is removed from each page.
 
 Pages are parsed once, to (node, text) segments that are saved; counts are partial sums by (node, content), so a
 host with a third of all pages makes no large group.  Nodes of low importance are broadcast if they are few
@@ -36,6 +37,8 @@ from marrow.llm.groups import look_up
 LEAST, DECAY = 0.3, 0.9
 #: On fewer pages, what comes back inside an article is kept.
 MANY_PAGES, ARTICLE = 10, 0.6
+#: A branch with a node of so much importance is not removed as a whole.
+IMPORTANT = 0.4
 #: So many nodes of low importance are broadcast (8 bytes each); more are looked up by a shuffle.
 BROADCAST_NODES = 200_000
 _HOST = re.compile(r"(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)")
@@ -200,7 +203,8 @@ def importance(parsed: DataFrame) -> DataFrame:
     node = node.withColumn("own", F.when(F.col("prior") >= 1, F.greatest(floor, F.col("entropy"))).otherwise(F.col("entropy") * F.col("prior") * F.col("dense")))
     names = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(names)), lambda k: F.array_join(F.slice(names, 1, k), "/"))
-    branch = node.select("host", F.explode(above).alias("branch"), "own", "chars").groupBy("host", "branch").agg((F.sum(F.col("own") * F.col("chars")) / F.sum("chars")).alias("branch_own"))
+    branch = node.select("host", F.explode(above).alias("branch"), "own", "chars").groupBy("host", "branch").agg((F.sum(F.col("own") * F.col("chars")) / F.sum("chars")).alias("branch_own"), F.max("own").alias("most"))
+    branch = branch.filter(F.col("most") < IMPORTANT)
     below = node.select("host", "node", F.explode(above).alias("branch")).filter(F.size(F.split("branch", "/")) > 2)  # below the body
     low = below.join(branch, ["host", "branch"]).groupBy("node").agg(F.min("branch_own").alias("branch_own"))
     node = node.join(low, "node", "left")

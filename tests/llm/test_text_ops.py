@@ -268,6 +268,13 @@ def test_what_comes_back_inside_articles_is_removed(spark):
     assert all(got[200 + i] == "Story Read our terms before you go on" for i in range(40))
 
 
+def test_menus_and_comments_do_not_take_the_article_with_them(spark):
+    page = "<html><body><div class='wrapper'><nav>%s</nav><article><p>Story %d</p></article><div class='text'>Note %d</div><div class='comments'>%s</div></div></body></html>"
+    rows = [(i, "http://h/", page % ("Menu of many words " * 30, i, i, f"Comment {i} " * 40)) for i in range(40)]
+    got = {r.page_id: r.text for r in style_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Story {i} Note {i}" for i in range(40)}
+
+
 def test_pages_by_shuffle(spark, monkeypatch):
     monkeypatch.setattr(style_tree, "BROADCAST_NODES", 0)
     d = spark.createDataFrame([(i, "http://h/", PAGE % (i, "same", i, i)) for i in range(8)] * 2, "page_id long, url string, html string")
