@@ -65,7 +65,9 @@ _NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+
 def _label(tag: str, attrs: str) -> str:
     names = [(m[2] or m[3] or m[4] or "") for m in _NAMES.finditer(attrs)] if "=" in attrs else []
     words = re.sub(r"\d+", "", " ".join(names)).replace("/", "").split()
-    return ".".join([tag, *words[:3]])
+    if len(words) > 3:  # those that tell of noise, and a hash of all
+        words = [*(w for w in words if NOISE_NAMES.search(w)), blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()]
+    return ".".join([tag, *words])
 
 
 def _noisy(label: str, inside_article: bool) -> bool:

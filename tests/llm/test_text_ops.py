@@ -275,6 +275,13 @@ def test_menus_and_comments_do_not_take_the_article_with_them(spark):
     assert got == {i: f"Story {i} Note {i}" for i in range(40)}
 
 
+def test_all_words_of_class_id_and_role_count(spark):
+    page = "<html><body><div id='x' class='col wide sidebar'>Side %d</div><div class='a b c left'>Story %d</div><div class='a b c right'>The same</div></body></html>"
+    rows = [(i, "http://h/", page % (i, i)) for i in range(40)]
+    got = {r.page_id: r.text for r in style_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Story {i}" for i in range(40)}
+
+
 def test_pages_by_shuffle(spark, monkeypatch):
     monkeypatch.setattr(style_tree, "BROADCAST_NODES", 0)
     d = spark.createDataFrame([(i, "http://h/", PAGE % (i, "same", i, i)) for i in range(8)] * 2, "page_id long, url string, html string")
