@@ -255,7 +255,8 @@ SHELL = '<html class="no-sidebar"><body class="home has-sidebar"><div class="mai
 def test_names_of_the_layout_do_not_decide(spark):
     d = spark.createDataFrame([(i, "http://h/", SHELL % (i, i)) for i in range(12)], "page_id long, url string, html string")
     assert {r.page_id: r.text for r in style_tree.extract(d).collect()} == {i: f"Story {i}" for i in range(12)}
-    assert style_tree.prior("body/div.no-sidebar/p") == 0.6 and style_tree.prior("body/div.left.sidebar/p") == 0.15
+    assert not style_tree.noisy("div", ["no-sidebar"], False) and style_tree.noisy("div", ["left", "sidebar"], False)
+    assert style_tree.noisy("div", ["article-header"], False) and not style_tree.noisy("header", ["article-header"], True)
 
 
 def test_what_comes_back_inside_articles_is_removed(spark):
@@ -289,3 +290,91 @@ def test_pages_by_shuffle(spark, monkeypatch):
     assert sorted(got) == sorted([(i, f"Head {i} First & second {i}. Third italic.") for i in range(8)] * 2)
 
 
+def importance_by_hand(rows):
+    """node -> importance, page by page and label by label."""
+    pages = {}
+    for url, page in rows:
+        host = style_tree.host_of(url)
+        segments = style_tree.parse(page or "", host)
+        pages.setdefault((host, tuple((n.id, t) for n, t in sorted(segments, key=lambda s: s[0].id))), (host, segments))
+    seen, kind = {}, {}
+    for host, segments in pages.values():
+        elements = {}
+        for node, _ in segments:
+            if all(node is not x for x in elements.setdefault((host, node.id), [])):
+                elements[host, node.id].append(node)
+        for key, nodes in elements.items():
+            seen.setdefault(key, []).append((tuple(tuple(n.kids) for n in nodes), [t for n in nodes for t in n.blocks], sum(n.links for n in nodes)))
+            kind[key] = (nodes[0].article, nodes[0].marks)
+    own, entropy, dense = {}, {}, {}
+    for key, on in seen.items():
+        m, times = len(on), Counter(t for _, blocks, _ in on for t in blocks)
+        chars = sum(len(t) * k for t, k in times.items())
+        back = sum(len(t) * k * np.log(k) for t, k in times.items()) / chars / np.log(max(m, 10))
+        content = max(0.0, 1 - back)
+        p = np.array(list(Counter(s for s, _, _ in on).values())) / m
+        shape = 1.0 if m < 2 else -(p * np.log(p)).sum() / np.log(m)
+        own[key], entropy[key], dense[key] = chars * content, content * (0.9 + 0.1 * shape), sum(x for _, _, x in on) > 0.6 * chars
+    out = {}
+    for host in {h for h, _ in seen}:
+        mine = [k for k in seen if k[0] == host]
+        all_own = sum(own[k] for k in mine)
+        branch = {a: sum(own[k] for k in mine if a in kind[k][1]) for k in mine for a in kind[k][1]}
+        most = {a: max(len(seen[k]) for k in mine if a in kind[k][1]) for a in branch}
+        step = {k: 201 if not kind[k][1] else -1 if branch[kind[k][1][-1]] < 200 * most[kind[k][1][-1]] else int(200 * branch[kind[k][1][-1]] / max(all_own, 1)) for k in mine}
+        upto = 201
+        for s in sorted({201, *step.values()}, reverse=True):
+            if s < 0 or (s < 201 and sum(own[k] * (10 if kind[k][0] else 1) for k in mine if step[k] > s) >= 0.05 * all_own):
+                break
+            upto = s
+        for k in mine:
+            out[k[1]] = entropy[k] + (-0.75 if step[k] < upto else 0.2 if kind[k][0] else -0.75 if dense[k] else 0)
+    return out
+
+
+def test_style_tree_matches_one_by_hand(spark):
+    rng = random.Random(7)
+    words = lambda n: " ".join(rng.choice(["ta", "ren", "lo", "mi"]) for _ in range(n))
+    parts = ["<nav><a href='/'>%s</a></nav>", "<div class='ad'>%s</div>", "<div>%s</div>", "<ul><li>%s<li><a>x y z</a></ul>", "<div class='with-sidebar'>%s</div>", "<form><p>%s</p><p>more</p></form>", "<div class='comments'><p>%s</p><div class='reply'>%s</div></div>"]
+    rows = []
+    for i in range(120):
+        host = rng.choice(["a", "b", "c", "d"])
+        body = "".join(p.replace("%s", rng.choice(["always the same text", words(rng.randint(1, 90))])) for p in parts if rng.random() < 0.7)
+        body += f"<article><h1>{words(3)}</h1>" + "".join(f"<p>{words(30)}</p>" for _ in range(rng.randint(1, 4))) + "</article>" if host != "d" else ""
+        rows.append((f"http://{host}.example.org/{i}", f"<html><body>{'<div class=sidebar>' * (host in 'bd')}{body}</body></html>"))
+    rows += rows[:9]
+    parsed = style_tree._parsed(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, url string, html string"))
+    got = {r.node: r.importance for r in style_tree.importance(parsed).collect()}
+    want = importance_by_hand(rows)
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in got) < 1e-9
+    assert sum(x < style_tree.LEAST for x in want.values()) > 10 < sum(x >= style_tree.LEAST for x in want.values())
+
+
+def pages_of(spark, page, n=20):
+    rows = [(i, "http://h/", page % {"own": f"Story {i} " + " ".join(f"w{i}x{k}" for k in range(60)), "i": i, "menu": "Menu of many words " * 30, "comment": f"Comment {i} " * 90}) for i in range(n)]
+    return {r.page_id: r.text for r in style_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+@pytest.mark.parametrize("page", [
+    "<html><body class='home has-sidebar'><article><p>%(own)s</p></article></body></html>",
+    "<html><body><main><div class='post-content with-comments'><p>%(own)s</p></div></main></body></html>",
+    "<html><body><form id='aspnetForm'><nav>Home %(i)d</nav><div class='widget'><p>%(own)s</p></div></form></body></html>",
+    "<html><body><div class='layout-sidebar'><p>%(own)s</p><div class='ad'>Buy %(i)d</div></div><div>%(menu)s</div></body></html>",
+    "<html><body><div><ul><li>%(menu)s</ul></div><div><p>%(own)s</p></div><div class='comments'>%(comment)s</div></body></html>",
+])
+def test_entropy_decides_where_labels_mislead(spark, page):
+    got = pages_of(spark, page)
+    assert all(got[i] == f"Story {i} " + " ".join(f"w{i}x{k}" for k in range(60)) for i in got)
+
+
+def test_titles_in_headers_of_articles_stay(spark):
+    got = pages_of(spark, "<html><body><header>%(menu)s</header><article><header class='article-header'><h1>Title %(i)d</h1></header><p>%(own)s</p></article></body></html>")
+    assert all(got[i].startswith(f"Title {i} Story {i} w") for i in got)
+
+
+def test_deep_and_long_pages(spark):
+    deep = "<html><body>" + "<div class='x ad'>" * 100_000 + "end</p></b></section>" * 1000
+    rows = [(1, "http://deep/", deep), (2, "http://long/", "<p>" + LONG), (None, "http://n/", "<p>x")]
+    d = spark.createDataFrame([(*r, "h", 1) for r in rows], "page_id long, url string, html string, host string, node int")
+    got = {r.page_id: r.text for r in style_tree.extract(d).collect()}
+    assert got[1].count("end") in (0, 1000) and got[2] == LONG and got[None] == "x"
