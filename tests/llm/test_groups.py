@@ -193,21 +193,44 @@ def crowd_and_pairs(seed):
 
 
 def test_small_groups_count_in_the_audit(spark):
-    rows = crowd_and_pairs(5)
-    heads = vector_graph._unit_vectors(spark.createDataFrame(rows, "id long, v array<double>"), "id", "v").withColumn("copies", F.lit(1).cast("long"))
-    found = spark.createDataFrame([(i, 599, 599) for i in range(600)], "id long, n long, m long")  # all of the crowd, no pair
+    heads = spark.createDataFrame(crowd_and_pairs(5), "k long, v array<double>")
+    found = spark.createDataFrame([(i, 599, 599) for i in range(600)], "k long, n long, m long")  # all of the crowd, no pair
     assert vector_graph._audit(heads, found, 0.9) < 0.1
 
 
-def test_the_pass_after_a_failed_audit_is_exact(spark, monkeypatch):
+def test_the_pass_after_failed_audits_is_exact(spark, monkeypatch):
     monkeypatch.setattr(vector_graph, "SHARD", 300)
-    monkeypatch.setattr(vector_graph, "MARGIN", -1.0)  # the first pass searches no shard
+    monkeypatch.setattr(vector_graph, "CLUSTER", 150)
+    monkeypatch.setattr(vector_graph, "REGION", 700)
+    monkeypatch.setattr(vector_graph, "QUERIES", 400)
+    monkeypatch.setattr(vector_graph, "RECALL", 1.1)  # no audit is good enough
     rows = crowd_and_pairs(6)
     got = {r.vec_id: r for r in vector_graph.links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert {i: (got[i].n_links, got[i].component_id) for i in got} == linked(rows)
     assert got[0].audited_recall == 1.0
 
 
+def test_vectors_of_other_lengths_and_ids_with_several_vectors(spark, monkeypatch):
+    monkeypatch.setattr(vector_graph, "SHARD", 30)
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(60)] + [(100, [1.0, 2.0, 2.0]), (101, [2.0, 4.0, 4.0]), (102, [1.0, 2.0, 2.1]), (103, [0.0, 0.0, 1.0])]
+    rows += [(201, [1.0, 0.0]), (202, [1.0, 0.0]), (202, [0.0, 1.0]), (203, [0.1, 1.0])]
+    got = [(r.vec_id, r.n_links, r.component_id) for r in vector_graph.links(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()]
+    assert sorted(x for x in got if x[0] >= 100) == [(100, 2, 100), (101, 2, 100), (102, 2, 100), (103, 0, 103), (201, 1, 201), (202, 1, 201), (202, 1, 201), (203, 1, 201)]
+
+
+def test_regions_hold_what_their_size_says():
+    places = vector_graph.Places({})
+    sizes = {0: 10_000, 1: 20_000, 2: 100_000, 3: 5, 4: 23_990, 7: 1}
+    places.settle(sizes)
+    load = Counter()
+    for c, n in sizes.items():
+        for _, region in zip(range(n), places.shard(np.full(n, c), np.arange(n) * 977)[1]):
+            assert region in places.regions(c)
+            load[region] += 1
+    assert max(load.values()) <= vector_graph.REGION * 1.1 and len(load) >= 7 and set(load) == set(range(max(load) + 1))
+
+
 def test_vectors_empty_alone_and_repeated(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.0])], "vec_id long, embedding array<double>")
     assert vector_graph.links(df.limit(0)).count() == 0
