@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from datetime import UTC, datetime
 from typing import Any
 
@@ -14,22 +14,24 @@ from marrow.operators import patch
 from marrow.operators.query import Aggregate, Catalog, Query
 from marrow.plans import docfilter
 from marrow.plans.docfilter import Unsupported
+from marrow.schema import Model, new_uuid
 
+Policy = Callable[[Model], N.Predicate | None] | None
 _ACCUMULATORS = {"$avg": "avg", "$min": "min", "$max": "max"}
 
 
-def find(catalog: Catalog, name: str, doc: Mapping[str, Any] | None = None, sort: Mapping[str, int] | None = None, skip: int = 0, limit: int | None = None) -> Query:
-    q = catalog.query(name).where(doc or {})
+def find(catalog: Catalog, name: str, doc: Mapping[str, Any] | None = None, sort: Mapping[str, int] | None = None, skip: int = 0, limit: int | None = None, policy: Policy = None) -> Query:
+    q = catalog.query(name, policy).where(doc or {})
     for key, direction in (sort or {}).items():
         q = q.sort(key, direction < 0)
     return q.slice(skip, skip + limit) if limit is not None else q if not skip else q.slice(skip, skip + (1 << 31) - 1)
 
 
-def pipeline(catalog: Catalog, name: str, stages: Sequence[Mapping[str, Any]]) -> DataFrame:
+def pipeline(catalog: Catalog, name: str, stages: Sequence[Mapping[str, Any]], policy: Policy = None) -> DataFrame:
     """$match, $sort, $skip, $limit, then $group or $count, then $sort, $skip, $limit; other stages raise.
 
     Before $group and $count, $skip and $limit have no effect: these see all rows that match."""
-    q, skip, limit = catalog.query(name), 0, None
+    q, skip, limit = catalog.query(name, policy), 0, None
     out: DataFrame | None = None
     for stage in stages:
         if len(stage) != 1:
@@ -142,7 +144,7 @@ class Collection:
         self.store, self.name, self.model = store, name, store.models[name]
 
     def find(self, doc: Mapping[str, Any] | None = None, **options: Any) -> Query:
-        return find(self.store.catalog, self.name, doc, **options)
+        return find(self.store.catalog, self.name, doc, policy=self.store.policy, **options)
 
     def find_one(self, doc: Mapping[str, Any] | None = None) -> Row | None:
         return self.find(doc).first()
@@ -151,7 +153,7 @@ class Collection:
         return self.find(doc).count()
 
     def aggregate(self, stages: Sequence[Mapping[str, Any]]) -> DataFrame:
-        return pipeline(self.store.catalog, self.name, stages)
+        return pipeline(self.store.catalog, self.name, stages, self.store.policy)
 
     def insert_many(self, docs: Sequence[Mapping[str, Any]]) -> list[str]:
         rows = [self.model.instance(d) for d in docs]
@@ -176,15 +178,26 @@ class Collection:
             self.store.upsert(self.name, docfilter.parse(doc), ops, insert)
         return 0
 
-    def update_many(self, doc: Mapping[str, Any], update: Mapping[str, Any]) -> int:
-        return self.store.patch_where(self.name, docfilter.parse(doc), parse_update(update)[0])
+    def update_many(self, doc: Mapping[str, Any], update: Mapping[str, Any], upsert: bool = False) -> int:
+        ops, insert = parse_update(update)
+        n = self.store.patch_where(self.name, docfilter.parse(doc), ops)
+        if not n and upsert:
+            self.store.upsert(self.name, docfilter.parse(doc), ops, insert)
+        return n
 
-    def find_one_and_update(self, doc: Mapping[str, Any], update: Mapping[str, Any], after: bool = True) -> Row | None:
+    def find_one_and_update(self, doc: Mapping[str, Any], update: Mapping[str, Any], after: bool = True, upsert: bool = False) -> Row | None:
+        """The row after the update, or before it; an upsert that inserts has nothing before it."""
+        ops, insert = parse_update(update)
         row = self._first(doc)
-        if row is None:
+        if row is not None:
+            changed = self.store.patch(self.name, row[self.model.key], ops)
+            return changed if after else row
+        if not upsert:
             return None
-        changed = self.store.patch(self.name, row[self.model.key], parse_update(update)[0])
-        return changed if after else row
+        key = {} if self.model.key in patch.seed(docfilter.parse(doc), ops, insert) else {self.model.key: new_uuid()}
+        made = patch.seed(docfilter.parse(doc), ops, insert) | key
+        self.store.save(self.name, [made])
+        return self.store.query(self.name).get(made[self.model.key]) if after else None
 
     def replace_one(self, doc: Mapping[str, Any], new: Mapping[str, Any]) -> int:
         row = self._first(doc)

@@ -150,10 +150,8 @@ def dirty(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     return joined.select(key, fields.alias("fields")).filter(F.size("fields") > 0)
 
 
-def upserted(df: DataFrame, model: Model, match: N.Predicate, update: Mapping[str, Any], on_insert: Mapping[str, Any] | None = None) -> DataFrame:
-    """Updates the matching rows, or inserts one of the match's equalities, the set values and on_insert."""
-    if df.filter(compiler.predicate(match, Scope(df.schema))).limit(1).count():
-        return patched(df, model, match, update)
-    seed = {p.path: p.value for p in (match.parts if isinstance(match, N.And) else (match,)) if isinstance(p, N.Compare) and p.op == "="}
+def seed(match: N.Predicate, update: Mapping[str, Any], on_insert: Mapping[str, Any] | None = None) -> dict[str, Any]:
+    """The row that an upsert inserts: the match's equalities, what is set, and on_insert."""
+    equal = {p.path: p.value for p in (match.parts if isinstance(match, N.And) else (match,)) if isinstance(p, N.Compare) and p.op == "="}
     plain = {k: (v.arg if isinstance(v, Op) else v) for k, v in update.items() if not isinstance(v, Op) or v.name == "set"}
-    return df.unionByName(model.frame(df.sparkSession, [seed | plain | dict(on_insert or {})]).select(df.columns))
+    return equal | plain | dict(on_insert or {})

@@ -130,8 +130,8 @@ class Query:
         return _filtered(self.catalog, self.model, df, self.where_, self.policy)
 
     def _sorted(self, df: DataFrame) -> DataFrame:
-        """Ascending with nulls first, descending with nulls last; ties by key."""
-        if not self.order:
+        """Ascending with nulls first, descending with nulls last; ties, and so pages without an order, by key."""
+        if not self.order and not self.start and self.end is None:
             return df
         scope = self.scope(df)
         keys = [scope.resolve(n).col.desc_nulls_last() if d else scope.resolve(n).col.asc_nulls_first() for n, d in self.order]
@@ -271,12 +271,12 @@ class Query:
         return json.dumps(self.plan() | {"where": self.where_.digest(), "deleted": self.deleted}, sort_keys=True, default=str)
 
 
-def from_plan(catalog: Catalog, plan: Mapping[str, Any], allowed: Sequence[str] | None = None, max_page: int | None = None) -> Query:
-    """A query from its JSON form; models outside of the list, and those that start with _, are refused, and pages clamped."""
+def from_plan(catalog: Catalog, plan: Mapping[str, Any], allowed: Sequence[str] | None = None, max_page: int | None = None, policy: Callable[[Model], N.Predicate | None] | None = None) -> Query:
+    """A query from its JSON form, under a policy; models outside of the list, and those that start with _, are refused, and pages clamped."""
     name = plan["model"]
     if name.startswith("_") or (allowed is not None and name not in allowed) or name not in catalog.models:
         raise PermissionError(f"no model {name!r}")
-    q = catalog.query(name).filter(N.from_json(plan["where"]))
+    q = catalog.query(name, policy).filter(N.from_json(plan["where"]))
     for path, descending in plan.get("order", ()):
         q = q.sort(path, descending)
     start, end = plan.get("paging", {}).get("start", 0), plan.get("paging", {}).get("end")
@@ -369,6 +369,12 @@ def _filtered(catalog: Catalog, model: Model, df: DataFrame, where: N.Predicate,
 
         col = compiler.predicate(x, Scope(df.schema), True, leaf)
         for name, node in flags.values():
+            head, p, rest = _relation(model, node.path)  # type: ignore[misc]
+            if not p.many:  # a target's key is there once, so the foreign key finds one flag at most
+                target = catalog.models[p.target]
+                hits = Query(catalog, target, policy=policy).filter(replace(node, path=rest)).rows().select(F.col(target.key).alias(f"{name}_k"), F.lit(True).alias(name))
+                df = df.join(hits, df[head] == hits[f"{name}_k"], "left").drop(f"{name}_k")
+                continue
             keys = _related_keys(catalog, model, df.select(columns), node, policy).select(F.col("_owner").alias(f"{name}_k"), F.lit(True).alias(name))
             df = df.join(keys, df[model.key] == keys[f"{name}_k"], "left").drop(f"{name}_k")
         df = df.filter(col).select(columns)

@@ -65,7 +65,7 @@ class Scope:
         for i, name in enumerate(rest):
             if isinstance(t, T.VariantType):
                 target = {"number": "double", "boolean": "boolean", "date": "timestamp"}.get(wanted, "string")
-                strict = F.try_variant_get(col, "$." + ".".join(rest[i:]), "variant")
+                strict = F.try_variant_get(col, variant_path(rest[i:]), "variant")
                 shape = {"number": "^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)", "boolean": "^BOOLEAN", "date": "^TIMESTAMP"}.get(wanted, "^STRING")
                 value = F.when(F.schema_of_variant(strict).rlike(shape), F.try_variant_get(strict, "$", target))
                 return Typed(value, T._parse_datatype_string(target))
@@ -75,6 +75,13 @@ class Scope:
         return Typed(col, t)
 
 
+def variant_path(names: list[str]) -> str:
+    """A path into a variant in which every name is quoted; a name with a quote or a backslash can't be said."""
+    if any(set(n) & set("'\"\\") for n in names):
+        raise ValueError(f"no field {'.'.join(names)!r}")
+    return "$" + "".join(f"['{n}']" for n in names)
+
+
 # values
 def number(v: Typed) -> Column:
     """The number that arithmetic sees: what is no number counts as 0."""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import re
 import uuid as _uuid
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field, replace
@@ -108,6 +110,10 @@ class Index:
     text: bool = False
 
 
+#: Names reach paths, views and columns.
+_IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
+
+
 class ValidationError(ValueError):
     pass
 
@@ -128,6 +134,9 @@ class Model:
         if self.soft_delete:
             props[self.soft_delete] = date()
         props.setdefault(self.key, text())
+        for name in (self.name, *props):
+            if not _IDENTIFIER.fullmatch(name):
+                raise ValueError(f"{name!r} is no identifier")
         object.__setattr__(self, "properties", props)
 
     @property
@@ -152,7 +161,9 @@ class Model:
             if value is not None and not valid(p, value):
                 raise ValidationError(f"{self.name}.{name} can't be {value!r}")
             row[name] = p.encode(value) if p.encode and value is not None else value
-        if not isinstance(row.get(self.key), str) or not row[self.key]:
+        if row.get(self.key) in (None, ""):
+            if not isinstance(self.properties[self.key].type, T.StringType):
+                raise ValidationError(f"{self.name} needs a {self.key}")
             row[self.key] = new_uuid()
         if self.timestamps:
             row["createdAt"] = row["createdAt"] or now
@@ -180,15 +191,8 @@ def valid(p: Property, value: Any) -> bool:
 
 def fingerprint(models: Iterable[Model]) -> str:
     """16 hex characters that change with any model's name, key or properties, but not with their order."""
-    lines = sorted(json.dumps([m.name, m.key, sorted((n, p.kind, p.target or "", p.many, p.embed, p.unique) for n, p in m.properties.items())]) for m in models)
-    data = "\n".join(lines).encode()
-    out = ""
-    for start in (0x811C9DC5, 0x01000193):  # FNV-1a, 32 bits, from two starts
-        h = start
-        for b in data:
-            h = ((h ^ b) * 0x01000193) & 0xFFFFFFFF
-        out += f"{h:08x}"
-    return out
+    about = {m.name: {"key": m.key, "properties": {n: [p.kind, p.target, p.many, p.embed, p.unique, p.inverse] for n, p in m.properties.items()}} for m in models}
+    return hashlib.sha256(json.dumps(about, sort_keys=True).encode()).hexdigest()[:16]
 
 
 def renamed(model: Model, **changes: Any) -> Model:

@@ -24,18 +24,19 @@ class Schema:
         self.store = store
 
     def _rewrite(self, table: str, step: Callable[[DataFrame], DataFrame]) -> None:
-        at = self.store.manifest()["tables"].get(table)
+        at = None if table in (self.store._staged or {}) else self.store.manifest()["tables"].get(table)
         df = self.store.spark.read.parquet(f"{self.store.path}/{table}/{at}") if at else self.store.table(table)
         self.store._changed(table, step(df))
 
     def create_table(self, model: Model) -> None:
         self.store.models[model.name] = model
         self.store.catalog.add(model, lambda: self.store.table(model.name))
-        if model.name not in self.store.manifest()["tables"]:
+        if model.name not in self.store.manifest()["tables"] and model.name not in (self.store._staged or {}):
             self.store._changed(model.name, self.store.spark.createDataFrame([], model.struct()))
 
     def drop_table(self, name: str) -> None:
-        self.store._changed(name, self.store.table(name).limit(0))
+        """The table goes, its removed rows are logged, and the model is forgotten with the commit."""
+        self.store._changed(name, None)
 
     def add_column(self, table: str, name: str, type_: T.DataType, default: object = None) -> None:
         self._rewrite(table, lambda df: df.withColumn(name, F.lit(default).cast(type_)))
@@ -86,8 +87,9 @@ def migrate(store: Store, migrations: Sequence[Migration]) -> list[str]:
     done, ran = set(_applied(store)), []
     for m in migrations:
         if m.name not in done:
-            m.up(Schema(store))
-            store.save(TRACKING.name, [{"name": m.name, "appliedAt": datetime.now(UTC).replace(tzinfo=None)}])
+            with store.transaction():  # a migration and its tracking row are one commit
+                m.up(Schema(store))
+                store.save(TRACKING.name, [{"name": m.name, "appliedAt": datetime.now(UTC).replace(tzinfo=None)}])
             ran.append(m.name)
     return ran
 
@@ -102,7 +104,8 @@ def rollback(store: Store, migrations: Sequence[Migration], n: int = 1) -> list[
         m = by_name.get(name)
         if m is None or m.down is None:
             raise ValueError(f"{name} can't be undone")
-        m.down(Schema(store))
-        store.remove(TRACKING.name, N.Compare("name", "=", name))
+        with store.transaction():
+            m.down(Schema(store))
+            store.remove(TRACKING.name, N.Compare("name", "=", name))
         undone.append(name)
     return undone

@@ -1,17 +1,24 @@
 """A store of models as versioned Parquet tables.
 
-A commit writes new versions of the tables that it touches, then one small manifest that names the current version
-of every model, then moves it into place: readers see all of a commit or nothing.  There is one writer.  Each commit
-appends its changes, with the rows before and after, to a change log that Structured Streaming can follow.  Unique
-keys are checked on the merged tables before the manifest moves."""
+A commit writes new versions of the tables that it touches and its changes (with the rows before and after), each
+where nobody reads, and then a manifest, numbered one more than the last, that names the current version of every
+model and of the changes.  The manifest is moved into place by a rename that fails if another writer's has that number:
+readers see all of a commit or nothing, and of two writers the second gets a Conflict and can try again.  After that the
+changes move into the change log, which Structured Streaming can follow; if the writer dies in between, whoever
+reads or writes next moves them.  Unique keys are checked on the merged tables before the manifest moves.
+
+A policy names the rows of a model that are seen: queries, collections, patches, removals and upserts act on these
+alone, and a save that would replace a hidden row is denied.  ``table`` and ``changes`` are not subject to it."""
 
 from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterable, Mapping
 from datetime import UTC, datetime
+from functools import reduce
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +39,13 @@ class WriteDenied(PermissionError):
     pass
 
 
+class Conflict(RuntimeError):
+    """Another writer has committed since this commit began."""
+
+
+CHANGES = "seq long, model string, key string, kind string, before string, after string"
+
+
 class Files:
     """Small files and renames in whatever file system Spark reaches."""
 
@@ -52,16 +66,30 @@ class Files:
         finally:
             stream.close()
 
-    def replace(self, path: str, text: str) -> None:
+    def names(self, path: str) -> list[str]:
+        """What is in a folder; nothing if it isn't there."""
+        fs, p = self._at(path)
+        return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+    def move(self, source: str, target: str) -> bool:
+        """Renames unless the target is there or the source isn't."""
+        fs, p = self._at(target)
+        fs.mkdirs(p.getParent())
+        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), self.spark._jsc.hadoopConfiguration())
+        none = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(self.jvm.org.apache.hadoop.fs.Path(source), p, none)
+        except Py4JJavaError as e:
+            if e.java_exception.getClass().getSimpleName() in ("FileAlreadyExistsException", "FileNotFoundException"):
+                return False
+            raise
+        return True
+
+    def write(self, path: str, text: str) -> None:
         fs, p = self._at(path)
-        side = self.jvm.org.apache.hadoop.fs.Path(f"{path}.{new_uuid()}")
-        stream = fs.create(side, True)
+        stream = fs.create(p, True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), self.spark._jsc.hadoopConfiguration())
-        options = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = self.jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(side, p, options)
 
     def delete(self, path: str) -> None:
         fs, p = self._at(path)
@@ -73,7 +101,7 @@ class Store:
         self.spark, self.path, self.policy, self.can_write, self.hooks, self.observe = spark, path.rstrip("/"), policy, can_write, dict(hooks or {}), observe
         self.models = {m.name: m for m in models}
         self.files, self.catalog = Files(spark), Catalog()
-        self._staged: dict[str, DataFrame] | None = None
+        self._staged: dict[str, DataFrame | None] | None = None
         for m in self.models.values():
             self.catalog.add(m, lambda m=m: self.table(m.name))
         self._listeners: list[Callable[[str, DataFrame], None]] = []
@@ -81,14 +109,16 @@ class Store:
 
     # reading
     def manifest(self) -> dict[str, Any]:
-        return json.loads(self.files.read(f"{self.path}/manifest.json") or '{"version": 0, "seq": 0, "tables": {}}')
+        """The latest: its version, the number of its last change, the tables' versions and that of its changes."""
+        names = self.files.names(f"{self.path}/_manifests")
+        return json.loads(self.files.read(f"{self.path}/_manifests/{names[-1]}")) if names else {"version": 0, "seq": 0, "tables": {}, "log": None}
 
     def table(self, name: str, version: str | None = None) -> DataFrame:
         """The model's rows: staged ones inside of a transaction, else the committed version.  Columns that a model
         has gained since are null."""
         model = self.models[name]
         if self._staged is not None and name in self._staged:
-            return self._staged[name]
+            return self._staged[name] if self._staged[name] is not None else self.spark.createDataFrame([], model.struct())
         at = version or self.manifest()["tables"].get(name)
         if at is None:
             return self.spark.createDataFrame([], model.struct())
@@ -111,75 +141,88 @@ class Store:
         self._cache.clear()
 
     def sql(self, text: str, **args: Any) -> DataFrame:
-        """Raw SQL over the models as views."""
+        """Raw SQL over the models' rows as views; with a policy, over those that it shows."""
         for name in self.models:
-            self.table(name).createOrReplaceTempView(name)
+            (self.table(name) if self.policy is None else self.query(name).include_deleted().rows()).createOrReplaceTempView(name)
         return self.spark.sql(text, args=args or None)
 
     def fingerprint(self) -> str:
         return fingerprint(self.models.values())
 
     # writing
-    def _changed(self, name: str, after: DataFrame, touched: DataFrame | None = None) -> None:
+    def _changed(self, name: str, after: DataFrame | None) -> None:
+        """A model's new rows; None drops its table."""
         if self._staged is not None:
             self._staged[name] = after
         else:
             self._commit({name: after})
 
-    def _commit(self, tables: Mapping[str, DataFrame]) -> None:
+    def _hook(self, name: str, *args: Any) -> Any:
+        return self.hooks[name](*args) if name in self.hooks else None
+
+    def _commit(self, tables: Mapping[str, DataFrame | None]) -> None:
         began = datetime.now(UTC)
+        self.publish()
         state = self.manifest()
-        version = f"v{state['version'] + 1:012d}-{new_uuid()[:8]}"
+        number = state["version"] + 1
+        version = f"v{number:012d}-{new_uuid()[:8]}"
         before = {n: self._committed(n) for n in tables}
-        logs = []
+        made, logs = [f"{self.path}/_staged/{version}", f"{self.path}/_log/{version}"], []
         try:
             for name, df in tables.items():
                 model = self.models[name]
-                if (hook := self.hooks.get("before_commit")) is not None:
-                    df = hook(model, df)
-                df.write.parquet(f"{self.path}/{name}/{version}")
-                written = self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}/{version}")
-                shared = patch.violations(written, model).limit(1).collect()
-                if shared:
-                    raise UniqueViolation(f"{name}: {shared[0]['columns']} = {shared[0]['key']}")
-                log = change_rows(model, before[name], written)
+                if df is not None:
+                    if "before_commit" in self.hooks:
+                        df = self._hook("before_commit", model, df)
+                    made.append(f"{self.path}/{name}/{version}")
+                    df.write.parquet(made[-1])
+                    df = self.spark.read.schema(df.schema).parquet(made[-1])
+                    shared = patch.violations(df, model).limit(1).collect()
+                    if shared:
+                        raise UniqueViolation(f"{name}: {shared[0]['columns']} = {shared[0]['key']}")
+                log = change_rows(model, before[name], before[name].limit(0) if df is None else df)
                 if self.can_write is not None and not self.can_write(model, log.filter("kind = 'saved'").select("after")):
                     raise WriteDenied(name)
                 logs.append(log.select("model", "key", "kind", F.to_json("before").alias("before"), F.to_json("after").alias("after")))
+            seq = self._log_changes(logs, state["seq"], f"{self.path}/_staged/{version}", f"{self.path}/_log/{version}")
+            now = {n: v for n, v in state["tables"].items() if n not in tables} | {n: version for n, df in tables.items() if df is not None}
+            self.files.write(f"{self.path}/_staged/{version}.json", json.dumps({"version": number, "seq": seq, "tables": now, "log": version}))
+            if not self.files.move(f"{self.path}/_staged/{version}.json", f"{self.path}/_manifests/{number:012d}.json"):
+                raise Conflict(f"version {number} is another writer's")
         except Exception:
-            for name in tables:
-                self.files.delete(f"{self.path}/{name}/{version}")
+            for path in [*made, f"{self.path}/_staged/{version}.json"]:
+                self.files.delete(path)
             raise
-        log = logs[0]
-        for more in logs[1:]:
-            log = log.unionByName(more)
-        self._append_changes(log, state["seq"], f"{self.path}/_staged/{version}")
-        n = (self.spark.read.parquet(f"{self.path}/_changes").agg(F.max("seq")).first()[0] or state["seq"]) if self.files.read(f"{self.path}/_changes/_SUCCESS") is not None else state["seq"]
-        tables_now = state["tables"] | {name: version for name in tables}
-        self.files.replace(f"{self.path}/manifest.json", json.dumps({"version": state["version"] + 1, "seq": n, "tables": tables_now}))
+        self.files.delete(made[0])
+        self.publish()
         self._forget()
         for name in tables:
             for listener in self._listeners:
                 listener(name, self.changes(state["seq"]).filter(F.col("model") == name))
-        if (hook := self.hooks.get("after_commit")) is not None:
-            hook(list(tables))
+        self._hook("after_commit", list(tables))
         if self.observe is not None:
-            self.observe({"op": "commit", "models": list(tables), "seconds": (datetime.now(UTC) - began).total_seconds(), "changes": n - state["seq"]})
+            self.observe({"op": "commit", "models": list(tables), "seconds": (datetime.now(UTC) - began).total_seconds(), "changes": seq - state["seq"]})
+
+    def publish(self) -> None:
+        """Moves the last commit's changes into the change log if its writer hasn't."""
+        log = self.manifest()["log"]
+        if log is not None:
+            self.files.move(f"{self.path}/_log/{log}", f"{self.path}/_changes/{log}")
 
-    def _append_changes(self, log: DataFrame, seq: int, staging: str) -> None:
-        """Numbers the changes by model and key and appends them: each task numbers its own range, from where the ranges before it end."""
+    def _log_changes(self, logs: list[DataFrame], seq: int, staging: str, target: str) -> int:
+        """Numbers the changes by model and key, each task its own range from where the ranges before it end, and returns the last number."""
+        log = reduce(DataFrame.unionByName, logs)
         at = F.monotonically_increasing_id()
         ranged = log.repartitionByRange("model", "key").sortWithinPartitions("model", "key")
         ranged.withColumns({"part": F.shiftright(at, 33), "n": at.bitwiseAND(F.lit((1 << 33) - 1))}).write.parquet(staging)
         staged = self.spark.read.parquet(staging)
-        before, total = [], seq
+        starts = [(-1, seq)]
         for r in staged.groupBy("part").count().orderBy("part").collect():  # one row for each task
-            before.append((r["part"], total))
-            total += r["count"]
-        if before:
-            start = F.create_map(*[F.lit(x) for pair in before for x in pair])[F.col("part")]
-            staged.select((start + F.col("n") + 1).cast("long").alias("seq"), "model", "key", "kind", "before", "after").write.mode("append").parquet(f"{self.path}/_changes")
-        self.files.delete(staging)
+            starts.append((r["part"], seq))
+            seq += r["count"]
+        start = F.create_map(*[F.lit(x) for pair in starts for x in pair])[F.col("part")]
+        staged.select((start + F.col("n") + 1).cast("long").alias("seq"), "model", "key", "kind", "before", "after").write.parquet(target)
+        return seq
 
     def _committed(self, name: str) -> DataFrame:
         staged, self._staged = self._staged, None
@@ -188,44 +231,70 @@ class Store:
         finally:
             self._staged = staged
 
+    def visible(self, name: str, where: N.Predicate) -> N.Predicate:
+        """The predicate with what the policy shows."""
+        shown = self.policy(self.models[name]) if self.policy is not None else None
+        return where if shown is None else N.And((where, shown))
+
     def save(self, name: str, rows: Iterable[Mapping[str, Any]] | DataFrame) -> None:
         """Upserts by key; of rows with one key the last counts."""
         model = self.models[name]
         if not isinstance(rows, DataFrame):
             by_key = {r[model.key]: r for r in map(model.instance, rows)}
             rows = self.spark.createDataFrame([tuple(r[f.name] for f in model.struct()) for r in by_key.values()], model.struct())
-        changed = {name: patch.merged(self.table(name), rows, model.key)}
+        if "before_save" in self.hooks:
+            rows = self._hook("before_save", model, rows)
+        base = self.table(name)
+        if self.policy is not None:
+            hidden = base.filter(compiler.predicate(N.Not(self.visible(name, N.All())), Scope(base.schema)))
+            if hidden.join(rows.select(model.key), model.key, "left_semi").limit(1).count():
+                raise WriteDenied(f"{name}: a hidden row has this key")
+        changed = {name: patch.merged(base, rows, model.key)}
         tables = {n: changed.get(n, self.table(n)) for n in {p.target for p in model.properties.values() if p.inverse and not p.embed}}
-        changed |= inverse_updates(self.models, tables, model, self.table(name), rows)
+        changed |= inverse_updates(self.models, tables, model, base, rows)
         if self._staged is not None:
             self._staged |= changed
         else:
             self._commit(changed)
+        self._hook("after_save", model, rows)
 
     def remove(self, name: str, where: N.Predicate, hard: bool = False) -> None:
         model, base = self.models[name], self.table(name)
+        if "before_remove" in self.hooks:
+            where = self._hook("before_remove", model, where)
+        where = self.visible(name, where)
         if model.soft_delete and not hard:
-            return self._changed(name, patch.patched(base, model, where, {model.soft_delete: datetime.now(UTC).replace(tzinfo=None)}))
-        return self._changed(name, base.filter(compiler.predicate(where, Scope(base.schema), False)))
+            where = N.And((where, N.IsNull(model.soft_delete)))
+            self._changed(name, patch.patched(base, model, where, {model.soft_delete: datetime.now(UTC).replace(tzinfo=None)}))
+        else:
+            self._changed(name, base.filter(compiler.predicate(where, Scope(base.schema), False)))
+        self._hook("after_remove", model, where)
 
     def restore(self, name: str, where: N.Predicate) -> None:
         model = self.models[name]
-        self._changed(name, patch.patched(self.table(name), model, where, {model.soft_delete: patch.unset()}))
+        self._changed(name, patch.patched(self.table(name), model, self.visible(name, where), {model.soft_delete: patch.unset()}))
 
     def patch_where(self, name: str, where: N.Predicate, spec: Mapping[str, Any]) -> int:
         """Updates all matching rows; returns how many matched before."""
         model, base = self.models[name], self.table(name)
-        live = where if not model.soft_delete else N.And((where, N.IsNull(model.soft_delete)))
+        live = self.visible(name, where if not model.soft_delete else N.And((where, N.IsNull(model.soft_delete))))
         n = base.filter(compiler.predicate(live, Scope(base.schema))).count()
-        self._changed(name, patch.patched(base, model, live, spec))
+        if n:
+            self._changed(name, patch.patched(base, model, live, spec))
         return n
 
-    def patch(self, name: str, key: str, spec: Mapping[str, Any]) -> Row | None:
+    def patch(self, name: str, key: Any, spec: Mapping[str, Any]) -> Row | None:
         self.patch_where(name, N.Compare(self.models[name].key, "=", key), spec)
         return self.query(name).get(key)
 
     def upsert(self, name: str, match: N.Predicate, update: Mapping[str, Any], on_insert: Mapping[str, Any] | None = None) -> None:
-        self._changed(name, patch.upserted(self.table(name), self.models[name], match, update, on_insert))
+        """Updates the rows that match and are seen, or inserts one; an insert over a hidden row's key is denied."""
+        model, base = self.models[name], self.table(name)
+        seen = self.visible(name, match if not model.soft_delete else N.And((match, N.IsNull(model.soft_delete))))
+        if base.filter(compiler.predicate(seen, Scope(base.schema))).limit(1).count():
+            self._changed(name, patch.patched(base, model, seen, update))
+        else:
+            self.save(name, [patch.seed(match, update, on_insert)])
 
     def transaction(self) -> Transaction:
         return Transaction(self)
@@ -234,8 +303,9 @@ class Store:
     def changes(self, after: int = 0) -> DataFrame:
         """The change log beyond a sequence number, in order."""
         if self.manifest()["seq"] == 0:
-            return self.spark.createDataFrame([], "seq long, model string, key string, kind string, before string, after string")
-        return self.spark.read.parquet(f"{self.path}/_changes").filter(F.col("seq") > after).orderBy("seq")
+            return self.spark.createDataFrame([], CHANGES)
+        self.publish()
+        return self.spark.read.schema(CHANGES).parquet(f"{self.path}/_changes/*").filter(F.col("seq") > after).orderBy("seq")
 
     def subscribe(self, listener: Callable[[str, DataFrame], None], name: str | None = None, where: N.Predicate | None = None) -> Callable[[], None]:
         """Calls listener(model, changes) after commits whose rows match before or after."""
@@ -283,15 +353,15 @@ class Transaction:
     """Reads its own writes; commits all models with one manifest, or none if the block raises."""
 
     def __init__(self, store: Store):
-        self.store = store
+        self.store, self.open = store, False
 
     def __enter__(self) -> Store:
-        if self.store._staged is not None:
+        if self.store._staged is not None or self.open:
             raise RuntimeError("a transaction is open")
-        self.store._staged = {}
+        self.store._staged, self.open = {}, True
         return self.store
 
     def __exit__(self, kind: Any, *_: Any) -> None:
-        staged, self.store._staged = self.store._staged, None
+        staged, self.store._staged, self.open = self.store._staged, None, False
         if kind is None and staged:
             self.store._commit(staged)

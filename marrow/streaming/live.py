@@ -10,15 +10,13 @@ from pyspark.sql import functions as F
 
 from marrow.functions import nodes as N
 from marrow.operators.query import Query, _paths, _relation
-from marrow.sources.store import Store, matching
-
-CHANGES = "seq long, model string, key string, kind string, before string, after string"
+from marrow.sources.store import CHANGES, Store, matching
 
 
 def change_stream(store: Store, name: str | None = None, where: N.Predicate | None = None, visible: N.Predicate | None = None) -> DataFrame:
     """The store's change log as a stream.  ``visible`` is a read policy: saved rows that it hides are left out, and
     so is every removal, since its row can't be judged."""
-    stream = store.spark.readStream.schema(CHANGES).parquet(f"{store.path}/_changes")
+    stream = store.spark.readStream.schema(CHANGES).parquet(f"{store.path}/_changes/*")
     if name is not None:
         stream = stream.filter(F.col("model") == name)
         if where is not None:
@@ -65,8 +63,10 @@ class LiveQuery:
     def subscribe(self, listener: Callable[[Any], None], failed: Callable[[Exception], None] | None = None) -> Callable[[], None]:
         self._subscribers.append((listener, failed))
         if len(self._subscribers) == 1:
+            self.store.publish()
+            seen = self.store.manifest()["seq"]  # before the first run, so no commit falls between them
             self.refetch()
-            self._start()
+            self._start(seen)
         else:
             listener(self.value)
         entry = self._subscribers[-1]
@@ -80,10 +80,7 @@ class LiveQuery:
 
         return stop
 
-    def _start(self) -> None:
-        if not self.store.manifest()["seq"]:
-            return
-        seen = self.store.manifest()["seq"]
+    def _start(self, seen: int) -> None:
         targets = self._targets()
         if targets:  # a related row may change the result: any change of either model counts
             stream = change_stream(self.store).filter(F.col("model").isin([self.query.model.name, *targets]))
