@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import threading
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -41,3 +42,36 @@ def retried(run: Callable[[], Any], tries: int = 3, first: float = 0.1, most: fl
                 raise
             sleep(min(most, first * 2**k) * (0.5 + random.random() / 2))
     return None
+
+
+def within(seconds: float, run: Callable[[], Any], cancel: Callable[[], None] | None = None) -> Any:
+    """run() if it ends in time; else ``cancel`` is called (such as SparkContext.cancelJobGroup) and TimeoutError raised."""
+    out: dict[str, Any] = {}
+
+    def body() -> None:
+        try:
+            out["value"] = run()
+        except Exception as e:  # noqa: BLE001
+            out["error"] = e
+
+    thread = threading.Thread(target=body, daemon=True)
+    thread.start()
+    thread.join(seconds)
+    if thread.is_alive():
+        if cancel is not None:
+            cancel()
+        raise TimeoutError(f"not done in {seconds} s")
+    if "error" in out:
+        raise out["error"]
+    return out["value"]
+
+
+def transacted(store: Any, body: Callable[[Any], Any], tries: int = 3, **backoff: Any) -> Any:
+    """Runs body(store) in a transaction, and again from the start where another writer committed meanwhile."""
+    from marrow.sources.store import Conflict
+
+    def once() -> Any:
+        with store.transaction() as tx:
+            return body(tx)
+
+    return retried(once, tries, again=lambda e: isinstance(e, Conflict), **backoff)

@@ -332,13 +332,13 @@ class Store:
 
 
 def change_rows(model: Model, before: DataFrame, after: DataFrame) -> DataFrame:
-    """(model, key, kind, before, after) of the rows that differ between two versions of a table."""
+    """(model, key as text, kind, before, after) of the rows that differ between two versions of a table."""
     columns = model.struct().names
     b = before.select(F.col(model.key).alias("_b"), F.struct(*[c for c in columns if c in before.columns]).alias("before"))
     a = after.select(F.col(model.key).alias("_a"), F.struct(*[c for c in columns if c in after.columns]).alias("after"))
     both = b.join(a, b["_b"] == a["_a"], "full_outer").filter(~F.to_json("before").eqNullSafe(F.to_json("after")))
     kind = F.when(F.col("_a").isNull(), "removed").otherwise("saved")
-    return both.select(F.lit(model.name).alias("model"), F.coalesce("_a", "_b").alias("key"), kind.alias("kind"), "before", "after")
+    return both.select(F.lit(model.name).alias("model"), F.coalesce("_a", "_b").cast("string").alias("key"), kind.alias("kind"), "before", "after")
 
 
 def matching(changes: DataFrame, model: Model, where: N.Predicate) -> DataFrame:

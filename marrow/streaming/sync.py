@@ -6,7 +6,9 @@ stream gives the same result in whatever order changes come."""
 
 from __future__ import annotations
 
+import json
 import re
+import threading
 import time
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -16,6 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from marrow.schema import Model, integer, json_, text
+from marrow.sources.store import Conflict, Store
+
 CHANGE = "seq long, model string, key string, kind string, record string, version string, fields string"
 _STAMP = re.compile(r"^(\d{15}):(\d{6}):(.+)$")
 
@@ -39,16 +44,15 @@ class Clock:
         m = _STAMP.match(remote or "")
         if not m:
             return
-        ms, n, at = int(m[1]), int(m[2]), self._now()
-        top = max(self.ms, ms, at)
-        self.n = max(self.n, n) + 1 if top == self.ms == ms else self.n + 1 if top == self.ms else n + 1 if top == ms else 0
-        self.ms = top
+        known = max((self.ms, self.n), (int(m[1]), int(m[2])))
+        at = self._now()
+        self.ms, self.n = (at, 0) if at > known[0] else (known[0], known[1] + 1)
 
 
 def lww(changes: DataFrame) -> DataFrame:
     """The winning change of each (model, key): the highest version, the first seq among equal ones."""
     order = F.struct("version", (-F.col("seq")).alias("first"))
-    best = F.max_by(F.struct("seq", "kind", "record", "version"), order)
+    best = F.max_by(F.struct("seq", "kind", "record", "version", *(["fields"] if "fields" in changes.columns else [])), order)
     return changes.groupBy("model", "key").agg(best.alias("w")).select("model", "key", "w.*")
 
 
@@ -57,13 +61,17 @@ def live(folded: DataFrame) -> DataFrame:
 
 
 def merge_fields(changes: DataFrame) -> DataFrame:
-    """(model, key, record, versions): each field from the change with its highest version."""
+    """(model, key, record, versions): each field from the change with its highest version.  A record whose highest
+    removal is beyond all of its changes is gone; one that was changed after its removals is whole again."""
+    newest = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("version")))
+    alive = changes.groupBy("model", "key").agg(newest("removed").alias("gone"), newest("saved").alias("version")).filter("gone IS NULL OR version > gone").select("model", "key")
     rows = changes.filter("kind = 'saved'").select("model", "key", "seq", "version", F.from_json("record", "map<string,string>").alias("r"), F.from_json("fields", "map<string,string>").alias("f"))
     each = rows.select("model", "key", "seq", "version", "f", F.explode("r").alias("name", "value"))
     each = each.withColumn("v", F.coalesce(F.try_element_at("f", F.col("name")), "version"))
     won = each.groupBy("model", "key", "name").agg(F.max_by(F.struct("value", "v"), F.struct("v", (-F.col("seq")).alias("first"))).alias("w"))
     entries = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", f"w.{c}"))))
-    return won.groupBy("model", "key").agg(entries("value").alias("record"), entries("v").alias("versions"))
+    merged = won.groupBy("model", "key").agg(entries("value").alias("record"), entries("v").alias("versions"))
+    return merged.join(alive, ["model", "key"], "left_semi")
 
 
 def pull(changes: DataFrame, cursor: int = 0) -> DataFrame:
@@ -75,13 +83,13 @@ def lww_stream(changes: DataFrame) -> DataFrame:
     """As lww, over a stream: a row whenever a change wins."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best = state.get if state.exists else None
-        old = best
+        best = old = state.get if state.exists else None
         for df in batches:
-            for r in df.itertuples(index=False):
-                row = (r.version, -int(r.seq), r.kind, r.record)
-                if best is None or row[:2] > tuple(best[:2]):
-                    best = row
+            top = df[df["version"] == df["version"].max()]
+            if len(top):
+                first = top.loc[top["seq"].idxmin()]
+                if best is None or (first["version"], -int(first["seq"])) > tuple(best[:2]):
+                    best = (first["version"], -int(first["seq"]), first["kind"], first["record"])
         if best is not None and best != old:
             state.update(best)
             yield pd.DataFrame([{"model": key[0], "key": key[1], "seq": -best[1], "kind": best[2], "record": best[3], "version": best[0]}])
@@ -119,6 +127,70 @@ class Target:
         return spark.createDataFrame([tuple(c.get(n) for n in names) for c in self.log], CHANGE)
 
 
+LOG = Model("_sync_changes", {"seq": integer(), "model": text(), "key": text(), "kind": text(), "record": json_(), "version": text(), "fields": json_()})
+
+
+class StoreTarget:
+    """A ``Target`` whose log is a model of a store, so it is there after a restart.  The number of the last change
+    comes from the log when the target starts and after another writer's commit; pushes are taken one at a time.
+    What is collected is the current change of the keys pushed, never more."""
+
+    def __init__(self, store: Store, by_field: bool = False):
+        self.store, self.by_field, self._lock = store, by_field, threading.Lock()
+        store.models[LOG.name] = LOG
+        store.catalog.add(LOG, lambda: store.table(LOG.name))
+        self._reseed()
+
+    def _reseed(self) -> None:
+        self.seq = self.store.table(LOG.name).agg(F.max("seq")).first()[0] or 0
+
+    def push(self, changes: list[dict[str, Any]]) -> list[dict[str, Any]]:
+        """Takes those with a higher version than the current one (all, if fields are merged); returns the conflicts."""
+        with self._lock:
+            for again in (True, False):
+                try:
+                    return self._push(changes)
+                except Conflict:
+                    if not again:
+                        raise
+                    self._reseed()
+        return []
+
+    def _push(self, changes: list[dict[str, Any]]) -> list[dict[str, Any]]:
+        if not changes:
+            return []
+        log = self.store.table(LOG.name)
+        keys = self.store.spark.createDataFrame(sorted({(c["model"], c["key"]) for c in changes}), "model string, key string")
+        best = {(r["model"], r["key"]): _change(r) for r in lww(log.join(F.broadcast(keys), ["model", "key"], "left_semi")).collect()}
+        taken, conflicts, seq = [], [], self.seq
+        for c in changes:
+            at = (c["model"], c["key"])
+            if not self.by_field and at in best and not c["version"] > best[at]["version"]:
+                conflicts.append(best[at])
+                continue
+            seq += 1
+            taken.append({"uuid": str(seq), "seq": seq, "record": c["record"], "fields": c.get("fields") or None} | {k: c[k] for k in ("model", "key", "kind", "version")})
+            if at not in best or c["version"] > best[at]["version"]:
+                best[at] = c
+        if taken:
+            self.store.save(LOG.name, taken)
+        self.seq = seq
+        return conflicts
+
+    def pull(self, cursor: int = 0) -> tuple[list[dict[str, Any]], int]:
+        """The changes beyond the cursor, which a replica holds anyway."""
+        rows = pull(self.store.table(LOG.name), cursor).collect()
+        return [_change(r) for r in rows], rows[-1]["seq"] if rows else cursor
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        return self.store.table(LOG.name).select(*[c.split()[0] for c in CHANGE.split(", ")])
+
+
+def _change(r: Any) -> dict[str, Any]:
+    row = r.asDict()
+    return {k: row[k] for k in ("seq", "model", "key", "kind", "version")} | {k: None if row.get(k) is None else json.loads(row[k]) for k in ("record", "fields")}
+
+
 class Replica:
     """A local-first copy: writes go to an outbox, and ``sync`` pulls, merges and pushes.  Removals are tombstones
     with a version; a later write brings a record back."""

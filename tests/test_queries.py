@@ -4,7 +4,7 @@ from datetime import datetime
 import duckdb
 import pytest
 
-from marrow import catalog
+from marrow import catalog, catalog_store  # noqa: F401  (registers its queries)
 from marrow.functions import nodes as N
 from marrow.operators import documents
 from marrow.operators import query as Q
