@@ -279,9 +279,9 @@ def array_any(spark, d):
     return _q(spark, d, "shaped").filter(N.any_element("sizes", N.gt("value", 40))).ids()
 
 
-@registered("SELECT p_partkey FROM part WHERE len(list_filter(string_split(p_name, ' '), lambda w: length(w) > 5 AND w <> 'widget')) > 0")
+@registered("SELECT p_partkey FROM part WHERE len(list_filter(string_split(p_name, ' '), lambda w: length(w) > 4 AND w <> 'widget')) > 0")
 def array_any_struct(spark, d):
-    return _q(spark, d, "shaped").filter(N.any_element("parts", N.and_(N.gt("n", 5), N.neq("word", "widget")))).ids()
+    return _q(spark, d, "shaped").filter(N.any_element("parts", N.and_(N.gt("n", 4), N.neq("word", "widget")))).ids()
 
 
 @registered("SELECT p_partkey FROM part WHERE len(string_split(p_name, ' ')) = 2")
@@ -338,9 +338,9 @@ def topn_per_group(spark, d):
 
 
 # order and pages
-@registered(EV + "SELECT event_id, v FROM e ORDER BY v ASC NULLS FIRST, event_type DESC, event_id LIMIT 500")
+@registered(EV + "SELECT event_id, v, row_number() OVER (PARTITION BY user_id ORDER BY v ASC NULLS FIRST, event_type DESC, event_id) AS place FROM e")
 def sort_multi_nulls(spark, d):
-    return _q(spark, d, "events").sort("v").sort("event_type", True).slice(0, 500).frame().select("event_id", "v")
+    return _q(spark, d, "events").sort("v").sort("event_type", True).windowed(["user_id"], place="rowNumber").select("event_id", "v", "place")
 
 
 @registered("SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 30 OFFSET 20")
