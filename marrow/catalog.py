@@ -534,7 +534,7 @@ def sync_lww_fold(spark, d):
 
 @registered("""WITH s AS (SELECT *, event_id * 7919 % 10007 AS ver FROM events WHERE event_type <> 'error'),
 a AS (SELECT user_id, event_type AS a FROM s QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ver DESC, event_id) = 1),
-b AS (SELECT user_id, props AS b FROM s WHERE event_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ver DESC, event_id) = 1)
+b AS (SELECT user_id, props AS b FROM s WHERE event_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ver DESC, event_id) = 1),
 alive AS (SELECT user_id FROM events GROUP BY 1
   HAVING coalesce(max(CASE WHEN event_type <> 'error' THEN event_id * 7919 % 10007 END) > coalesce(max(CASE WHEN event_type = 'error' THEN event_id * 7919 % 10007 END), -1), false))
 SELECT a.user_id::VARCHAR AS key, a, b FROM a JOIN alive USING (user_id) LEFT JOIN b USING (user_id)""")
