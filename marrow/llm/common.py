@@ -6,43 +6,50 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marrow.session import shared_dir
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Separators between words: ASCII characters that are neither digits nor (lower-cased) letters.
 WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own where it is unset (tests)."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    own = getattr(spark.sparkContext, "_marrow_shared", None)
-    if own is None:
-        own = spark.sparkContext._marrow_shared = "file://" + tempfile.mkdtemp(prefix="marrow-")
-    return own
-
-
 def saved(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: this cuts lineage, survives the loss of
     executors, and keeps later jobs from running the same work again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/marrow-{name}-{uuid.uuid4().hex}"
-    spark.sparkContext.__dict__.setdefault("_marrow_tables", []).append(path)
+    for tables in _open.get():
+        tables.append(path)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, keep: int = 0) -> None:
-    """Deletes the tables that ``saved`` wrote in this session, but for the last ``keep`` of them.  For callers
-    who have written every result that was derived from them."""
-    tables = spark.sparkContext.__dict__.setdefault("_marrow_tables", [])
-    gone, tables[:] = tables[: len(tables) - keep], tables[len(tables) - keep :]
-    for path in gone:
+#: The lists of paths that are being gathered, the innermost last.
+_open: ContextVar[tuple[list[str], ...]] = ContextVar("marrow_tables", default=())
+
+
+@contextmanager
+def gathered() -> Iterator[list[str]]:
+    """The paths of the tables that are saved inside of the block: whoever has written all that was derived from them
+    may ``delete`` them.  Tables that others have saved are not touched."""
+    tables: list[str] = []
+    token = _open.set((*_open.get(), tables))
+    try:
+        yield tables
+    finally:
+        _open.reset(token)
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 

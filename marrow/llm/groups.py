@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from marrow.llm.common import saved
 
-#: A key with more rows than this is looked up by broadcast.  No more than (rows / HOT_ROWS) keys can be that hot,
-#: so what is broadcast is at most a 20,000th of the rows, of a few numbers each.
-HOT_ROWS = 20_000
+#: A key with more rows than this is looked up by broadcast, unless HOT_KEYS others have more still: so what is
+#: broadcast is bounded (a few numbers for each), and a key that isn't has at most a HOT_KEYS-th of all rows, which
+#: adaptive execution splits if that is much.
+HOT_ROWS, HOT_KEYS = 20_000, 100_000
 #: Id lists up to this length are broadcast to filter a wide table; longer ones are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: Edges that one task may join (16 bytes each).
@@ -22,8 +23,8 @@ EDGES_IN_TASK = 1_000_000
 
 def look_up(rows: DataFrame, entries: DataFrame, keys: list[str], value: str, count: str) -> DataFrame:
     """rows with ``value`` from the entry of their keys (null without one).  entries: one row for each key, with the number of rows that have it in ``count``."""
-    hot = entries.filter(F.col(count) > HOT_ROWS).select(*keys, F.col(value).alias("_hot"))
-    cold = entries.filter(F.col(count) <= HOT_ROWS).select(*[F.col(k).alias(f"_c_{k}") for k in keys], F.col(value).alias("_cold"))
+    hot = entries.filter(F.col(count) > HOT_ROWS).orderBy(F.desc(count)).limit(HOT_KEYS).select(*keys, F.col(value).alias("_hot"))
+    cold = entries.select(*[F.col(k).alias(f"_c_{k}") for k in keys], F.col(value).alias("_cold"))
     found = rows.join(F.broadcast(hot), keys, "left")
     # rows of a hot key need no second look: a null in the key matches nothing, and the other part spreads them
     spread = F.when(F.col("_hot").isNotNull(), F.monotonically_increasing_id()).otherwise(F.lit(-1))

@@ -2,9 +2,8 @@
 
 DataFrame functions only.  Lines are exploded and hashed to 128 bits; the hash is the only thing that is
 shuffled to count documents, and partial aggregation leaves one row for each hash and task.  Repeated hashes
-are saved, then looked up from every line.  A hash that holds more than 1/HOT_SHARE of the repeated lines is
-looked up by broadcast (there can be no more than HOT_SHARE of them, whatever the input), the others by a
-shuffled join in which no key is hot.
+are saved, then looked up from every line: those of very many lines by broadcast, the others by a shuffled join in
+which no key is hot (``groups.look_up``).
 
 Defined results: a null or empty text is one empty line.  A null doc_id is no document: its lines are neither
 counted nor dropped.  Rows that repeat a doc_id count as one document.  An empty table gives an empty result.
@@ -18,9 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marrow.llm.common import ascii_lower, saved
+from marrow.llm.groups import look_up
 
-#: Hashes with more than this share of all repeated lines are broadcast: at most HOT_SHARE rows.
-HOT_SHARE = 2000
 STRIPPED = " \t\n\x0b\x0c\r"
 
 
@@ -46,14 +44,7 @@ def _dropped(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_do
         counted = lines.groupBy("h1", "h2", "id").agg(F.count("*").alias("k")).groupBy("h1", "h2")
         counted = counted.agg(F.min("id").alias("first"), F.count("*").alias("docs"), F.sum("k").alias("n")).filter(F.col("docs") >= min_docs)
     repeated = saved(counted.select("h1", "h2", "first", "n"), "lines")
-    limit = (repeated.agg(F.sum("n")).first()[0] or 0) / HOT_SHARE
-    hot = repeated.filter(F.col("n") > limit).select("h1", "h2", F.col("first").alias("hot_first"))
-    cold = repeated.filter(F.col("n") <= limit).select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), "first")
-    found = lines.join(F.broadcast(hot), ["h1", "h2"], "left")
-    is_hot = F.col("hot_first").isNotNull()  # these need no second look; a null key spreads them and matches nothing
-    found = found.withColumn("j1", F.when(is_hot, F.xxhash64("id", "pos")).otherwise(F.col("h1"))).withColumn("j2", F.when(~is_hot, F.col("h2")))
-    found = found.join(cold, (F.col("j1") == F.col("c1")) & (F.col("j2") == F.col("c2")), "left")
-    found = found.filter(F.coalesce("hot_first", "first") != F.col("id"))
+    found = look_up(lines, repeated, ["h1", "h2"], "first", "n").filter(F.col("first") != F.col("id"))
     return found.groupBy("id", "th").agg(F.collect_set("pos").alias("drops"))
 
 

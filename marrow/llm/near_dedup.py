@@ -2,8 +2,9 @@
 into buckets, with every candidate pair verified on the multisets themselves.
 
 A signature register keeps the earliest point of Poisson processes over (shingle, weight): weights are cut at
-0, 1, 2, 4, 8 ..., each range is a process with a rate of its width, seeded by the shingle and the range alone.
-Points of a range that a count covers in part carry a position in it and count only if they lie below the count.
+0, 1, 2, 4, 8 ..., each range is a process with a rate of its width, seeded by the shingle and the range alone.  A
+range that a count covers in part is split into halves again and again; all of a point's choices of a half are drawn at
+once, as the binary digits of its position in the range, and the point counts if it lies below the count.
 So two texts share a register's point with a probability equal to their weighted Jaccard similarity, and a long
 text takes about as many points as a short one: processes stop at a time by which all registers are full (and go
 on where one is not).
@@ -11,13 +12,15 @@ on where one is not).
 Texts with equal multisets form a class, whose smallest id stands for it.  Each bucket's members are compared with
 its shortest text, and, where very many are then not all connected, with a few others.  At last all pairs of a bucket's
 members in different components are held against each other by sketches of SKETCH bits, and those that
-come near are verified: no bucket or group is capped, and pairs that would only repeat a connection are hardly made.  Groups of copies cost one comparison for each member, and the members of a leader are dealt over tasks
-over shares.
+come near are verified: no bucket or group is capped, and pairs that would only repeat a connection are hardly made.
+A pair at the threshold has sketches farther apart than DEVIATIONS allow with a probability of 1e-11.  Groups of copies
+cost one comparison for each member, and the members of a leader are dealt over tasks.
 
 With 25 bands of 5 registers a pair at a similarity of 0.8 shares a bucket with a probability of 0.99995.
 
 Defined results: texts without words (null and empty alike, or marks only) are copies if they are equal and like nothing else.  Null ids are in no group
-and are kept.  Rows that repeat an id are one document.  Other columns are ignored by ``classes``.
+and are kept.  Rows that repeat an id are one document.  Of a bucket's texts of one length the smallest id leads.
+Other columns are ignored by ``classes``, whatever their names.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,12 +41,13 @@ from marrow.llm.shingles import bags, jaccard, mix
 
 BANDS, ROWS, THRESHOLD = 25, 5, 0.8
 REGISTERS = BANDS * ROWS
-#: Pairs are dealt to shares so that no leader has many more members than this in one group of rows.
-PAIRS_IN_GROUP = 50_000
-#: While buckets that are not all in one component have more rows than this, up to ROUNDS more leaders are drawn.
-MANY_MEMBERS, ROUNDS = 2_000_000, 4
-#: Bits of the sketches by which the remaining pairs of buckets are told apart, and members of a bucket in one task.
-SKETCH, BUCKET_SHARE = 2048, 2000
+#: A leader's members are dealt to shares of about so many.
+PAIRS_IN_GROUP = 200
+#: While buckets that are not all in one component have more rows than this, and a round finds links, more leaders are drawn.
+MANY_MEMBERS = 2_000_000
+#: Bits of the sketches by which the remaining pairs of buckets are told apart, how many standard deviations apart
+#: they may be, and members of a bucket in one task.
+SKETCH, DEVIATIONS, BUCKET_SHARE = 2048, 6.7, 2000
 _UNIT = 2.0**-53
 
 
@@ -145,6 +149,7 @@ def _sketched(docs: DataFrame) -> DataFrame:
 def _with_sketches(docs: DataFrame, members: DataFrame, heads: DataFrame) -> DataFrame:
     """members (band, bucket, id) with sketches, all their buckets, and the number of shares that their bucket is dealt to."""
     texts = only_ids(docs, members.select("id").distinct(), "id").dropDuplicates(["id"])
+    texts = texts.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")  # by work: sketches take much of it and few bytes
     sketches = saved(_sketched(texts), "sketches").join(heads.select("id", "bands"), "id")
     sizes = members.groupBy("bucket").agg(F.count("*").alias("k")).withColumn("shares", F.ceil(F.col("k") / BUCKET_SHARE))
     return saved(look_up(members.join(sketches, "id"), sizes, ["bucket"], "shares", "k"), "sketched")
@@ -167,8 +172,8 @@ def _across(rows: DataFrame, threshold: float, deviations: float) -> DataFrame:
 def verified(docs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The pairs (a, b) whose texts are alike enough, with their similarity.  docs: id, text."""
     pairs = saved(pairs.select("a", "b").filter("a <> b").distinct(), "pairs")
-    shares = -(-pairs.count() // PAIRS_IN_GROUP) or 1
-    dealt = pairs.withColumn("share", F.pmod(F.xxhash64("b"), F.lit(shares)))
+    leaders = pairs.groupBy("a").agg(F.count("*").alias("k")).withColumn("shares", F.ceil(F.col("k") / PAIRS_IN_GROUP))
+    dealt = look_up(pairs, leaders, ["a"], "shares", "k").withColumn("share", F.pmod(F.xxhash64("b"), F.col("shares"))).drop("shares")
     texts = only_ids(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "id").dropDuplicates(["id"])
     kind = docs.schema["id"].dataType.simpleString()
     rows = dealt.join(texts, F.col("b") == F.col("id")).select("a", "share", "b", "text")
@@ -198,8 +203,8 @@ def verified(docs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) ->
 def _mixed(placed: DataFrame) -> DataFrame:
     """The members (bucket, id, own) of buckets that have more than one component."""
     placed = saved(placed, "placed")
-    mixed = placed.groupBy("bucket").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).filter("lo < hi").select("bucket")
-    return saved(placed.join(mixed, "bucket", "left_semi"), "mixed")
+    mixed = placed.groupBy("bucket").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("k")).filter("lo < hi").withColumn("mixed", F.lit(True))
+    return saved(look_up(placed, mixed, ["bucket"], "mixed", "k").filter("mixed").drop("mixed"), "mixed")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -221,9 +226,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     own = lambda df: df.join(names, "id", "left").withColumn("own", F.coalesce("component", "id")).drop("component")
 
     members = _mixed(own(members.select("band", "bucket", "id")))
-    for r in range(ROUNDS):  # each leader takes one comparison for each member, and connects what is dense
-        if members.count() <= MANY_MEMBERS:
-            break
+    r = 0
+    while members.count() > MANY_MEMBERS:  # each leader takes one comparison for each member, and connects what is dense
+        r += 1
         counted = members.groupBy("bucket", "own").agg(F.count("*").alias("k"))
         top = counted.groupBy("bucket").agg(F.max_by("own", F.struct("k", "own")).alias("top"), F.sum("k").alias("k"))
         strays = look_up(members, top, ["bucket"], "top", "k").filter("own <> top")  # the leader is drawn from outside of the bucket's commonest component
@@ -238,10 +243,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         members = _mixed(own(members.drop("own")))
 
     # what is left: all pairs of a bucket in different components, of which near sketches alone are made; the
-    # nearest come first, since what they connect need not be made again.  At five deviations three links in ten
-    # million are lost.
+    # nearest come first, since what they connect need not be made again
     sketched = _with_sketches(texts, members.drop("own"), heads)
-    for deviations in (0, 5):
+    for deviations in (0, DEVIATIONS):
         fresh = verified(texts, _across(own(sketched), threshold, deviations), threshold).select("a", "b")
         if fresh.limit(1).count():
             links = links.union(fresh)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from marrow.llm import decontam, language, line_dedup, piece_table, quality, style_tree, token_files, toxicity  # noqa: E402
+from marrow.llm import decontam, groups, language, line_dedup, piece_table, quality, style_tree, token_files, toxicity  # noqa: E402
 from marrow.llm.training import remainder, scored  # noqa: E402
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -55,7 +55,8 @@ def test_line_dedup_matches_brute_force(spark):
 
 
 def test_line_dedup_hot_keys_go_another_way(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "HOT_SHARE", 3)
+    monkeypatch.setattr(groups, "HOT_ROWS", 20)
+    monkeypatch.setattr(groups, "HOT_KEYS", 1)
     rows = [(i, f"the very same line\nline number {i % 4} of four\nmine {i}") for i in range(60)]
     got = sorted((r.doc_id, r.n_dropped, r.kept) for r in line_dedup.line_report(docs(spark, rows)).collect())
     assert got == sorted((i, k, t) for i, _, k, t in dedup(rows))
@@ -90,9 +91,14 @@ def test_decontamination_matches_brute_force(spark):
     items = [(k, " ".join(word() for _ in range(rng.randint(1, 14)))) for k in range(12)] + [(90, None), (91, "!!"), (92, "Two Words"), (93, "two words")]
     rows = [(i, rng.choice([" ", ", ", "\n"]).join(word() for _ in range(rng.randint(0, 120)))) for i in range(60)]
     rows += [(100, None), (101, ""), (102, "..."), (103, "x " + items[3][1].upper() + " y"), (104, LONG + " two-words"), (105, "two"), (105, "two")]
+    rows += [(106, "two words"), (106, "x"), (None, "see two words here"), (None, None)]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = sorted((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in decontam.contamination(docs(spark, rows), bench).collect())
-    assert got == sorted((i, *hits(t, items)) for i, t in rows)
+    key = lambda r: (r[0] is not None, *map(str, r))
+    got = sorted(((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in decontam.contamination(docs(spark, rows), bench).collect()), key=key)
+    assert got == sorted(((i, *hits(t, items)) for i, t in rows), key=key)
+    clean = decontam.without_hits(docs(spark, rows), bench)
+    assert clean.columns == docs(spark, rows).columns
+    assert sorted(((r.doc_id, r.text) for r in clean.collect()), key=key) == sorted(((i, t) for i, t in rows if not hits(t, items)[2]), key=key)
 
 
 def test_decontamination_by_shuffle_and_without_items(spark, monkeypatch):
