@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -74,8 +75,9 @@ def ship(spark: SparkSession) -> None:
     root = Path(__file__).resolve().parents[2]
     if str(root) in map(os.path.realpath, os.environ.get("PYTHONPATH", "").split(os.pathsep)) or getattr(spark.sparkContext, "_marrow_shipped", False):
         return
-    with tempfile.TemporaryDirectory() as d:  # addPyFile copies it to where executors fetch it
-        spark.sparkContext.addPyFile(shutil.make_archive(f"{d}/marrow", "zip", root, "marrow"))
+    d = tempfile.mkdtemp(prefix="marrow-")  # the driver's file server hands it out as long as the session lives
+    atexit.register(shutil.rmtree, d, ignore_errors=True)
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{d}/marrow", "zip", root, "marrow"))
     spark.sparkContext._marrow_shipped = True
 
 

@@ -7,7 +7,9 @@ learned together from document labels.  A text of any length is read in blocks o
 softmax is carried along as a running maximum and sum, so memory stays bounded.
 
 Defined results: a null or empty text is one empty passage.  With no labelled rows, or rows of one class only,
-every score is that class's share (0.5 without rows).  Repeated rows get equal scores.
+every score is that class's share (0.5 without rows).  A score of exactly 0.5 counts as good.  Repeated rows get equal
+scores; a null id is kept.  Columns other than id and text are ignored, whatever their names, and an empty table gives
+an empty result.
 """
 
 from __future__ import annotations

@@ -15,11 +15,14 @@ a block and joins their ids by position: a byte-level BPE of this kind splits ev
 both sides of a newline, that has no white space on either side.  Counts of all documents make the ranks; they and
 the sizes of parts (one row for each) are all that the driver receives.
 
-Defined results: a null or empty text has the end id only.  An empty table makes empty files.
+Defined results: a null or empty text has the end id only; a null id sorts first, and rows that repeat an id are
+documents of their own.  A text is one entry of one block, however long: a task holds a block and the longest text.
+An empty table makes empty files.  Columns other than id and text are ignored, whatever their names.  A tokenizer of another kind is refused.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -51,6 +54,18 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def check_tokenizer(path: str) -> None:
+    """Raises ValueError if the file is of another kind than the one whose splits this module relies on."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    before, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    kind = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+    if spec.get("normalizer") is not None or not kind or model.get("type", "BPE") != "BPE" or model.get("dropout"):
+        raise ValueError(f"{path} is no byte-level BPE that splits texts at spaces")
+    if any(t.get("lstrip") or t.get("rstrip") or t.get("normalized") for t in spec.get("added_tokens", ())):
+        raise ValueError(f"{path} has added tokens that take white space with them")
+
+
 class WordTable:
     """Tokenizes a block of texts through the table of its distinct words."""
 
@@ -175,6 +190,7 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Tokenizes docs and writes the files under path."""
+    check_tokenizer(tokenizer_path)
     like, kind = to_arrow_type(docs.schema[id_col].dataType), docs.schema[id_col].dataType.simpleString()
     names = ["part", "seq", "offset", "doc_ids", "lens", "ids"]
 

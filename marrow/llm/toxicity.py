@@ -1,13 +1,14 @@
 """Toxicity: a linear classifier on character n-grams whose features are scaled by naive Bayes log-count ratios.
 
-A feature is the presence of a hashed run of 5 to 7 UTF-8 bytes of the lower-cased text.  Counts over toxic and
+A feature is the presence of a hashed run of 3 to 6 characters of the lower-cased text.  Counts over toxic and
 other documents give each feature its log-count ratio; the features that tell the classes apart (chi-square
-of MIN_CHI at least) are scaled by it and weighted by L2-regularised logistic regression.  A text is read to its end in
-blocks of BLOCK bytes that overlap by one run, so memory stays bounded.
+of MIN_CHI at least, less where few rows teach) are scaled by it and weighted by L2-regularised logistic regression.  A
+text is read to its end in blocks of BLOCK characters that overlap by one run, so memory stays bounded.
 
 Defined results: a null or empty text has no features and gets the score of the bias alone.  With no labelled
-rows, or rows of one class only, every score is that class's share (0.5 without rows).  Repeated rows get equal
-scores.
+rows, or rows of one class only, every score is that class's share (0.5 without rows).  A score of exactly 0.5 counts as
+toxic.  Repeated rows get equal scores; a null id is kept.  Columns other than id and text are ignored, whatever
+their names, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,12 +20,14 @@ from pyspark.sql import DataFrame
 
 from marrow.llm import training
 
-SIZES, BITS, BLOCK = (5, 6, 7), 22, 1 << 20
-MAX_FEATURES, MIN_CHI, MIN_DOCS, MIN_SHARE, SMOOTHING, L2, ROUNDS = 4096, 30.0, 4, 0.004, 1.0, 0.01, 500
+SIZES, BITS, BLOCK = (3, 4, 5, 6), 22, 1 << 20
+MAX_FEATURES, MIN_CHI, MIN_DOCS, MIN_SHARE, SMOOTHING, L2, ROUNDS = 4096, 30.0, 4, 0.02, 1.0, 0.01, 500
+#: A feature must be in MIN_DOCS texts and in as many as MIN_SHARE of the smaller class has.  With fewer rows than MIN_CHI / CHI_SHARE the chi-square wanted is this share of the rows (it can't exceed their number).
+CHI_SHARE, LEAST_CHI = 0.1, 8.0
 
 
 def _runs(data: np.ndarray):
-    """Hashed runs of each size in bytes."""
+    """Hashed runs of each size."""
     h = data
     for n in range(2, max(SIZES) + 1):
         if len(data) < n:
@@ -36,10 +39,10 @@ def _runs(data: np.ndarray):
 
 def features(text: str, wanted: np.ndarray | None = None) -> np.ndarray:
     """Distinct features of the text, those in the bitmap ``wanted`` only."""
-    data = np.frombuffer((" " + text.lower() + " ").encode("utf-8", "surrogatepass"), np.uint8)
+    data = np.frombuffer((" " + text.lower() + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
     found = []
     for at in range(0, len(data), BLOCK):
-        for h in _runs(data[at : at + BLOCK + max(SIZES) - 1].astype(np.uint32)):
+        for h in _runs(data[at : at + BLOCK + max(SIZES) - 1]):
             found.append(np.unique(h if wanted is None else h[wanted[h]]))
     return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint32)
 
@@ -71,13 +74,13 @@ def fit(texts: list[str], labels: list[int]) -> NaiveBayesScaledModel:
     counts = np.zeros((2, 1 << BITS), np.int32)
     for t, label in zip(texts, labels, strict=True):
         counts[int(label > 0)][features(t)] += 1
-    seen = np.flatnonzero(counts.sum(0) >= max(MIN_DOCS, MIN_SHARE * len(y)))
+    seen = np.flatnonzero(counts.sum(0) >= max(MIN_DOCS, MIN_SHARE * min(y.sum(), (1 - y).sum())))
     neg, pos = counts[:, seen].astype(float)
     n_neg, n_pos = float((y == 0).sum()), float((y > 0).sum())
     expected = (pos + neg) * n_pos / len(y)
     chi = (pos - expected) ** 2 / expected + (neg - (pos + neg - expected)) ** 2 / (pos + neg - expected)
     best = np.argsort(-chi, kind="stable")[:MAX_FEATURES]
-    best = np.sort(best[chi[best] >= MIN_CHI])
+    best = np.sort(best[chi[best] >= min(MIN_CHI, max(LEAST_CHI, CHI_SHARE * len(y)))])
     ids = seen[best].astype(np.uint32)
     ratio = np.log((pos[best] + SMOOTHING) / (n_pos + 2 * SMOOTHING)) - np.log((neg[best] + SMOOTHING) / (n_neg + 2 * SMOOTHING))
     wanted = np.zeros(1 << BITS, bool)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from marrow.llm.common import saved
+
 #: A classifier learns from so many rows at most, and only from texts of so many characters at most: together
 #: these bound what the driver receives, whatever the input.  Scoring knows no such bound.
 MAX_ROWS, MAX_CHARS = 6000, 20_000
@@ -28,16 +30,18 @@ def bounded(ids: DataFrame, max_rows: int) -> DataFrame:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, allowed: Column, label_col: str, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> tuple[list[str], list[int]]:
-    """Texts and labels of the allowed rows with the smallest id hashes: a fixed pseudo-random choice.
+    """Texts and labels of the allowed rows with the smallest id hashes: a fixed pseudo-random choice among those that
+    have a label and a text of max_chars at most.
 
-    Where labels repeat an id, its largest label counts; rows with a null id, label or text teach nothing."""
+    Where labels repeat an id, its largest label counts, and of rows that repeat one the smallest text; rows with a
+    null id, label or text teach nothing."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).filter(F.col("y").isNotNull() & F.col("id").isNotNull())
     known = known.withColumnRenamed("id", id_col).filter(allowed).withColumnRenamed(id_col, "id").groupBy("id").agg(F.max("y").cast("int").alias("y"))
-    picked = bounded(known, max_rows)  # at most max_rows small rows
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull() & (F.char_length("text") <= max_chars))
-    rows = texts.join(F.broadcast(picked), "id").dropDuplicates(["id"]).select("id", "text", "y").collect()
-    rows = [r[1:] for r in sorted(rows, key=lambda r: r[0])]
-    return [r[0] for r in rows], [r[1] for r in rows]
+    picked = bounded(saved(known.join(texts.select("id"), "id", "left_semi"), "labelled"), max_rows)  # at most max_rows small rows
+    rows = texts.join(F.broadcast(picked), "id").groupBy("id", "y").agg(F.min("text").alias("text")).collect()
+    rows = sorted((r["id"], r["text"], r["y"]) for r in rows)
+    return [r[1] for r in rows], [r[2] for r in rows]
 
 
 def score_of(model, spark: SparkSession, text: Column) -> Column:

@@ -1,3 +1,4 @@
+import math
 import random
 import re
 import zlib
@@ -215,6 +216,125 @@ def test_classifiers_learn_and_stand_edges(spark, operator, column, bad):
         assert {0 <= s <= 1 for s in operator.train(d, few).score(["a", ""])} == {True}
 
 
+def sigmoid(z):
+    return 1 / (1 + math.exp(-max(-50, min(50, z))))
+
+
+def toxic_by_hand(model, text):
+    """n-gram by n-gram, in Python integers."""
+    chars, weight, found = [ord(c) for c in f" {text.lower()} "], dict(zip(model.ids.tolist(), model.weights)), set()
+    for n in (3, 4, 5, 6):
+        for i in range(len(chars) - n + 1):
+            h = chars[i]
+            for c in chars[i + 1 : i + n]:
+                h = (h * 0x01000193 + c) & 0xFFFFFFFF
+            found.add((((h ^ h >> 15) * 0x9E3779B1) & 0xFFFFFFFF) >> 10)
+    return sigmoid(model.bias + sum(weight.get(f, 0.0) for f in found))
+
+
+def quality_by_hand(model, text):
+    """Passage by passage: encode, weigh, mix."""
+    p, encoded, attention = model.p, [], []
+    for x in quality.passages(np.frombuffer(text.encode(), np.uint8)):
+        e = [math.tanh(sum(float(v) * float(w) for v, w in zip((x - p["mean"]) / p["std"], column)) + c) for column, c in zip(p["W"].T, p["c"])]
+        gate = lambda m: [sum(v * w for v, w in zip(e, column)) for column in m.T]  # noqa: B023, E731
+        encoded.append(e)
+        attention.append(sum(w * math.tanh(v) * sigmoid(u) for w, v, u in zip(p["w"], gate(p["V"]), gate(p["U"]))))
+    weights = [math.exp(a - max(attention)) for a in attention]
+    mixed = [sum(w * e[k] for w, e in zip(weights, encoded)) / sum(weights) for k in range(len(encoded[0]))]
+    return sigmoid(sum(m * o for m, o in zip(mixed, p["o"])) + p["b"])
+
+
+def test_passages_by_hand():
+    text = ("Ab1 \n" + "the cat sat, " * 90).encode()
+    got = quality.passages(np.frombuffer(text, np.uint8))
+    assert len(got) == -(-len(text) // 512)
+    for k, row in enumerate(got):
+        part, grams = text[k * 512 : (k + 1) * 512], Counter()
+        for i in range(k * 512, min((k + 1) * 512, len(text) - 2)):
+            h = ((text[i] * 65599 + text[i + 1]) * 65599 + text[i + 2]) & 0xFFFFFFFF
+            grams[(((h ^ h >> 13) * 0x9E3779B1) & 0xFFFFFFFF) >> 24] += 1
+        assert np.allclose(row[:256], [math.sqrt(grams[b] / len(part)) for b in range(256)], atol=1e-5)
+        assert np.allclose(row[257:262], [sum(quality._KIND[c] == kind for c in part) / len(part) for kind in range(5)], atol=1e-5)
+
+
+def language_by_hand(model, text):
+    words, cost = language.words_of(text), np.zeros(len(model.langs))
+    if not words:
+        return "und"
+    for w in words:
+        if w in model.words:
+            cost += model.word_costs[model.words[w]]
+            continue
+        marked = f"_{w}_"
+        for n in range(min(5, len(marked)), 0, -1):
+            known = [g for i in range(len(marked) - n + 1) if (g := marked[i : i + n]) in model.grams[n - 1]]
+            if known:
+                cost += sum(model.gram_costs[n - 1][model.grams[n - 1][g]].astype(float) for g in known) / len(known)
+                break
+        else:
+            cost += 7.0
+    return model.langs[int(np.argmin(cost))]
+
+
+def test_scores_match_those_by_hand():
+    rows = corpus(300, "vilezörk")
+    odd = ["", "a", "ab", "x" * 511, "y" * 512, "Ümläut 日本 🙂 " * 40, "vilezörk"] + [t for _, t, _ in rows[:40]]
+    model = toxicity.fit([t for _, t, _ in rows], [y for _, _, y in rows])
+    assert len(model.ids) and np.allclose(model.score(odd), [toxic_by_hand(model, t) for t in odd], atol=1e-9)
+    model = quality.fit([t for _, t, _ in rows], [y for _, _, y in rows])
+    assert np.allclose(model.score(odd), [quality_by_hand(model, t) for t in odd], atol=1e-4)
+    model = language.fit([t for _, t, _ in rows], ["ab"[y] for _, _, y in rows])
+    assert model.predict(odd)[0] == [language_by_hand(model, t) for t in odd]
+
+
+def test_attention_is_a_mean_of_passages():
+    """A text of equal passages has the score of any of their mixtures; blocks change nothing."""
+    rows = corpus(300, "$$$ ### %%%")
+    model = quality.fit([t for _, t, _ in rows], [y for _, _, y in rows])
+    text = ("talo renmi shoke " * 2000)[: 512 * 60]
+    whole = model.score([text])[0]
+    block, quality.BLOCK = quality.BLOCK, 7
+    try:
+        assert abs(model.score([text])[0] - whole) < 0.02
+    finally:
+        quality.BLOCK = block
+
+
+def test_letters_are_those_of_unicode():
+    assert language.words_of("हिन्दी ½ ② x² E\u0301te ab12cd_x 日本 \U00010140 ①") == ["हिन्दी", "x", "e\u0301te", "ab", "cd", "x", "日本"]
+    model = language.fit(["the cat", "the cat", "le chat", "le chat"], ["en", "en", "fr", "fr"])
+    assert model.predict(["½ ② ① 12 !", "the"])[0] == ["und", "en"]
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(i, "the and ing " * 5, "en") for i in range(3000)] + [(5000 + i, "qoxa zuvi " * 5, "zz") for i in range(4)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_rows=200)
+    assert model.predict(["qoxa", "ing"])[0] == ["zz", "en"]
+
+
+@pytest.mark.parametrize("run", [lambda d: scored(d, toxicity.fit([], [])), lambda d: scored(d, quality.fit([], [])), lambda d: language.identify(d, language.fit([], []))])
+def test_scores_of_no_rows_and_null_ids(spark, run):
+    assert run(docs(spark, []).limit(0)).count() == 0
+    assert [r.doc_id for r in run(docs(spark, [(None, None)])).collect()] == [None]
+
+
+def test_rows_without_a_text_do_not_use_up_the_sample(spark):
+    from marrow.llm import training
+
+    d = docs(spark, [(i, "x" * 50 if i % 10 else "short") for i in range(200)])
+    labels = spark.createDataFrame([(i, i % 20 == 0) for i in range(-300, 200)], "doc_id long, y boolean").selectExpr("doc_id", "int(y) as y")
+    texts_, y = training.labelled(d, labels, F.lit(True), "y", max_rows=20, max_chars=10)
+    assert len(texts_) == 20 and sum(y) == 10
+
+
+def test_tokenizers_of_another_kind_are_refused(tmp_path):
+    token_files.check_tokenizer(BPE)
+    (tmp_path / "t.json").write_text('{"pre_tokenizer": {"type": "Whitespace"}, "model": {"type": "BPE"}}')
+    with pytest.raises(ValueError):
+        token_files.check_tokenizer(str(tmp_path / "t.json"))
+
+
 def test_long_texts_are_read_to_the_end():
     rows = corpus(400, "vilezork")
     model = toxicity.fit([t for _, t, _ in rows], [y for _, _, y in rows])
