@@ -13,7 +13,7 @@ Texts with equal multisets form a class, whose smallest id stands for it.  Each
 its shortest text, and, where very many are then not all connected, with a few others.  At last all pairs of a bucket's
 members in different components are held against each other by sketches of SKETCH bits, and those that
 come near are verified: no bucket or group is capped, and pairs that would only repeat a connection are hardly made.
-A pair at the threshold has sketches farther apart than DEVIATIONS allow with a probability of 1e-11.  Groups of copies
+A pair at the threshold has sketches farther apart than DEVIATIONS allow with a probability of 3e-7.  Groups of copies
 cost one comparison for each member, and the members of a leader are dealt over tasks.
 
 With 25 bands of 5 registers a pair at a similarity of 0.8 shares a bucket with a probability of 0.99995.
@@ -47,7 +47,7 @@ PAIRS_IN_GROUP = 200
 MANY_MEMBERS = 2_000_000
 #: Bits of the sketches by which the remaining pairs of buckets are told apart, how many standard deviations apart
 #: they may be, and members of a bucket in one task.
-SKETCH, DEVIATIONS, BUCKET_SHARE = 2048, 6.7, 2000
+SKETCH, DEVIATIONS, BUCKET_SHARE = 2048, 5, 2000
 _UNIT = 2.0**-53
 
 
@@ -149,7 +149,8 @@ def _sketched(docs: DataFrame) -> DataFrame:
 def _with_sketches(docs: DataFrame, members: DataFrame, heads: DataFrame) -> DataFrame:
     """members (band, bucket, id) with sketches, all their buckets, and the number of shares that their bucket is dealt to."""
     texts = only_ids(docs, members.select("id").distinct(), "id").dropDuplicates(["id"])
-    texts = texts.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")  # by work: sketches take much of it and few bytes
+    # dealt by work, since sketches take much of it and few bytes; by another hash, or adaptive execution joins partitions
+    texts = texts.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("id"))
     sketches = saved(_sketched(texts), "sketches").join(heads.select("id", "bands"), "id")
     sizes = members.groupBy("bucket").agg(F.count("*").alias("k")).withColumn("shares", F.ceil(F.col("k") / BUCKET_SHARE))
     return saved(look_up(members.join(sketches, "id"), sizes, ["bucket"], "shares", "k"), "sketched")
@@ -170,10 +171,14 @@ def _across(rows: DataFrame, threshold: float, deviations: float) -> DataFrame:
 
 
 def verified(docs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) whose texts are alike enough, with their similarity.  docs: id, text."""
-    pairs = saved(pairs.select("a", "b").filter("a <> b").distinct(), "pairs")
-    leaders = pairs.groupBy("a").agg(F.count("*").alias("k")).withColumn("shares", F.ceil(F.col("k") / PAIRS_IN_GROUP))
-    dealt = look_up(pairs, leaders, ["a"], "shares", "k").withColumn("share", F.pmod(F.xxhash64("b"), F.col("shares"))).drop("shares")
+    """The pairs (a, b) whose texts are alike enough, with their similarity.  docs: id, text.  pairs: a, b, and k if
+    the number of pairs of each a is about known."""
+    if "k" in pairs.columns:  # about so many members has the leader a
+        pairs = saved(pairs.filter("a <> b").groupBy("a", "b").agg(F.max("k").alias("k")), "pairs")
+    else:
+        pairs = saved(pairs.filter("a <> b").distinct(), "pairs")
+        pairs = look_up(pairs, pairs.groupBy("a").agg(F.count("*").alias("n"), F.count("*").alias("k")), ["a"], "k", "n")
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("k") / PAIRS_IN_GROUP)).alias("share"))
     texts = only_ids(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "id").dropDuplicates(["id"])
     kind = docs.schema["id"].dataType.simpleString()
     rows = dealt.join(texts, F.col("b") == F.col("id")).select("a", "share", "b", "text")
@@ -219,9 +224,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     in_buckets = heads.select("id", "n", F.posexplode("bands").alias("band", "bucket"))
     first = F.min(F.struct("n", "id"))["id"]
     leaders = in_buckets.groupBy("bucket").agg(first.alias("leader"), F.count("*").alias("k")).filter("k > 1")
-    members = look_up(in_buckets, saved(leaders, "leaders"), ["bucket"], "leader", "k").filter(F.col("leader").isNotNull())
-    members = saved(members.select("band", "bucket", "id", "leader"), "members")
-    links = verified(texts, members.select(F.col("leader").alias("a"), F.col("id").alias("b")), threshold).select("a", "b")
+    leaders = saved(leaders.withColumn("led", F.struct("leader", "k")), "leaders")
+    members = look_up(in_buckets, leaders, ["bucket"], "led", "k").filter(F.col("led").isNotNull())
+    members = saved(members.select("band", "bucket", "id", "led.leader", "led.k"), "members")
+    links = verified(texts, members.select(F.col("leader").alias("a"), F.col("id").alias("b"), "k"), threshold).select("a", "b")
     names = saved(components(links), "components")
     own = lambda df: df.join(names, "id", "left").withColumn("own", F.coalesce("component", "id")).drop("component")
 
@@ -233,9 +239,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         top = counted.groupBy("bucket").agg(F.max_by("own", F.struct("k", "own")).alias("top"), F.sum("k").alias("k"))
         strays = look_up(members, top, ["bucket"], "top", "k").filter("own <> top")  # the leader is drawn from outside of the bucket's commonest component
         drawn = strays.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("h"), "id", "own")).alias("drawn"))
-        drawn = saved(drawn.join(top.select("bucket", "k"), "bucket"), "drawn")
+        drawn = drawn.join(top.select("bucket", "k"), "bucket").withColumn("drawn", F.col("drawn").withField("k", F.col("k")))
+        drawn = saved(drawn, "drawn")
         pairs = look_up(members, drawn, ["bucket"], "drawn", "k").filter("own <> drawn.own")
-        fresh = verified(texts, pairs.select(F.col("drawn.id").alias("a"), F.col("id").alias("b")), threshold).select("a", "b")
+        fresh = verified(texts, pairs.select(F.col("drawn.id").alias("a"), F.col("id").alias("b"), "drawn.k"), threshold).select("a", "b")
         if not fresh.limit(1).count():
             break
         links = links.union(fresh)
