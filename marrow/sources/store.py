@@ -15,7 +15,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterable, Mapping
 from datetime import UTC, datetime
-from functools import reduce
+from functools import reduce, wraps
 from typing import Any
 
 from py4j.protocol import Py4JJavaError
@@ -96,12 +96,29 @@ class Files:
         fs.delete(p, True)
 
 
+def _writes(method: Callable) -> Callable:
+    """What a method commits rests on the version that was there when it began."""
+
+    @wraps(method)
+    def run(self: Store, *args: Any, **options: Any) -> Any:
+        outer = self._basis
+        if outer is None:
+            self._basis = self.manifest()["version"]
+        try:
+            return method(self, *args, **options)
+        finally:
+            self._basis = outer
+
+    return run
+
+
 class Store:
     def __init__(self, spark: SparkSession, path: str, models: Iterable[Model], policy: Callable[[Model], N.Predicate | None] | None = None, can_write: Callable[[Model, DataFrame], bool] | None = None, hooks: Mapping[str, Callable] | None = None, observe: Callable[[dict], None] | None = None):
         self.spark, self.path, self.policy, self.can_write, self.hooks, self.observe = spark, path.rstrip("/"), policy, can_write, dict(hooks or {}), observe
         self.models = {m.name: m for m in models}
         self.files, self.catalog = Files(spark), Catalog()
         self._staged: dict[str, DataFrame | None] | None = None
+        self._basis: int | None = None
         for m in self.models.values():
             self.catalog.add(m, lambda m=m: self.table(m.name))
         self._listeners: list[Callable[[str, DataFrame], None]] = []
@@ -164,6 +181,8 @@ class Store:
         began = datetime.now(UTC)
         self.publish()
         state = self.manifest()
+        if self._basis not in (None, state["version"]):
+            raise Conflict(f"version {state['version']} has come since")
         number = state["version"] + 1
         version = f"v{number:012d}-{new_uuid()[:8]}"
         before = {n: self._committed(n) for n in tables}
@@ -193,6 +212,8 @@ class Store:
             for path in [*made, f"{self.path}/_staged/{version}.json"]:
                 self.files.delete(path)
             raise
+        if self._basis is not None:
+            self._basis = number
         self.files.delete(made[0])
         self.publish()
         self._forget()
@@ -236,6 +257,7 @@ class Store:
         shown = self.policy(self.models[name]) if self.policy is not None else None
         return where if shown is None else N.And((where, shown))
 
+    @_writes
     def save(self, name: str, rows: Iterable[Mapping[str, Any]] | DataFrame) -> None:
         """Upserts by key; of rows with one key the last counts."""
         model = self.models[name]
@@ -258,6 +280,7 @@ class Store:
             self._commit(changed)
         self._hook("after_save", model, rows)
 
+    @_writes
     def remove(self, name: str, where: N.Predicate, hard: bool = False) -> None:
         model, base = self.models[name], self.table(name)
         if "before_remove" in self.hooks:
@@ -270,10 +293,12 @@ class Store:
             self._changed(name, base.filter(compiler.predicate(where, Scope(base.schema), False)))
         self._hook("after_remove", model, where)
 
+    @_writes
     def restore(self, name: str, where: N.Predicate) -> None:
         model = self.models[name]
         self._changed(name, patch.patched(self.table(name), model, self.visible(name, where), {model.soft_delete: patch.unset()}))
 
+    @_writes
     def patch_where(self, name: str, where: N.Predicate, spec: Mapping[str, Any]) -> int:
         """Updates all matching rows; returns how many matched before."""
         model, base = self.models[name], self.table(name)
@@ -287,6 +312,7 @@ class Store:
         self.patch_where(name, N.Compare(self.models[name].key, "=", key), spec)
         return self.query(name).get(key)
 
+    @_writes
     def upsert(self, name: str, match: N.Predicate, update: Mapping[str, Any], on_insert: Mapping[str, Any] | None = None) -> None:
         """Updates the rows that match and are seen, or inserts one; an insert over a hidden row's key is denied."""
         model, base = self.models[name], self.table(name)
@@ -321,6 +347,7 @@ class Store:
         self._listeners.append(call)
         return lambda: self._listeners.remove(call)
 
+    @_writes
     def vacuum(self) -> None:
         """Drops expired rows of models with a time-to-live."""
         for m in self.models.values():
@@ -359,9 +386,13 @@ class Transaction:
         if self.store._staged is not None or self.open:
             raise RuntimeError("a transaction is open")
         self.store._staged, self.open = {}, True
+        self.store._basis = self.store.manifest()["version"]
         return self.store
 
     def __exit__(self, kind: Any, *_: Any) -> None:
         staged, self.store._staged, self.open = self.store._staged, None, False
-        if kind is None and staged:
-            self.store._commit(staged)
+        try:
+            if kind is None and staged:
+                self.store._commit(staged)
+        finally:
+            self.store._basis = None

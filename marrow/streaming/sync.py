@@ -142,6 +142,7 @@ class StoreTarget:
         self._reseed()
 
     def _reseed(self) -> None:
+        self.version = self.store.manifest()["version"]
         self.seq = self.store.table(LOG.name).agg(F.max("seq")).first()[0] or 0
 
     def push(self, changes: list[dict[str, Any]]) -> list[dict[str, Any]]:
@@ -150,15 +151,16 @@ class StoreTarget:
             for again in (True, False):
                 try:
                     return self._push(changes)
-                except Conflict:
+                except Conflict:  # another hub has committed since
                     if not again:
                         raise
-                    self._reseed()
         return []
 
     def _push(self, changes: list[dict[str, Any]]) -> list[dict[str, Any]]:
         if not changes:
             return []
+        if self.store.manifest()["version"] != self.version:
+            self._reseed()
         log = self.store.table(LOG.name)
         keys = self.store.spark.createDataFrame(sorted({(c["model"], c["key"]) for c in changes}), "model string, key string")
         best = {(r["model"], r["key"]): _change(r) for r in lww(log.join(F.broadcast(keys), ["model", "key"], "left_semi")).collect()}
@@ -173,7 +175,11 @@ class StoreTarget:
             if at not in best or c["version"] > best[at]["version"]:
                 best[at] = c
         if taken:
-            self.store.save(LOG.name, taken)
+            with self.store.transaction() as tx:
+                if self.store._basis != self.version:
+                    raise Conflict("another hub's changes have come")
+                tx.save(LOG.name, taken)
+            self.version += 1
         self.seq = seq
         return conflicts
 

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 from marrow.functions import nodes as N
 from marrow.operators import patch
 from marrow.operators.documents import Collection
-from marrow.operators.wrappers import observed, retried
-from marrow.schema import Index, Model, array, integer, text, to_many, to_one
+from marrow.operators.query import from_plan
+from marrow.operators.wrappers import observed, retried, transacted, within
+from marrow.schema import Index, Model, ValidationError, array, integer, text, to_many, to_one
 from marrow.sources import io, migrate
-from marrow.sources.store import Store, UniqueViolation, WriteDenied
+from marrow.sources.store import Conflict, Store, UniqueViolation, WriteDenied
 from marrow.streaming import live, sync
 
 SONG = Model("song", {"title": text(unique=True), "plays": integer(default=0), "tags": array()}, indexes=(Index(("title",), unique=True),))
@@ -258,3 +259,132 @@ def test_live_queries_follow_related_models(spark, tmp_path):
     query.drain()
     stop()
     assert got == [[], ["a"]]
+
+
+def test_a_writer_that_dies_before_the_manifest_leaves_no_trace(store, monkeypatch):
+    store.save("song", [{"uuid": "a", "title": "A"}])
+    real = store.files.move
+    monkeypatch.setattr(store.files, "move", lambda s, t: (_ for _ in ()).throw(KeyboardInterrupt()) if "_manifests" in t else real(s, t))
+    with pytest.raises(KeyboardInterrupt):
+        store.save("song", [{"uuid": "b", "title": "B"}])
+    monkeypatch.undo()
+    assert set(rows(store)) == {"a"} and [r.seq for r in store.changes().collect()] == [1]
+    store.save("song", [{"uuid": "c", "title": "C"}])
+    assert [(r.seq, r.key) for r in store.changes().collect()] == [(1, "a"), (2, "c")]
+
+
+def test_changes_of_a_writer_that_dies_after_the_manifest_are_published(store, monkeypatch):
+    monkeypatch.setattr(store, "publish", lambda: None)
+    store.save("song", [{"uuid": "a", "title": "A"}])
+    monkeypatch.undo()
+    other = Store(store.spark, store.path, [SONG, NOTE])
+    assert [r.key for r in other.changes().collect()] == ["a"]
+    other.save("song", [{"uuid": "b", "title": "B"}])
+    assert [(r.seq, r.key) for r in other.changes().collect()] == [(1, "a"), (2, "b")]
+
+
+def test_the_second_of_two_writers_gets_a_conflict(spark, store):
+    other = Store(spark, store.path, [SONG, NOTE])
+    store.hooks["before_commit"] = lambda m, df: (store.hooks.clear(), other.save("song", [{"uuid": "o", "title": "O"}]), df)[2]
+    with pytest.raises(Conflict):
+        store.save("song", [{"uuid": "a", "title": "A"}])
+    assert set(rows(store)) == {"o"}
+    transacted(store, lambda tx: tx.save("song", [{"uuid": "a", "title": "A"}]))
+    assert set(rows(store)) == {"a", "o"} and [r.key for r in store.changes().collect()] == ["o", "a"]
+
+
+def test_nothing_hidden_is_seen_or_changed(spark, tmp_path):
+    s = Store(spark, f"file://{tmp_path}/h", [NOTE, SONG])
+    s.save("note", [{"uuid": "n", "owner": "alice", "body": "x"}, {"uuid": "m", "owner": "bob", "body": "y"}])
+    s.policy = lambda m: N.eq("owner", "alice") if m.name == "note" else None
+    c = Collection(s, "note")
+    assert c.count_documents() == 1 and [r.uuid for r in c.find().list()] == ["n"] and c.find_one({"owner": "bob"}) is None
+    assert c.aggregate([{"$count": "n"}]).first().n == 1 and s.sql("SELECT count(*) AS n FROM note").first().n == 1
+    assert from_plan(s.catalog, {"model": "note", "where": N.All().to_json()}, policy=s.policy).count() == 1
+    assert c.update_many({}, {"$set": {"body": "z"}}) == 1 and c.find_one_and_update({"owner": "bob"}, {"$set": {"body": "q"}}) is None
+    assert c.replace_one({"owner": "bob"}, {"body": "q"}) == 0 and c.delete_one({"owner": "bob"}) == 0 and c.delete_many({"owner": "bob"}) == 0
+    s.upsert("note", N.eq("owner", "bob"), {"body": patch.set_("new")})  # bob's note isn't seen, so another is made
+    with pytest.raises(WriteDenied):
+        s.save("note", [{"uuid": "m", "owner": "alice"}])
+    with pytest.raises(WriteDenied):
+        s.upsert("note", N.eq("uuid", "m"), {"body": patch.set_("mine")})
+    s.remove("note", N.eq("uuid", "m"), hard=True)
+    got = {r.uuid: r.body for r in s.table("note").collect()}
+    assert got["n"] == "z" and got["m"] == "y" and sorted(got.values()) == ["new", "y", "z"]
+
+
+def test_live_queries_start_on_an_empty_log_and_lose_nothing(store):
+    got = []
+    query = live.LiveQuery(store, store.query("song"), lambda q: (q.count(), len(got) == 0 and store.save("song", [{"uuid": "a", "title": "A"}]))[0])
+    stop = query.subscribe(got.append)  # a commit falls between the first run and the start of the stream
+    query.drain()
+    stop()
+    assert got[0] == 0 and got[-1] == 1
+
+
+def test_keys_that_are_no_text_are_kept(spark, tmp_path):
+    m = Model("n", {"k": integer(), "x": text()}, key="k")
+    s = Store(spark, f"file://{tmp_path}/k", [m])
+    s.save("n", [{"k": 3, "x": "a"}, {"k": 3, "x": "b"}])
+    assert [(r.k, r.x) for r in s.query("n").list()] == [(3, "b")] and s.changes().first().key == "3"
+    with pytest.raises(ValidationError):
+        s.save("n", [{"x": "no key"}])
+
+
+def test_copies_in_batches_and_fan_out_of_updates(store, spark, tmp_path):
+    store.save("song", [{"uuid": f"u{i}", "title": f"T{i}", "plays": i} for i in range(7)])
+    other, seen = Store(spark, f"file://{tmp_path}/b", [SONG]), []
+    assert io.copy(store, other, ["song"], batch=3, on_batch=lambda name, n: seen.append(n)) == {"song": 7}
+    assert seen == [3, 6, 7] and other.query("song").count() == 7
+    both = io.FanOut([store, other])
+    both.upsert("song", N.eq("title", "new"), {"plays": patch.set_(1)})
+    assert both.patch_where("song", N.gt("plays", 3), {"plays": patch.inc(10)}) == 3
+    both.remove("song", N.eq("plays", 0))
+    assert rows(store) == rows(other) and len(rows(store)) == 7
+    broken = io.FanOut([store, Store(spark, f"file://{tmp_path}/c", [NOTE])], strict=False)
+    broken.remove("song", N.everything())
+    assert not rows(store) and type(broken.errors[1]) is KeyError
+
+
+def test_durable_targets_go_on_after_a_restart(spark, tmp_path):
+    place = f"file://{tmp_path}/sync"
+    change = lambda key, v: {"model": "m", "key": key, "kind": "saved", "record": {"v": v}, "version": v, "fields": None}
+    first = sync.StoreTarget(Store(spark, place, []))
+    assert first.push([change("a", "1"), change("b", "1"), change("a", "2")]) == []
+    second = sync.StoreTarget(Store(spark, place, []))
+    assert second.seq == 3 and [c["version"] for c in second.push([change("a", "1")])] == ["2"]
+    second.push([change("a", "3")])
+    log, cursor = second.pull(3)
+    assert [(c["seq"], c["record"]) for c in log] == [(4, {"v": "3"})] and cursor == 4
+    first.push([change("c", "1")])  # its number is behind: another writer has committed, so it starts again from the log
+    assert sorted(c["seq"] for c in first.pull()[0]) == [1, 2, 3, 4, 5]
+
+
+def test_field_merges_with_removals(spark):
+    stamp = lambda n: f"{n:015d}:000000:n"
+    row = lambda seq, key, kind, v, **r: (seq, "m", key, kind, json.dumps(r) if r else None, stamp(v), None)
+    changes = [row(1, "gone", "saved", 1, a="1"), row(2, "gone", "removed", 2), row(3, "back", "saved", 1, a="1", b="1"), row(4, "back", "removed", 2), row(5, "back", "saved", 3, a="2"), row(6, "never", "removed", 9)]
+    got = {r.key: r.record for r in sync.merge_fields(spark.createDataFrame(changes, sync.CHANGE)).collect()}
+    assert got == {"back": {"a": "2", "b": "1"}}
+
+
+def test_time_limits_and_guards(tmp_path):
+    import time
+
+    cancelled = []
+    with pytest.raises(TimeoutError):
+        within(0.05, lambda: time.sleep(1), lambda: cancelled.append(1))
+    assert cancelled == [1] and within(5, lambda: 3) == 3
+    with pytest.raises(KeyError):
+        within(5, lambda: {}["x"])
+    with pytest.raises(ValueError):
+        Model("ok", {"bad name": text()})
+
+
+def test_relational_tables(spark):
+    url = "jdbc:derby:memory:marrow;create=true"
+    df = spark.createDataFrame([(i, f"n{i}") for i in range(20)], "k int, name string")
+    io.write_jdbc(df, url, "people", batch=7)
+    io.write_jdbc(df.limit(1), url, "people")
+    got = io.jdbc(spark, url, "people", partitionColumn="k", lowerBound="0", upperBound="20", numPartitions="3")
+    assert got.count() == 21 and got.filter("k = 3").first()["name"] == "n3"
