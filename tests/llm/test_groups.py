@@ -288,3 +288,59 @@ def test_pipeline_stages_act_on_what_the_last_one_kept(spark, tmp_path, con):
     leaky = {i for i, t in left.items() for w in [WORD.findall(t.lower())] if any(tuple(w[k : k + 8]) in runs for k in range(len(w) - 7))}
     assert set(clean) == set(left) - leaky and set(coded) == set(clean)
     assert pipeline.run(spark, DATA).count() == len(coded)
+
+
+def odd_documents(spark, folder):
+    """Null ids and texts, repeated rows, a very long text, and columns whose names the operators use themselves."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6)))
+    base = " ".join(word() for _ in range(60))
+    item = " ".join(f"item{k}" for k in range(12))
+    rows = [(1, base), (2, base), (2, base), (3, base + " more"), (None, base), (None, None), (4, None), (5, ""), (6, "..."), (7, "..."), (8, f"see {item} there"), (None, f"and {item} too"), (9, "word " * 20_000)]
+    rows += [(20 + i, f"a line that many documents share\n{word()} {word()} {word()} {word()} {word()} {i}") for i in range(6)] + [(None, "a line that many documents share\nmine")]
+    kind = "doc_id long, text string, lang string, source string, n_chars long, id string, bucket int, th long, t1 long, lines array<string>, share int, own int"
+    df = spark.createDataFrame([(i, t, "x", "s", None if t is None else len(t), "i", 0, 1, 2, ["l"], 3, 4) for i, t in rows], kind)
+    df.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(k, 0, int(k % 5 == 0)) for k in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    return rows
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    from tests.llm.test_text_ops import PIECES, dedup, hits, piece_table
+
+    pipeline = importlib.import_module("corpus_pipeline")
+    rows, d = odd_documents(spark, f"file://{tmp_path}/in"), f"file://{tmp_path}/in"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    columns, stages = docs.columns, dict(pipeline.STAGES)
+    of = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    mild = stages["toxicity"](spark, docs, d)
+    assert mild.columns == columns and set(of(mild)) <= set(rows)
+    lined = stages["line dedup"](spark, docs, d)
+    want = Counter((i, None if rows[k][1] is None else t) for k, (i, _, _, t) in enumerate(dedup(rows)))
+    assert lined.columns == columns and of(lined) == want
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in lined.collect())
+    single = stages["near-dedup"](spark, docs, d)
+    first = by_brute_force(rows)
+    assert single.columns == columns and of(single) == Counter((i, t) for i, t in rows if i is None or first[i] == i)
+    clean = stages["decontamination"](spark, docs, d)
+    items = [(1, " ".join(f"item{k}" for k in range(12)))]
+    assert clean.columns == columns and of(clean) == Counter((i, t) for i, t in rows if not hits(t, items)[2])
+    sp = piece_table._processor(PIECES)
+    coded = Counter((r.doc_id, tuple(r.ids)) for r in stages["sentencepiece"](spark, docs, d).collect())
+    assert coded == Counter((i, tuple(sp.encode(t or "") + [2])) for i, t in rows)
+    for stage in stages.values():
+        assert stage(spark, docs.limit(0), d).count() == 0
+
+
+def test_a_run_deletes_its_own_tables_only(spark, tmp_path):
+    from marrow.llm.common import delete, gathered, saved
+
+    kept = saved(spark.range(3), "kept")
+    with gathered() as outer:
+        a = saved(spark.range(4), "a")
+        with gathered() as inner:
+            saved(spark.range(5), "b")
+    assert len(outer) == 2 and len(inner) == 1 and inner[0] in outer
+    delete(spark, inner)
+    assert kept.count() == 3 and a.count() == 4
