@@ -18,7 +18,8 @@ from pyspark.sql.window import Window
 from marrow.functions import nodes as N
 from marrow.plans import compiler, docfilter
 from marrow.plans.compiler import Scope, Typed, kind_of
-from marrow.schema import Model, Property
+from marrow.schema import Model, Property, new_uuid
+from marrow.session import shared_dir
 
 RANKS = {"rowNumber": F.row_number, "rank": F.rank, "denseRank": F.dense_rank}
 
@@ -198,13 +199,17 @@ class Query:
 
     # windows
     def windowed(self, partition_by: Sequence[str | N.Value] = (), **functions: str) -> DataFrame:
-        """All filtered rows with rowNumber, rank or denseRank columns over the query's order."""
+        """All filtered rows with rowNumber, rank or denseRank columns over the query's order.  Without a partition the
+        rows are written to the shared folder in ranges of the order, so that no task holds them all."""
         df = self.rows()
         scope = self.scope(df)
         order = [scope.resolve(n).col.desc_nulls_last() if d else scope.resolve(n).col.asc_nulls_first() for n, d in self.order]
         parts = [_typed(p, scope).col for p in partition_by]
+        key = F.col(self.model.key).asc()
+        if not parts:
+            return _ranked(df, order, key, functions)
         plain = Window.partitionBy(*parts).orderBy(*(order or [F.lit(1)]))
-        tied = Window.partitionBy(*parts).orderBy(*order, F.col(self.model.key).asc())
+        tied = Window.partitionBy(*parts).orderBy(*order, key)
         return df.withColumns({n: RANKS[fn]().over(tied if fn == "rowNumber" else plain).cast("long") for n, fn in functions.items()})
 
     # keyset pages
@@ -306,6 +311,30 @@ def _aggregate(a: Aggregate, scope: Scope) -> Column:
     return F.coalesce({"sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max}[a.fn](col), F.lit(0).cast("double" if a.fn in ("sum", "avg") else v.type))
 
 
+def _ranked(df: DataFrame, order: Sequence[Column], key: Column, functions: Mapping[str, str]) -> DataFrame:
+    """Ranks over all rows: within ranges of the order, from where the ranges before end.  Rows that tie are in one range
+    unless only row numbers are asked for."""
+    if not order and "rowNumber" not in functions.values():
+        return df.withColumns({n: F.lit(1).cast("long") for n in functions})
+    only_numbers = set(functions.values()) == {"rowNumber"} or not order
+    path = f"{shared_dir(df.sparkSession)}/marrow-ranks-{new_uuid()}"
+    ranged = df.repartitionByRange(*order, *([key] if only_numbers else []))
+    ranged.withColumn("_part", F.spark_partition_id()).write.parquet(path)
+    kept = df.sparkSession.read.schema(T.StructType([*df.schema.fields, T.StructField("_part", T.IntegerType())])).parquet(path)
+    plain, tied = (Window.partitionBy("_part").orderBy(*o) for o in ((order or [F.lit(1)]), (*order, key)))
+    local = {n: RANKS[fn]().over(tied if fn == "rowNumber" else plain).cast("long") for n, fn in functions.items()}
+    dense = kept.withColumn("_dense", F.dense_rank().over(plain))
+    rows, groups, offsets = 0, 0, []
+    for r in dense.groupBy("_part").agg(F.count("*").alias("n"), F.max("_dense").alias("g")).orderBy("_part").collect():  # one row for each task
+        offsets.append((r["_part"], rows, groups))
+        rows, groups = rows + r["n"], groups + r["g"]
+    if not offsets:
+        return df.withColumns({n: F.lit(None).cast("long") for n in functions})
+    before = lambda k: F.create_map(*[F.lit(x).cast("long") for o in offsets for x in (o[0], o[k])])[F.col("_part").cast("long")]
+    shifted = {n: F.lit(1).cast("long") if not order and fn != "rowNumber" else F.col(n) + before(2 if fn == "denseRank" else 1) for n, fn in functions.items()}
+    return kept.withColumns(local).withColumns(shifted).drop("_part")
+
+
 # relations
 def _relation(model: Model, path: str) -> tuple[str, Property, str] | None:
     head, _, rest = path.partition(".")

@@ -171,3 +171,24 @@ def test_policies_also_hold_for_relations(shop):
     q = shop.query("order", policy=hide)
     assert _ids(q.filter(N.eq("customer.country", "DE"))) == []
     assert {r.uuid: r.customer is None for r in q.load("customer").collect()}["o2"]
+
+
+@pytest.mark.parametrize("functions", [{"n": "rowNumber"}, {"n": "rowNumber", "r": "rank", "d": "denseRank"}])
+@pytest.mark.parametrize("sorts", [[], [("a", False)], [("a", True), ("b", False)]])
+def test_ranks_without_a_partition(spark, functions, sorts):
+    import random
+
+    rng = random.Random(4)
+    rows = [(f"k{i:03d}", rng.choice([None, 1, 2, 3, 9]), rng.choice([None, 0, 5])) for i in range(200)]
+    q = Catalog().add(Model("m", {"a": integer(), "b": integer()}), spark.createDataFrame(rows, "uuid string, a long, b long").repartition(5)).query("m")
+    for name, down in sorts:
+        q = q.sort(name, down)
+    got = {r["uuid"]: r for r in q.windowed([], **functions).collect()}
+    place = lambda v, down: (v is None, -v if v is not None else 0) if down else (v is not None, v or 0)
+    at = lambda r: tuple(place(r["ab".index(n) + 1], d) for n, d in sorts)
+    ordered = sorted(rows, key=lambda r: (at(r), r[0]))
+    groups = sorted({at(r) for r in rows})
+    for i, r in enumerate(ordered, 1):
+        want = {"rowNumber": i, "rank": 1 + sum(at(x) < at(r) for x in rows), "denseRank": 1 + groups.index(at(r))}
+        assert {n: got[r[0]][n] for n in functions} == {n: want[fn] for n, fn in functions.items()}
+    assert q.filter(N.eq("uuid", "none")).windowed([], **functions).count() == 0
