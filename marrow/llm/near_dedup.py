@@ -42,7 +42,7 @@ from marrow.llm.shingles import bags, jaccard, mix
 BANDS, ROWS, THRESHOLD = 25, 5, 0.8
 REGISTERS = BANDS * ROWS
 #: A leader's members are dealt to shares of about so many.
-PAIRS_IN_GROUP = 200
+PAIRS_IN_GROUP = 64
 #: While buckets that are not all in one component have more rows than this, and a round finds links, more leaders are drawn.
 MANY_MEMBERS = 2_000_000
 #: Bits of the sketches by which the remaining pairs of buckets are told apart, how many standard deviations apart
