@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime
 from typing import Any
 
@@ -23,7 +24,7 @@ from marrow.operators.wrappers import observed, retried, transacted, within
 from marrow.schema import Factory, Index, Model, ValidationError, array, boolean, date, embedded, fingerprint, float_, integer, scalar, sequence, text, to_many, to_one
 from marrow.session import shared_dir
 from marrow.sources import io, migrate
-from marrow.sources.store import Conflict, Store, UniqueViolation, WriteDenied, matching
+from marrow.sources.store import Conflict, Store, Tables, UniqueViolation, WriteDenied, matching
 from marrow.streaming import live, sync
 
 CUSTOMER = Model("customer", {"c_custkey": integer(), "c_name": text(unique=True), "c_nationkey": integer(), "c_acctbal": float_(), "c_mktsegment": text(), "tags": array()}, key="c_custkey", soft_delete="deletedAt")
@@ -128,6 +129,17 @@ def store_transactions(spark, d):
     return _rows(spark, [(store.query("customer").count(), store.query("supplier").count(), store.manifest()["version"], undone, own)], "customers long, suppliers long, commits long, rolled_back boolean, own_writes boolean")
 
 
+@registered("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'even' ELSE c_name END AS c_name FROM customer WHERE c_custkey % 3 <> 0")
+def store_over_other_tables(spark, d):
+    """A store whose tables are kept by another class: here as ORC files elsewhere."""
+    store = Store(spark, _place(spark), [CUSTOMER], tables=Tables(spark, _place(spark), "orc"))
+    store.save("customer", _customers(spark, d))
+    store.remove("customer", _mod(3), hard=True)
+    store.models["customer"] = Model("customer", {n: replace(p, unique=False) for n, p in CUSTOMER.properties.items()}, key="c_custkey", soft_delete="deletedAt")
+    store.patch_where("customer", _mod(2), {"c_name": patch.set_("even")})
+    return store.query("customer").frame().select("c_custkey", "c_name")
+
+
 @registered("SELECT n_nationkey::BIGINT AS k, n_name AS name FROM nation ORDER BY 1")
 def store_each_row(spark, d):
     nation = Model("nation", {"n_nationkey": integer(), "n_name": text()}, key="n_nationkey")

@@ -25,7 +25,7 @@ class Schema:
 
     def _rewrite(self, table: str, step: Callable[[DataFrame], DataFrame]) -> None:
         at = None if table in (self.store._staged or {}) else self.store.manifest()["tables"].get(table)
-        df = self.store.spark.read.parquet(f"{self.store.path}/{table}/{at}") if at else self.store.table(table)
+        df = self.store.tables.read(table, at) if at else self.store.table(table)
         self.store._changed(table, step(df))
 
     def create_table(self, model: Model) -> None:

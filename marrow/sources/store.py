@@ -21,6 +21,7 @@ from typing import Any
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from marrow.functions import nodes as N
 from marrow.operators import patch
@@ -96,6 +97,24 @@ class Files:
         fs.delete(p, True)
 
 
+class Tables:
+    """Where a store keeps its tables: each version is written once, read often, and never changed.  A class with these
+    three methods, over whatever Spark reads and writes, can take its place."""
+
+    def __init__(self, spark: SparkSession, path: str, kind: str = "parquet"):
+        self.spark, self.path, self.kind, self.files = spark, path, kind, Files(spark)
+
+    def write(self, name: str, version: str, df: DataFrame) -> None:
+        df.write.format(self.kind).save(f"{self.path}/{name}/{version}")
+
+    def read(self, name: str, version: str, schema: StructType | None = None) -> DataFrame:
+        reader = self.spark.read.format(self.kind)
+        return (reader if schema is None else reader.schema(schema)).load(f"{self.path}/{name}/{version}")
+
+    def drop(self, name: str, version: str) -> None:
+        self.files.delete(f"{self.path}/{name}/{version}")
+
+
 def _writes(method: Callable) -> Callable:
     """What a method commits rests on the version that was there when it began."""
 
@@ -113,10 +132,11 @@ def _writes(method: Callable) -> Callable:
 
 
 class Store:
-    def __init__(self, spark: SparkSession, path: str, models: Iterable[Model], policy: Callable[[Model], N.Predicate | None] | None = None, can_write: Callable[[Model, DataFrame], bool] | None = None, hooks: Mapping[str, Callable] | None = None, observe: Callable[[dict], None] | None = None):
+    def __init__(self, spark: SparkSession, path: str, models: Iterable[Model], policy: Callable[[Model], N.Predicate | None] | None = None, can_write: Callable[[Model, DataFrame], bool] | None = None, hooks: Mapping[str, Callable] | None = None, observe: Callable[[dict], None] | None = None, tables: Tables | None = None):
         self.spark, self.path, self.policy, self.can_write, self.hooks, self.observe = spark, path.rstrip("/"), policy, can_write, dict(hooks or {}), observe
         self.models = {m.name: m for m in models}
         self.files, self.catalog = Files(spark), Catalog()
+        self.tables = tables or Tables(spark, self.path)
         self._staged: dict[str, DataFrame | None] | None = None
         self._basis: int | None = None
         for m in self.models.values():
@@ -139,7 +159,7 @@ class Store:
         at = version or self.manifest()["tables"].get(name)
         if at is None:
             return self.spark.createDataFrame([], model.struct())
-        df = self.spark.read.parquet(f"{self.path}/{name}/{at}")
+        df = self.tables.read(name, at)
         return df.select(*[F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in model.struct()], *[c for c in df.columns if c not in model.struct().names])
 
     def query(self, name: str) -> Query:
@@ -186,16 +206,16 @@ class Store:
         number = state["version"] + 1
         version = f"v{number:012d}-{new_uuid()[:8]}"
         before = {n: self._committed(n) for n in tables}
-        made, logs = [f"{self.path}/_staged/{version}", f"{self.path}/_log/{version}"], []
+        made, logs, written = [f"{self.path}/_staged/{version}", f"{self.path}/_log/{version}"], [], []
         try:
             for name, df in tables.items():
                 model = self.models[name]
                 if df is not None:
                     if "before_commit" in self.hooks:
                         df = self._hook("before_commit", model, df)
-                    made.append(f"{self.path}/{name}/{version}")
-                    df.write.parquet(made[-1])
-                    df = self.spark.read.schema(df.schema).parquet(made[-1])
+                    written.append(name)
+                    self.tables.write(name, version, df)
+                    df = self.tables.read(name, version, df.schema)
                     shared = patch.violations(df, model).limit(1).collect()
                     if shared:
                         raise UniqueViolation(f"{name}: {shared[0]['columns']} = {shared[0]['key']}")
@@ -211,6 +231,8 @@ class Store:
         except Exception:
             for path in [*made, f"{self.path}/_staged/{version}.json"]:
                 self.files.delete(path)
+            for name in written:
+                self.tables.drop(name, version)
             raise
         if self._basis is not None:
             self._basis = number
