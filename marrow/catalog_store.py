@@ -199,6 +199,23 @@ def rel_load_embedded(spark, d):
     return out.select("o_orderkey", F.col("buyer.name").alias("c_name"), F.col("buyer.segment").alias("segment"))
 
 
+@registered("""SELECT o_orderkey, c_name, n_name AS nation, CASE WHEN o_orderkey % 2 = 0 THEN 'none' ELSE n_name || ',' || (SELECT n_name FROM nation WHERE n_nationkey = 0) END AS stops
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey""")
+def rel_inside_embedded(spark, d):
+    """References inside of an embedded document, and inside of an array of them, are followed."""
+    shape = T.StructType([T.StructField("name", T.StringType()), T.StructField("nation", T.IntegerType())])
+    nation = Model("nation", {"n_nationkey": _int(), "n_name": text()}, key="n_nationkey")
+    buyer = Model("buyer", {"name": text(), "nation": to_one("nation")}, key="name")
+    order = Model("order", {"o_orderkey": integer(), "buyer": to_one("buyer", embed=shape), "stops": to_many("buyer", embed=shape)}, key="o_orderkey")
+    one = lambda name, k: F.struct(name.alias("name"), k.alias("nation"))
+    stops = F.when(F.col("o_orderkey") % 2 == 1, F.array(one(F.lit("a"), F.col("c_nationkey")), one(F.lit("b"), F.lit(0)))).otherwise(F.array().cast(T.ArrayType(shape)))
+    rows = _table(spark, d, "orders").join(_table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", one(F.col("c_name"), F.col("c_nationkey")).alias("buyer"), stops.alias("stops"))
+    c = Catalog().add(order, rows).add(buyer, spark.createDataFrame([], "name string, nation int")).add(nation, _table(spark, d, "nation"))
+    out = c.query("order").select({"o_orderkey": True, "buyer": {"name": True, "nation": {"n_name": True}}, "stops": {"nation": {"n_name": True}}})
+    names = F.array_join(F.transform("stops", lambda x: x["nation"]["n_name"]), ",")
+    return out.select("o_orderkey", F.col("buyer.name").alias("c_name"), F.col("buyer.nation.n_name").alias("nation"), F.when(F.size("stops") == 0, "none").otherwise(names).alias("stops"))
+
+
 # predicates and plans in their JSON form
 @registered("SELECT c_custkey FROM customer WHERE (c_acctbal > 100 OR c_mktsegment = 'BUILDING') AND NOT (c_name LIKE '%7') ORDER BY c_acctbal DESC, c_custkey LIMIT 40")
 def plan_from_json(spark, d):

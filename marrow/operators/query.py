@@ -440,11 +440,36 @@ def _loaded(catalog: Catalog, model: Model, df: DataFrame, name: str, spec: Mapp
     return out.select(*[many.alias(c) if c == name else df[c] for c in columns])
 
 
+def _embedded(catalog: Catalog, model: Model, df: DataFrame, name: str, spec: Mapping[str, Any], policy: Any) -> DataFrame:
+    """df with the to-one references that the spec follows inside of an embedded document (or an array of them) as rows."""
+    p = model.properties[name]
+    inside = catalog.models[p.target].properties if p.target in catalog.models else {}
+    for field_, want in spec.items():
+        q = inside.get(field_)
+        if not isinstance(want, Mapping) or q is None or q.kind != "relation" or q.embed or q.many:
+            continue
+        one, _ = _target_rows(catalog, q, want, policy)
+        if not p.many:
+            found = df.join(one, df[name][field_] == one["_target"], "left")
+            put = F.when(df[name].isNotNull(), df[name].withField(field_, F.col("_one")))
+            df = found.select(*[put.alias(c) if c == name else df[c] for c in df.columns])
+            continue
+        each = df.select(F.col(model.key).alias("_owner"), F.posexplode(name).alias("_at", "_doc"))
+        each = each.join(one, each["_doc"][field_] == one["_target"], "left").withColumn("_doc", F.when(F.col("_doc").isNotNull(), F.col("_doc").withField(field_, F.col("_one"))))
+        found = each.groupBy("_owner").agg(F.array_sort(F.collect_list(F.struct("_at", "_doc"))).alias("_all"))
+        out = df.join(found, df[model.key] == found["_owner"], "left")
+        many = F.when(df[name].isNotNull(), F.coalesce(F.transform("_all", lambda x: x["_doc"]), F.array().cast(T.ArrayType(each.schema["_doc"].dataType))))
+        df = out.select(*[many.alias(c) if c == name else df[c] for c in df.columns])
+    return df
+
+
 def _select(catalog: Catalog, model: Model, df: DataFrame, spec: Mapping[str, Any], policy: Any, keep: Sequence[str] = ()) -> DataFrame:
     for name, want in spec.items():
         p = model.properties.get(name)
         if p is not None and p.kind == "relation" and not p.embed:
             df = _loaded(catalog, model, df, name, None if want is True else want, policy)
+        elif p is not None and p.embed and isinstance(want, Mapping):
+            df = _embedded(catalog, model, df, name, want, policy)
     scope = Scope(df.schema)
     cols = [F.col(k) for k in keep]
     for name, want in spec.items():
