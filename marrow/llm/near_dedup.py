@@ -41,8 +41,8 @@ from marrow.llm.shingles import bags, jaccard, mix
 
 BANDS, ROWS, THRESHOLD = 25, 5, 0.8
 REGISTERS = BANDS * ROWS
-#: A leader's members are dealt to shares of about so many.
-PAIRS_IN_GROUP = 64
+#: A leader's members are dealt to shares of about so many, or to SHARES where their number isn't known.
+PAIRS_IN_GROUP, SHARES = 64, 64
 #: While buckets that are not all in one component have more rows than this, and a round finds links, more leaders are drawn.
 MANY_MEMBERS = 2_000_000
 #: Bits of the sketches by which the remaining pairs of buckets are told apart, how many standard deviations apart
@@ -151,7 +151,7 @@ def _with_sketches(docs: DataFrame, members: DataFrame, heads: DataFrame) -> Dat
     texts = only_ids(docs, members.select("id").distinct(), "id").dropDuplicates(["id"])
     # dealt by work, since sketches take much of it and few bytes; by another hash, or adaptive execution joins partitions
     texts = texts.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("id"))
-    sketches = saved(_sketched(texts), "sketches").join(heads.select("id", "bands"), "id")
+    sketches = saved(_sketched(texts), "sketches").join(heads.select("id", "n", "bands"), "id")
     sizes = members.groupBy("bucket").agg(F.count("*").alias("k")).withColumn("shares", F.ceil(F.col("k") / BUCKET_SHARE))
     return saved(look_up(members.join(sketches, "id"), sizes, ["bucket"], "shares", "k"), "sketched")
 
@@ -161,13 +161,14 @@ def _across(rows: DataFrame, threshold: float, deviations: float) -> DataFrame:
     are near: pairs at the threshold differ in a share of (1 - threshold) / 2 of the bits, and those up to so many
     standard deviations beyond are made, each in the first bucket that has both.  The members of a large bucket are dealt over tasks."""
     bits = [f"s{k}" for k in range(SKETCH // 64)]
-    left = rows.select("bucket", F.pmod(F.xxhash64("id"), F.col("shares")).alias("share"), "band", F.col("id").alias("a"), F.col("own").alias("ca"), F.col("bands").alias("abands"), *[F.col(x).alias(f"a{x}") for x in bits])
-    right = rows.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), F.col("id").alias("b"), F.col("own").alias("cb"), F.col("bands").alias("bbands"), *[F.col(x).alias(f"b{x}") for x in bits])
+    left = rows.select("bucket", F.pmod(F.xxhash64("id"), F.col("shares")).alias("share"), "band", F.col("id").alias("a"), F.col("own").alias("ca"), F.col("n").alias("an"), F.col("bands").alias("abands"), *[F.col(x).alias(f"a{x}") for x in bits])
+    right = rows.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), F.col("id").alias("b"), F.col("own").alias("cb"), F.col("n").alias("bn"), F.col("bands").alias("bbands"), *[F.col(x).alias(f"b{x}") for x in bits])
     q = (1 - threshold) / 2
     differ = sum((F.bit_count(F.col(f"a{x}").bitwiseXOR(F.col(f"b{x}"))) for x in bits), F.lit(0))
     near = differ <= int(SKETCH * q + deviations * (SKETCH * q * (1 - q)) ** 0.5)
     again = F.arrays_overlap(F.slice("abands", 1, F.col("band")), F.slice("bbands", 1, F.col("band")))  # an earlier band makes this pair
-    return left.join(right, ["bucket", "share"]).filter((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & near & ~again).select("a", "b").distinct()
+    sized = F.least("an", "bn") >= threshold * F.greatest("an", "bn")  # else they can't be so similar
+    return left.join(right, ["bucket", "share"]).filter((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & sized & near & ~again).select("a", "b").distinct()
 
 
 def verified(docs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -176,8 +177,7 @@ def verified(docs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) ->
     if "k" in pairs.columns:  # about so many members has the leader a
         pairs = saved(pairs.filter("a <> b").groupBy("a", "b").agg(F.max("k").alias("k")), "pairs")
     else:
-        pairs = saved(pairs.filter("a <> b").distinct(), "pairs")
-        pairs = look_up(pairs, pairs.groupBy("a").agg(F.count("*").alias("n"), F.count("*").alias("k")), ["a"], "k", "n")
+        pairs = saved(pairs.filter("a <> b").distinct(), "pairs").withColumn("k", F.lit(PAIRS_IN_GROUP * SHARES))
     dealt = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("k") / PAIRS_IN_GROUP)).alias("share"))
     texts = only_ids(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "id").dropDuplicates(["id"])
     kind = docs.schema["id"].dataType.simpleString()
@@ -250,9 +250,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
         members = _mixed(own(members.drop("own")))
 
     # what is left: all pairs of a bucket in different components, of which near sketches alone are made; the
-    # nearest come first, since what they connect need not be made again
+    # nearer ones come first, since what they connect need not be made again; sizes alone rule many out
     sketched = _with_sketches(texts, members.drop("own"), heads)
-    for deviations in (0, DEVIATIONS):
+    for deviations in (0, DEVIATIONS / 2, DEVIATIONS):
         fresh = verified(texts, _across(own(sketched), threshold, deviations), threshold).select("a", "b")
         if fresh.limit(1).count():
             links = links.union(fresh)
