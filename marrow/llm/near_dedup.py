@@ -12,7 +12,9 @@ on where one is not).
 Texts with equal multisets form a class, whose smallest id stands for it.  Each bucket's members are compared with
 its shortest text, and, where very many are then not all connected, with a few others.  At last all pairs of a bucket's
 members in different components are held against each other by sketches of SKETCH bits, and those that
-come near are verified: no bucket or group is capped, and pairs that would only repeat a connection are hardly made.
+come near are verified.  First, of pairs whose sketches say that they are alike, a task makes one for each two
+components that they would join, so a dense group takes about as many as it has members; then all that are left.
+No bucket or group is capped, and pairs that would only repeat a connection are hardly made.
 A pair at the threshold has sketches farther apart than DEVIATIONS allow with a probability of 3e-7.  Groups of copies
 cost one comparison for each member, and the members of a leader are dealt over tasks.
 
@@ -43,11 +45,14 @@ BANDS, ROWS, THRESHOLD = 25, 5, 0.8
 REGISTERS = BANDS * ROWS
 #: A leader's members are dealt to shares of about so many, or to SHARES where their number isn't known.
 PAIRS_IN_GROUP, SHARES = 64, 64
-#: While buckets that are not all in one component have more rows than this, and a round finds links, more leaders are drawn.
+#: While buckets of more than BUCKET_SHARE members that are not all in one component have more rows than this in all,
+#: and a round finds links, more leaders are drawn.
 MANY_MEMBERS = 2_000_000
 #: Bits of the sketches by which the remaining pairs of buckets are told apart, how many standard deviations apart
 #: they may be, and members of a bucket in one task.
 SKETCH, DEVIATIONS, BUCKET_SHARE = 2048, 5, 2000
+#: Pairs whose sketches a task compares at a time.
+PAIRS_AT_ONCE = 20_000
 _UNIT = 2.0**-53
 
 
@@ -133,42 +138,113 @@ def _signed(docs: DataFrame) -> DataFrame:
 
 
 def _sketched(docs: DataFrame) -> DataFrame:
-    """(id, s0 ... ): one bit of each of SKETCH registers; bits differ with a probability of (1 - similarity) / 2."""
+    """(id, sketch): one bit of each of SKETCH registers; bits differ with a probability of (1 - similarity) / 2."""
     like, kind = to_arrow_type(docs.schema["id"].dataType), docs.schema["id"].dataType.simpleString()
-    names = [f"s{k}" for k in range(SKETCH // 64)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in blocks(batches, limit=100_000):
             bits = (mix(signatures(*bags(texts), len(texts), SKETCH)) & np.uint64(1)).astype(np.uint8)
-            words = np.packbits(bits, axis=1).view("<i8")
-            yield pa.RecordBatch.from_arrays([pa.array(keys, like), *(pa.array(words[:, k].copy()) for k in range(len(names)))], names=["id", *names])
+            sketches = [row.tobytes() for row in np.packbits(bits, axis=1)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, like), pa.array(sketches, pa.binary())], names=["id", "sketch"])
 
-    return docs.mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} long" for n in names))
+    return docs.mapInArrow(run, f"id {kind}, sketch binary")
 
 
 def _with_sketches(docs: DataFrame, members: DataFrame, heads: DataFrame) -> DataFrame:
-    """members (band, bucket, id) with sketches, all their buckets, and the number of shares that their bucket is dealt to."""
+    """members (band, bucket, id, k) with sketches, all their buckets, and the number of shares that their bucket of k is dealt to."""
     texts = only_ids(docs, members.select("id").distinct(), "id").dropDuplicates(["id"])
     # dealt by work, since sketches take much of it and few bytes; by another hash, or adaptive execution joins partitions
     texts = texts.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("id"))
     sketches = saved(_sketched(texts), "sketches").join(heads.select("id", "n", "bands"), "id")
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("k")).withColumn("shares", F.ceil(F.col("k") / BUCKET_SHARE))
-    return saved(look_up(members.join(sketches, "id"), sizes, ["bucket"], "shares", "k"), "sketched")
+    return saved(members.join(sketches, "id").withColumn("shares", F.ceil(F.col("k") / BUCKET_SHARE)), "sketched")
 
 
-def _across(rows: DataFrame, threshold: float, deviations: float) -> DataFrame:
+def _across(rows: DataFrame, threshold: float, deviations: float, sparse: bool = False) -> DataFrame:
     """The pairs (a, b) of a bucket's rows (bucket, id, own, shares, sketch) in different components whose sketches
     are near: pairs at the threshold differ in a share of (1 - threshold) / 2 of the bits, and those up to so many
-    standard deviations beyond are made, each in the first bucket that has both.  The members of a large bucket are dealt over tasks."""
-    bits = [f"s{k}" for k in range(SKETCH // 64)]
-    left = rows.select("bucket", F.pmod(F.xxhash64("id"), F.col("shares")).alias("share"), "band", F.col("id").alias("a"), F.col("own").alias("ca"), F.col("n").alias("an"), F.col("bands").alias("abands"), *[F.col(x).alias(f"a{x}") for x in bits])
-    right = rows.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), F.col("id").alias("b"), F.col("own").alias("cb"), F.col("n").alias("bn"), F.col("bands").alias("bbands"), *[F.col(x).alias(f"b{x}") for x in bits])
+    standard deviations beyond are made, each in the first bucket that has both.  If sparse, a task makes only one, the
+    nearest it sees, for each two components that they would join.  The members of a large bucket are dealt over
+    tasks, where those of a share meet each other and those of later shares."""
+    like, kind = to_arrow_type(rows.schema["id"].dataType), rows.schema["id"].dataType.simpleString()
     q = (1 - threshold) / 2
-    differ = sum((F.bit_count(F.col(f"a{x}").bitwiseXOR(F.col(f"b{x}"))) for x in bits), F.lit(0))
-    near = differ <= int(SKETCH * q + deviations * (SKETCH * q * (1 - q)) ** 0.5)
-    again = F.arrays_overlap(F.slice("abands", 1, F.col("band")), F.slice("bbands", 1, F.col("band")))  # an earlier band makes this pair
-    sized = F.least("an", "bn") >= threshold * F.greatest("an", "bn")  # else they can't be so similar
-    return left.join(right, ["bucket", "share"]).filter((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & sized & near & ~again).select("a", "b").distinct()
+    most = int(SKETCH * q + deviations * (SKETCH * q * (1 - q)) ** 0.5)
+    dealt = rows.withColumn("share", F.pmod(F.xxhash64("id"), F.col("shares")))
+    dealt = dealt.withColumn("into", F.explode(F.sequence(F.lit(0).cast("long"), "share"))).withColumn("later", F.col("share") != F.col("into"))
+    # much work and few bytes: by a fixed number, or adaptive execution joins partitions
+    dealt = dealt.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket", "into").sortWithinPartitions("bucket", "into", "later", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, b in _near(batches, threshold, most, sparse):
+            yield pa.RecordBatch.from_arrays([pa.array(a, like), pa.array(b, like)], names=["a", "b"])
+
+    found = dealt.select("bucket", "into", "later", "id", "own", "n", "band", "bands", "sketch").mapInArrow(run, f"a {kind}, b {kind}")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _near(batches: Iterator[pa.RecordBatch], threshold: float, most: int, sparse: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of one task of ``_across``, whose rows are sorted.  Of a share that may go on in the next batch only
+    the rows that aren't ``later`` are kept, about BUCKET_SHARE of them."""
+    number: dict = {}  # of each component
+    root = np.zeros(0, np.int64)  # of each number, the least of those that pairs have joined it to
+    kept, rows = 0, {}
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = {x: batch.column(x).to_numpy(zero_copy_only=False) for x in ("bucket", "into", "later", "id", "n", "band")}
+        new["own"] = np.array([number.setdefault(x, len(number)) for x in batch.column("own").to_pylist()], np.int64)
+        new["bands"] = batch.column("bands").flatten().to_numpy().reshape(-1, BANDS)
+        new["sketch"] = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH // 64)
+        root = np.r_[root, np.arange(len(root), len(number))]
+        rows = {x: np.concatenate([rows[x], new[x]]) for x in new} if kept else new
+        bucket, into, later, ids, n, band, own, bands, sketch = rows.values()
+        starts = np.flatnonzero(np.r_[True, (bucket[1:] != bucket[:-1]) | (into[1:] != into[:-1])])
+        ends = np.repeat(np.r_[starts[1:], len(ids)], np.diff(np.r_[starts, len(ids)]))
+        first = np.maximum(np.arange(len(ids)) + 1, kept)  # pairs of two kept rows are made
+        count = np.where(later, 0, ends - first)
+        done = np.cumsum(count)
+        at = 0
+        while at < len(ids):
+            to = max(at + 1, int(np.searchsorted(done, done[at] - count[at] + PAIRS_AT_ONCE, "right")))
+            c = count[at:to]
+            i = np.repeat(np.arange(at, to), c)
+            j = np.arange(len(i)) + np.repeat(first[at:to] - (np.cumsum(c) - c), c)
+            at = to
+            # of one component, or of sizes that can't be so similar
+            hold = (root[own[i]] != root[own[j]]) & (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]))
+            i, j = i[hold], j[hold]
+            differ = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1, dtype=np.int64)
+            hold = differ <= most
+            i, j, differ = i[hold], j[hold], differ[hold]
+            if sparse and len(i):
+                chosen = _joining(root, root[own[i]], root[own[j]], differ)
+                i, j = i[chosen], j[chosen]
+            elif len(i):  # an earlier band makes some of the pairs
+                hold = ~((bands[i] == bands[j]) & (np.arange(BANDS) < band[i][:, None])).any(1)
+                i, j = i[hold], j[hold]
+            if len(i):
+                yield ids[i], ids[j]
+        last = np.flatnonzero(~later[starts[-1] :].astype(bool)) + starts[-1]
+        rows, kept = {x: v[last] for x, v in rows.items()}, len(last)
+
+
+def _joining(root: np.ndarray, a: np.ndarray, b: np.ndarray, differ: np.ndarray) -> list[int]:
+    """Which of the pairs (a, b) of roots, the nearest first, join what isn't joined yet; they are joined in ``root``."""
+    lo, hi = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((differ, hi, lo))
+    nearest = order[np.r_[True, (np.diff(lo[order]) != 0) | (np.diff(hi[order]) != 0)]]
+    chosen = []
+    for k in nearest[np.argsort(differ[nearest], kind="stable")]:
+        x, y = lo[k], hi[k]
+        while root[x] != x:
+            x = root[x]
+        while root[y] != y:
+            y = root[y]
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            chosen.append(k)
+    while not np.array_equal(up := root[root], root):
+        root[:] = up
+    return chosen
 
 
 def verified(docs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -206,10 +282,10 @@ def verified(docs: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) ->
 
 
 def _mixed(placed: DataFrame) -> DataFrame:
-    """The members (bucket, id, own) of buckets that have more than one component."""
+    """The members (bucket, id, own) of buckets that have more than one component, with the number k of the bucket's."""
     placed = saved(placed, "placed")
-    mixed = placed.groupBy("bucket").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("k")).filter("lo < hi").withColumn("mixed", F.lit(True))
-    return saved(look_up(placed, mixed, ["bucket"], "mixed", "k").filter("mixed").drop("mixed"), "mixed")
+    mixed = placed.groupBy("bucket").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("k")).filter("lo < hi")
+    return saved(look_up(placed, mixed, ["bucket"], "k", "k").filter("k is not null"), "mixed")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -233,27 +309,28 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
 
     members = _mixed(own(members.select("band", "bucket", "id")))
     r = 0
-    while members.count() > MANY_MEMBERS:  # each leader takes one comparison for each member, and connects what is dense
+    large = lambda df: df.filter(F.col("k") > BUCKET_SHARE).drop("k")
+    while large(members).count() > MANY_MEMBERS:  # each leader takes one comparison for each member, and connects what is dense
         r += 1
-        counted = members.groupBy("bucket", "own").agg(F.count("*").alias("k"))
+        counted = large(members).groupBy("bucket", "own").agg(F.count("*").alias("k"))
         top = counted.groupBy("bucket").agg(F.max_by("own", F.struct("k", "own")).alias("top"), F.sum("k").alias("k"))
-        strays = look_up(members, top, ["bucket"], "top", "k").filter("own <> top")  # the leader is drawn from outside of the bucket's commonest component
+        strays = look_up(large(members), top, ["bucket"], "top", "k").filter("own <> top")  # the leader is drawn from outside of the bucket's commonest component
         drawn = strays.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", F.lit(r)).alias("h"), "id", "own")).alias("drawn"))
         drawn = drawn.join(top.select("bucket", "k"), "bucket").withColumn("drawn", F.col("drawn").withField("k", F.col("k")))
         drawn = saved(drawn, "drawn")
-        pairs = look_up(members, drawn, ["bucket"], "drawn", "k").filter("own <> drawn.own")
+        pairs = look_up(large(members), drawn, ["bucket"], "drawn", "k").filter("own <> drawn.own")
         fresh = verified(texts, pairs.select(F.col("drawn.id").alias("a"), F.col("id").alias("b"), "drawn.k"), threshold).select("a", "b")
         if not fresh.limit(1).count():
             break
         links = links.union(fresh)
         names = saved(components(links), "components")
-        members = _mixed(own(members.drop("own")))
+        members = _mixed(own(members.drop("own", "k")))
 
     # what is left: all pairs of a bucket in different components, of which near sketches alone are made; the
     # nearer ones come first, since what they connect need not be made again; sizes alone rule many out
     sketched = _with_sketches(texts, members.drop("own"), heads)
-    for deviations in (0, DEVIATIONS / 2, DEVIATIONS):
-        fresh = verified(texts, _across(own(sketched), threshold, deviations), threshold).select("a", "b")
+    for deviations, sparse in ((-2, True), (0, True), (DEVIATIONS / 2, False), (DEVIATIONS, False)):
+        fresh = verified(texts, _across(own(sketched), threshold, deviations, sparse), threshold).select("a", "b")
         if fresh.limit(1).count():
             links = links.union(fresh)
             names = saved(components(links), "components")

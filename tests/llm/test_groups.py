@@ -122,6 +122,51 @@ def test_more_leaders_change_nothing(spark, monkeypatch):
     assert dict(found(spark, rows)) == by_brute_force(rows)
 
 
+def test_a_dense_group_takes_few_comparisons(spark, monkeypatch):
+    """Copies of one text, each with edits of its own: far more pairs are alike than it takes to connect them."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    base, rows = [word() for _ in range(300)], []
+    for i in range(250):
+        words = list(base)
+        for _ in range(rng.randint(1, 6)):
+            words[rng.randrange(len(words))] = word()
+        rows.append((i, " ".join(words)))
+    made, verified = [], near_dedup.verified
+    monkeypatch.setattr(near_dedup, "verified", lambda docs, pairs, threshold: made.append(pairs.select("a", "b").distinct().count()) or verified(docs, pairs, threshold))
+    assert dict(found(spark, rows)) == by_brute_force(rows)
+    assert sum(made[1:]) < 2 * len(rows)  # the first are the pairs with leaders
+
+
+def test_near_sketches_are_all_found(spark):
+    """Buckets in one share and in several, over many Arrow batches, against brute force."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for bucket, size, shares in ((1, 30, 1), (2, 40, 3), (3, 1, 1), (4, 25, 5)):
+        base = rng.integers(0, 256, near_dedup.SKETCH // 8, np.uint8)
+        for _ in range(size):
+            flips = (rng.random((near_dedup.SKETCH // 8, 8)) < rng.choice([0.02, 0.05, 0.08])).astype(np.uint8)
+            i = len(rows)
+            bands = [int(rng.integers(0, 3)) if k < 2 else 1000 * i + k for k in range(near_dedup.BANDS)]
+            rows.append((bucket, i, i - i % 2, int(rng.integers(80, 130)), 2, bands, shares, bytearray((base ^ np.packbits(flips, axis=1)[:, 0]).tobytes())))
+    df = spark.createDataFrame(rows, "bucket long, id long, own long, n long, band int, bands array<long>, shares long, sketch binary")
+    most = int(2048 * 0.1 + (2048 * 0.1 * 0.9) ** 0.5)
+    bits = lambda r: int.from_bytes(r[7], "big")
+    near = {(a[1], b[1]) for a in rows for b in rows if a[:1] == b[:1] and a[1] < b[1] and a[2] != b[2] and min(a[3], b[3]) >= 0.8 * max(a[3], b[3]) and (bits(a) ^ bits(b)).bit_count() <= most}
+    again = {(a, b) for a, b in near if any(x == y for x, y in zip(rows[a][5][:2], rows[b][5][:2], strict=True))}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        every, sparse = ([tuple(r) for r in near_dedup._across(df, 0.8, 1, x).collect()] for x in (False, True))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert again and len(near) > 300 and sorted(every) == sorted(near - again)
+    own = {r[1]: r[2] for r in rows}
+    assert set(sparse) <= near and len(sparse) < len(near) / 3
+    joined = lambda pairs: smallest(set(own.values()), [(own[a], own[b]) for a, b in pairs])
+    assert joined(sparse) == joined(near)
+
+
 @pytest.mark.parametrize("in_task", [0, 1_000_000])
 def test_components(spark, monkeypatch, in_task):
     monkeypatch.setattr(groups, "EDGES_IN_TASK", in_task)
