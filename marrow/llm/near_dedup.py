@@ -51,13 +51,14 @@ MANY_MEMBERS = 2_000_000
 #: Bits of the sketches by which the remaining pairs of buckets are told apart, how many standard deviations apart
 #: they may be, and members of a bucket in one task.
 SKETCH, DEVIATIONS, BUCKET_SHARE = 2048, 5, 2000
-#: Pairs whose sketches a task compares at a time.
-PAIRS_AT_ONCE = 20_000
+#: Pairs whose sketches a task compares at a time, and points of all processes that it draws at a time.
+PAIRS_AT_ONCE, POINTS_AT_ONCE = 20_000, 500_000
 _UNIT = 2.0**-53
 
 
-def _draw(seed: np.ndarray, k: int) -> np.ndarray:
-    return mix(seed + np.uint64((k * 0xA24BAED4963EE407) % (1 << 64)))
+def _draw(seed: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """The k-th random number of each seed (k is of np.uint64)."""
+    return mix(seed + k * np.uint64(0xA24BAED4963EE407))
 
 
 def _uniform(bits: np.ndarray) -> np.ndarray:
@@ -79,22 +80,32 @@ def signatures(doc: np.ndarray, shingle: np.ndarray, count: np.ndarray, n_docs:
     weight = np.bincount(doc, count, n_docs)
     horizon = np.zeros(n_docs)
     todo = weight > 0
-    horizon[todo] = registers / weight[todo] * (np.log(registers) + 6)
+    horizon[todo] = registers / weight[todo] * (np.log(registers) + 2)  # enough for seven texts of eight
     while todo.any():
-        run = todo[d]
-        active = {"d": d[run], "seed": seed[run], "low": low_of[run], "upto": upto[run], "rate": rate[run], "t": np.zeros(run.sum())}
+        k = np.flatnonzero(todo[d])  # the processes that go on
+        t = np.zeros(len(k))
         slots, times, names, r = [], [], [], 0
-        while len(active["d"]):
-            bits = _draw(active["seed"], 3 * r)
-            t = active["t"] - np.log(_uniform(bits)) / active["rate"]
-            alive = t <= horizon[active["d"]]
-            active = {k: v[alive] for k, v in (active | {"t": t}).items()}
-            where = _draw(active["seed"], 3 * r + 1)
-            good = active["low"] + (_uniform(_draw(active["seed"], 3 * r + 2)) * active["low"]).astype(np.int64) < active["upto"]
-            slots.append((active["d"] * registers + (where % np.uint64(registers)).astype(np.int64))[good])
-            times.append(active["t"][good])
+        while len(k):
+            until = horizon[d[k]]
+            # so many points of each at once: half of those to come in the mean
+            ahead = int(np.clip(((until - t) * rate[k]).mean() / 2, 1, max(1, POINTS_AT_ONCE // len(k))))
+            draws = np.arange(r, r + ahead, dtype=np.uint64) * np.uint64(3)
+            after = -np.log(_uniform(_draw(seed[k][:, None], draws))) / rate[k][:, None]
+            after[:, 0] += t
+            t = np.cumsum(after, axis=1)
+            alive = t <= until[:, None]
+            row, column = np.nonzero(alive)
+            of, draw, time = k[row], draws[column], t[alive]
+            where = _draw(seed[of], draw + np.uint64(1))
+            good = np.ones(len(of), bool)
+            cut = np.flatnonzero(low_of[of])  # the first range, [0, 1), is covered as a whole
+            at = _uniform(_draw(seed[of[cut]], draw[cut] + np.uint64(2))) * low_of[of[cut]]
+            good[cut] = low_of[of[cut]] + at.astype(np.int64) < upto[of[cut]]
+            slots.append((d[of] * registers + (where % np.uint64(registers)).astype(np.int64))[good])
+            times.append(time[good])
             names.append(where[good])
-            r += 1
+            k, t = k[alive[:, -1]], t[alive[:, -1], -1]
+            r += ahead
         slot, time, name = np.concatenate(slots), np.concatenate(times), np.concatenate(names)
         first = np.full(n_docs * registers, np.inf)
         np.minimum.at(first, slot, time)
@@ -102,7 +113,7 @@ def signatures(doc: np.ndarray, shingle: np.ndarray, count: np.ndarray, n_docs:
         out[slot[wins]] = name[wins] | np.uint64(1)
         full = (first.reshape(n_docs, registers) < np.inf).all(1)
         todo &= ~full
-        horizon[todo] *= 4
+        horizon[todo] *= 1.5
         out.reshape(n_docs, registers)[todo] = 0
     return out.reshape(n_docs, registers)
 

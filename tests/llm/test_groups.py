@@ -94,6 +94,18 @@ def test_signatures_are_unbiased():
     assert abs(np.mean(error)) < 0.01 and max(map(abs, error)) < 0.25
 
 
+@pytest.mark.parametrize("registers", [near_dedup.REGISTERS, near_dedup.SKETCH])
+def test_signatures_do_not_depend_on_company(monkeypatch, registers):
+    """A text's signature is its own, however many points of its block are drawn at a time."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcde") for _ in range(rng.choice([0, 1, 7, 60, 900]))) for _ in range(30)] + ["q w e r t " * 400]
+    together = near_dedup.signatures(*shingles.bags(texts), len(texts), registers)
+    alone = [near_dedup.signatures(*shingles.bags([t]), 1, registers)[0] for t in texts]
+    monkeypatch.setattr(near_dedup, "POINTS_AT_ONCE", 1)
+    singly = near_dedup.signatures(*shingles.bags(texts), len(texts), registers)
+    assert np.array_equal(together, alone) and np.array_equal(together, singly)
+
+
 def test_near_duplicates_match_brute_force(spark):
     rows = near_copies(5) + [(1000, None), (1001, ""), (1002, "..."), (1003, "..."), (1004, "one two"), (1005, "One, two!"), (1006, "word " * 30_000), (1007, "word " * 30_000 + "end")]
     assert dict(found(spark, rows)) == by_brute_force(rows)
